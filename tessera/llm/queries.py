@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, media, mixing, packing, sharding, substring_dedup
+from tessera.llm import fingerprints, jaccard_join, media, mixing, packing, sharding, substring_dedup
 from tessera.llm._common import durable
 
 
@@ -38,11 +38,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_prints(documents(spark, sf_dir))
+    own, edited, following = F.col("print"), F.col("edited_print"), F.col("next_print")
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, following).alias("near_next"),
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op8_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op6_multiset_fingerprints, op8_jaccard_join)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
