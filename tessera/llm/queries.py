@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, jaccard_join, media, mixing, packing, sharding, substring_dedup, toxicity
+from tessera.llm import fingerprints, jaccard_join, license_scan, media, mixing, packing, sharding, substring_dedup, token_counts, toxicity
 from tessera.llm._common import durable
 
 
@@ -48,6 +48,11 @@ def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("edits", token_counts.sample_edits())
+    return token_counts.count_with_edits(docs).drop("text", "edits")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -59,7 +64,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op6_multiset_fingerprints, op8_jaccard_join, op9_toxicity)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_max("matches.coverage").alias("coverage"), F.array_distinct("matches.license").alias("licenses"), "matches")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op6_multiset_fingerprints, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_license_scan)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
