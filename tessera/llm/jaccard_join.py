@@ -1,10 +1,11 @@
 """N-gram Jaccard join: all links between documents of 75% like 5-word shingle sets.
 
 Two sets that link share one of their least shingles (a quarter of each set and
-one, in hash order). Those least shingles are looked up across the corpus; what
-is shared makes candidates, never whole groups of pairs:
+one, in hash order). Somewhat more of the least shingles are looked up across
+the corpus: a set of which too many occur nowhere else can't link and is closed at once. The
+open ones are compared, never as whole groups of pairs:
 
-1. Equal sets become one class at once.
+1. Equal sets are one class; one open document stands for it.
 2. For the very least shingles, each class is compared with one other class that has the
    same shingle. Links found join classes into components.
 3. Where a shingle still lies in more than one component, its classes are dealt into tiles by
@@ -13,7 +14,7 @@ is shared makes candidates, never whole groups of pairs:
    two differ bound the overlap from above. What passes is intersected exactly.
 
 Components then hold every link: a pair left out is either proven too unlike or
-already joined. Links are exact up to collisions of 48-bit shingle hashes.
+already joined. Links are exact up to collisions of 40-bit shingle hashes within a pair.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 a text of one to four words has its whole sequence as one shingle; a null id
@@ -38,8 +39,9 @@ from tessera.llm.components import components
 WORDS, PERCENT = 5, 75
 #: How many of a set's least shingles step 2 looks at, and the most classes of a tile's side.
 EARLY, BLOCK = 6, 1024
+KEPT_BYTES = 5
 
-PROFILE = "doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, tokens binary, places binary, members binary"
+PROFILE = "node long, doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, tokens binary, places binary, members binary"
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -47,6 +49,12 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def lookup_length(n: np.ndarray) -> np.ndarray:
+    """How many are looked up: half as many again. A set that links shares more than the surplus of them."""
+    least = prefix_length(n)
+    return np.minimum(n, least + least // 2)
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least overlap with which sets of these sizes link: 100 o >= 75 (a + b - o)."""
     return (PERCENT * (a + b) + PERCENT + 99) // (100 + PERCENT)
@@ -96,7 +104,7 @@ class _Sets:
         first[1:] = ~(same[0] & same[1] & same[2])
         self.speaks = np.zeros(len(order), bool)
         self.speaks[order[first]] = True
-        self.leading = self.speaks[self.text] & (self.place < prefix_length(self.sizes)[self.text]) if len(self.hash) else np.zeros(0, bool)
+        self.leading = self.speaks[self.text] & (self.place < lookup_length(self.sizes)[self.text])
 
     def bitmap(self, i: int) -> bytes:
         """Each bit is the parity of the shingles that hash to it, so a narrower bitmap is the fold of a wider one."""
@@ -105,18 +113,18 @@ class _Sets:
         return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
     def members(self, i: int) -> bytes:
-        """The set itself: the upper 48 bits of each hash, in order."""
-        return np.ascontiguousarray(self.hash[self.edges[i] : self.edges[i + 1]].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+        """The set itself: the upper 40 bits of each hash, in order."""
+        return np.ascontiguousarray(self.hash[self.edges[i] : self.edges[i + 1]].view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes()
 
 
 def members_of(held: bytes) -> np.ndarray:
-    out = np.zeros((len(held) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(held, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(held) // KEPT_BYTES, 8), np.uint8)
+    out[:, 8 - KEPT_BYTES :] = np.frombuffer(held, np.uint8).reshape(-1, KEPT_BYTES)
     return out.view(np.uint64).ravel()
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Each document's set size and name; for the first of each set in a chunk its signature, shared least shingles and, if it has any, the set."""
+    """Each document's set size and name; if it is open, and the first in its chunk with this set, also its signature, its shared least shingles and the set."""
     buckets, chunks = partitions(docs.sparkSession), in_chunks(docs.select("doc_id", "text"))
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -130,13 +138,18 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         distinct, counts = np.unique(tokens, return_counts=True)
         shared = np.zeros(len(sets.hash), bool)
         shared[np.flatnonzero(sets.leading)] = among(tokens, np.union1d(answers_of(answers, 0), distinct[counts > 1]))
-        n_shared = np.add.reduceat(np.concatenate([shared, [False]]).astype(np.int64), sets.edges[:-1]) * (sets.sizes > 0) if len(sets.keys) else np.zeros(0, np.int64)
-        open_ = np.flatnonzero(n_shared > 0)
+        n_shared = np.bincount(sets.text[shared], minlength=len(sets.keys))
+        least = prefix_length(sets.sizes)
+        is_open = sets.speaks & (sets.sizes > 0) & (n_shared > lookup_length(sets.sizes) - least)
+        shared &= is_open[sets.text] & (sets.place < least[sets.text])
+        n_shared = np.bincount(sets.text[shared], minlength=len(sets.keys))
+        open_ = np.flatnonzero(is_open)
         empty = [b""] * len(sets.keys)
         bitmaps, members = list(empty), list(empty)
         for i in open_.tolist():
             bitmaps[i], members[i] = sets.bitmap(i), sets.members(i)
         return pa.table({
+            "node": pa.array(key[0].as_py() << 32 | np.arange(len(sets.keys), dtype=np.int64)),
             "doc_id": table.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(sets.sizes, pa.int64()), "key_a": pa.array(sets.names[0]), "key_b": pa.array(sets.names[1]),
             "bitmap": pa.array(bitmaps, pa.binary()), "tokens": as_binaries(sets.hash[shared], n_shared), "places": as_binaries(sets.place[shared].astype(np.int32), n_shared), "members": pa.array(members, pa.binary()),
         })
@@ -146,23 +159,23 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(profile, PROFILE)
 
 
-def _postings(classes: DataFrame, early: bool) -> DataFrame:
-    """(token, cls, n_shingles, place) of the shared least shingles of each class."""
+def _postings(rows: DataFrame, early: bool) -> DataFrame:
+    """(token, node, n_shingles, place) of the shared least shingles of each row."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.array([len(t) // 8 for t in batch.column("tokens").to_pylist()], np.int64)
             tokens, places = joined(batch.column("tokens"), np.int64), joined(batch.column("places"), np.int32)
-            cls, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("cls", "n_shingles"))
+            node, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "n_shingles"))
             keep = places < EARLY if early else np.ones(len(places), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, cls, size, places)], ["token", "cls", "n_shingles", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, node, size, places)], ["token", "node", "n_shingles", "place"])
 
-    return classes.select("cls", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, cls long, n_shingles long, place int")
+    return rows.select("node", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, node long, n_shingles long, place int")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets link: bounds by size and signature first, then the exact intersection."""
-    sides = classes.select("cls", "bitmap", "members")
+    sides = rows.select("node", "bitmap", "members")
     left = sides.toDF("a", "bitmap_a", "members_a")
     right = sides.toDF("b", "bitmap_b", "members_b")
 
@@ -176,7 +189,7 @@ def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _links(bits_a: bytes, bits_b: bytes, held_a: bytes, held_b: bytes) -> bool:
-    a, b = len(held_a) // 6, len(held_b) // 6
+    a, b = len(held_a) // KEPT_BYTES, len(held_b) // KEPT_BYTES
     need = int(least_overlap(np.int64(a), np.int64(b)))
     if need > min(a, b):
         return False
@@ -207,23 +220,23 @@ def _tiles(postings: DataFrame) -> DataFrame:
     at = postings.withColumn("band", F.explode(F.array(band, band - 1))).withColumn("home", F.col("band") == band)
     sizes = at.groupBy("token", "band").agg(F.count("*").alias("_n"), F.count_if("home").alias("_homes"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     sizes = sizes.where("_homes > 0 and _n > 1 and _lo < _hi").select("token", "band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    at = at.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    at = at.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return at.select(F.xxhash64("token", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", F.least("block", "other").alias("_i"), F.greatest("block", "other").alias("_j"), "home", "cls", "component", "n_shingles", "place")
+    return at.select(F.xxhash64("token", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", F.least("block", "other").alias("_i"), F.greatest("block", "other").alias("_j"), "home", "node", "component", "n_shingles", "place")
 
 
-def _tile_candidates(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+def _tile_candidates(tiles: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Pairs of classes of different components in a tile that no bound rules out."""
-    rows = tiles.join(classes.select("cls", "bitmap"), "cls")
-    rows = rows.repartition("tile").sortWithinPartitions("tile", "block").select("tile", "block", "_i", "_j", "home", "cls", "component", "n_shingles", "place", "bitmap")
+    rows = tiles.join(open_rows.select("node", "bitmap"), "node")
+    rows = rows.repartition("tile").sortWithinPartitions("tile", "block").select("tile", "block", "_i", "_j", "home", "node", "component", "n_shingles", "place", "bitmap")
 
     def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("block", "_i", "_j", "home", "cls", "component", "n_shingles", "place")}
+        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("block", "_i", "_j", "home", "node", "component", "n_shingles", "place")}
         bits = t.column("bitmap").to_pylist()
         across = col["_i"][0] != col["_j"][0]
         out_a, out_b = [], []
         sizes, widths = col["n_shingles"], np.array([len(b) // 8 for b in bits])
-        cls, component, place, home, block = (col[c] for c in ("cls", "component", "place", "home", "block"))
+        node, component, place, home, block = (col[c] for c in ("node", "component", "place", "home", "block"))
         by_width = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
         tables = {w: np.frombuffer(b"".join(bits[i] for i in at.tolist()), np.uint64).reshape(-1, w) for w, at in by_width.items()}
         for w, at in by_width.items():
@@ -242,8 +255,8 @@ def _tile_candidates(tiles: DataFrame, classes: DataFrame) -> DataFrame:
                     if len(some):
                         differ = np.bitwise_count(narrow[some] ^ tables[w][k]).sum(axis=1, dtype=np.int64)
                         some = some[sizes[i] + sizes[to[some]] - differ >= 2 * need[some]]
-                        out_a.append(np.full(len(some), cls[i]))
-                        out_b.append(cls[to[some]])
+                        out_a.append(np.full(len(some), node[i]))
+                        out_b.append(node[to[some]])
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,27 +288,26 @@ def _tile_candidates(tiles: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): of each document the least id it reaches by links, and the least id with an equal set."""
     held = durable(profiles(docs, words))
-    key = ["n_shingles", "key_a", "key_b"]
-    # One row for each different set. An id of its own (not a document's) names it, so null and repeated ids don't matter.
-    full = F.max_by(F.struct("bitmap", "tokens", "places", "members"), F.length("tokens"))
-    classes = held.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), full.alias("_set"))
-    classes = durable(classes.select(F.xxhash64(*key).alias("cls"), *key, "class_id", "_set.*"))
-    open_ = classes.where(F.length("tokens") > 0)
-
-    early = _postings(open_, early=True)
-    pivots = early.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("_b")).where("a < _b").select("token", "a")
-    pairs = early.join(pivots, "token").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    key, open_ = ["n_shingles", "key_a", "key_b"], held.where(F.length("tokens") > 0)
+    # One row for each different set; a node of its own stands for it, so null and repeated ids don't matter.
+    node = F.min(F.when(F.length("tokens") > 0, F.col("node")))
+    classes = durable(held.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), node.alias("node")))
+    stands = classes.where("node is not null").select("node")
+
+    early = durable(_postings(open_, early=True).join(stands, "node"))
+    pivots = early.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("_b")).where("a < _b").select("token", "a")
+    pairs = early.join(pivots, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges = durable(_linked(pairs, open_))
     found = durable(components(edges))
 
-    named = open_.select("cls", "n_shingles", "tokens", "places").join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    postings = _postings(open_, early=False).join(named.select("cls", F.coalesce("component", "cls").alias("component")), "cls")
+    named = stands.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    postings = durable(_postings(open_, early=False).join(named, "node"))
     pairs = _tile_candidates(_tiles(postings), open_)
     edges = durable(edges.union(_linked(pairs, open_)))
     found = components(edges)
 
-    named = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "component").select(*key, "class_id", "component_id")
+    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node", F.xxhash64(*key)))
+    least = named.groupBy("component", F.col("node").isNull().alias("alone")).agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, (named["component"] == least["component"]) & (named["node"].isNull() == least["alone"])).select(*key, "class_id", "component_id")
     out = held.select("doc_id", *key).join(named, key, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
