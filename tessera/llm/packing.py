@@ -16,6 +16,7 @@ an empty table gives none.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import global_index
+from tessera.llm._common import durable, global_index
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text looked at together, and words whose ids a worker remembers.
-SEGMENT_BYTES, REMEMBERED = 1 << 22, 300_000
+SEGMENT_BYTES, REMEMBERED = 1 << 22, 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -39,9 +40,12 @@ class WordIds:
     """Ids of whole texts, as little-endian 32-bit bytes, through a bounded memory of words.
 
     White space always ends a token of this kind of vocabulary and leaves no
-    token of its own, so a text's ids are its words' ids in a row.
+    token of its own, so a text's ids are its words' ids in a row. Case doesn't matter, and a single mark
+    between a letter and white space is a word of its own; a plain word needs no more than the merges.
     """
 
+    mark = re.compile(rb"([a-z])([.,;:!?])(?=[ \n])")
+
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
@@ -53,12 +57,19 @@ class WordIds:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set(words) - self.known.keys())
-        encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        new = set(words) - self.known.keys()
+        merge, other = self.tokenizer.model.tokenize, []
+        for w in new:
+            if w.isalpha() and w.islower():
+                self.known[w] = b"".join([t.id.to_bytes(4, "little") for t in merge(w.decode())])
+            else:
+                other.append(w)
+        encoded = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
+        self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(other, encoded, strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        # A text that may hold a special token's string keeps its case, which matters there.
+        words = [t.split() if b"<|" in t else self.mark.sub(rb"\1 \2", t.lower()).split() for t in texts]
         self._learn([w for ws in words for w in ws])
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
@@ -162,7 +173,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece with its sequence and its offset there."""
-    ranked = global_index(pieces(docs, capacity, path), [F.col("length"), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")], "_rank")
+    ranked = global_index(durable(pieces(docs, capacity, path)), [F.col("length"), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")], "_rank")
     # At most ``capacity`` rows come to the driver.
     histogram = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}
     plan = plan_bins(histogram, capacity)
