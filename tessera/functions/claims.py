@@ -86,4 +86,4 @@ def split_fold(key: Column, dev_share: float = 0.8) -> Column:
 def judge_number(text: Column, low: float, high: float) -> Column:
     """A verdict's number cut to its range; null if it isn't one."""
     value = text.try_cast("double")
-    return F.when(~F.isnan(value), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+    return F.when(value.isNotNull() & ~F.isnan(value), F.least(F.greatest(value, F.lit(low)), F.lit(high)))

@@ -113,7 +113,7 @@ def rejection_grid(signals: DataFrame, grid: DataFrame, least_negative: float =
 def ab_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Cases of both runs (case_id, passed): unchanged, fixed or broken, joined one to one."""
     both = before.select("case_id", F.col("passed").alias("was")).join(after.select("case_id", F.col("passed").alias("now")), "case_id")
-    return both.withColumn("change", F.when(F.col("was") == F.col("now"), "same").when("now", "fixed").otherwise("broken"))
+    return both.withColumn("change", F.when(F.col("was") == F.col("now"), "same").when(F.col("now"), "fixed").otherwise("broken"))
 
 
 def security_regressions(before: DataFrame, after: DataFrame) -> DataFrame:

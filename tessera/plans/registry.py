@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval
+from tessera.plans import operations, operations_sql, retrieval, text
 from tessera.plans._tables import Query
 
-_MODULES = (retrieval,)
-
-QUERIES: dict[str, Query] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+QUERIES: dict[str, Query] = retrieval.QUERIES | text.QUERIES | operations.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | text.ORACLE_SQL | operations_sql.ORACLE_SQL
