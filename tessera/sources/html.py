@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Elements whose content is not text of the page, and those that end a block.
 SKIPPED = ("script", "style", "noscript", "template", "head", "iframe", "svg")
@@ -88,7 +89,7 @@ def page_text(html: str | None) -> str:
     return "\n\n".join(page.blocks)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _parse(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
         yield batch.map(page_text)

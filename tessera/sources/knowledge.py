@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: File types that are read, directories that are, and marks of files that aren't.
 SUFFIXES = ("md", "txt", "pdf", "docx", "html", "htm", "xlsx", "xlsm")
@@ -19,11 +23,26 @@ def scan_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (
     return files.select("path", F.regexp_replace(relative, "^/", "").alias("relative"), decode_text(F.col("content")).alias("text"))
 
 
+def decoded(content: bytes | None) -> str | None:
+    for encoding in ("utf-8", "gb18030"):
+        try:
+            text = bytes(content or b"").decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        controls = sum(1 for c in text if c < " " and c not in "\t\n\r\f\v" or c == "\x7f")
+        return None if "\0" in text or controls > 0.02 * len(text) else text
+    return None
+
+
+@F.pandas_udf(StringType())
+def _decode(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in contents:
+        yield batch.map(decoded)
+
+
 def decode_text(content: Column) -> Column:
-    """UTF-8, else GB18030; null for bytes with NUL or more than 2% control characters."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "GB18030"))
-    controls = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0E-\x1F\x7F]", ""))
-    return F.when(~text.contains("\x00") & (controls <= F.length(text) * 0.02), text)
+    """UTF-8, else GB18030 (which Spark's own decode lacks); null for bytes with NUL or more than 2% control characters."""
+    return _decode(content)
 
 
 def allowed_path(path: Column) -> Column:
