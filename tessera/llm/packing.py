@@ -29,22 +29,23 @@ from tessera.llm._common import durable, global_index
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text looked at together, and words whose ids a worker remembers.
+#: Bytes of text that are split at once, and words whose ids a task remembers.
 SEGMENT_BYTES, REMEMBERED = 1 << 22, 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
-class WordIds:
-    """Ids of whole texts, as little-endian 32-bit bytes, through a bounded memory of words.
+class WordIds(dict):
+    """Ids of words, as little-endian 32-bit bytes; remembers a bounded number of them.
 
     White space always ends a token of this kind of vocabulary and leaves no
-    token of its own, so a text's ids are its words' ids in a row. Case doesn't matter, and a single mark
-    between a letter and white space is a word of its own; a plain word needs no more than the merges.
+    token of its own, so a text's ids are its words' ids in a row. Letters, digits and marks don't share tokens
+    either, so an ASCII word is made of its runs, and a plain run needs no more than the merges.
     """
 
-    mark = re.compile(rb"([a-z])([.,;:!?])(?=[ \n])")
+    runs = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    ending = re.compile(rb"(.*[a-z])([.,;:!?*&%$#]+)", re.DOTALL)
 
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,51 +53,43 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set(words) - self.known.keys()
-        merge, other = self.tokenizer.model.tokenize, []
-        for w in new:
-            if w.isalpha() and w.islower():
-                self.known[w] = b"".join([t.id.to_bytes(4, "little") for t in merge(w.decode())])
+        self.merges = self.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if word.isalpha() and word.islower():
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(word.decode())])
+        else:
+            parts = []
+            if b"'" not in word and b"<|" not in word and word == word.lower():
+                ended = None if word.isascii() else self.ending.fullmatch(word)
+                parts = self.runs.findall(word) if word.isascii() else ended.groups() if ended else []
+            if len(parts) > 1:
+                ids = b"".join([self[p] for p in parts])
             else:
-                other.append(w)
-        encoded = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
-        self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(other, encoded, strict=True))
+                ids = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        # A text that may hold a special token's string keeps its case, which matters there.
-        words = [t.split() if b"<|" in t else self.mark.sub(rb"\1 \2", t.lower()).split() for t in texts]
-        self._learn([w for ws in words for w in ws])
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+    def of(self, text: bytes) -> bytes:
+        """A text that may hold a special token's string keeps its case, which matters there only."""
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
     def whole(self, text: bytes) -> bytes:
-        """The same for a text of any length, a segment at a time, cut at white space."""
+        """The ids of a text of any length, a segment at a time, cut at white space."""
+        if len(text) <= SEGMENT_BYTES:
+            return self.of(text)
         out, at = [], 0
         while at < len(text):
             end = at + SEGMENT_BYTES
             while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            out += self([text[at:end]])
+            out.append(self.of(text[at:end]))
             at = end
         return b"".join(out)
 
 
-def batches_of(texts: list[bytes], most: int = SEGMENT_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``most`` bytes together, or one long text."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield at, i
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
 
@@ -106,15 +99,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for i, j in batches_of(texts):
-                rows = []
-                blobs = ids(texts[i:j]) if j - i > 1 else [ids.whole(texts[i])]
-                for key, blob in zip(keys[i:j], blobs, strict=True):
-                    blob += b"\0\0\0\0"
-                    for k in range(0, len(blob), 4 * capacity):
-                        part = blob[k : k + 4 * capacity]
-                        rows.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows = []
+            for key, text in zip(keys, texts, strict=True):
+                blob = ids.whole(text) + b"\0\0\0\0"
+                for k in range(0, len(blob), 4 * capacity):
+                    part = blob[k : k + 4 * capacity]
+                    rows.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
