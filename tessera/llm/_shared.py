@@ -21,7 +21,7 @@ from tessera.llm._common import partitions
 from tessera.llm._words import as_binaries, joined
 
 #: Chunks for each partition of a shuffle: a chunk is what one call of Python sees of the texts.
-CHUNKS_A_PARTITION = 4
+CHUNKS_A_PARTITION = 2
 
 SENT = "bucket int, chunk int, hashes binary, firsts binary"
 ANSWER = "chunk int, level int, hashes binary"
