@@ -31,7 +31,7 @@ _COUNTER = 0xFFFF
 
 def pieces(text: Column) -> Column:
     cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    return F.filter(F.transform(cut, F.trim), lambda p: p != "")
+    return F.filter(F.transform(cut, lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
 
 
 def _hash(piece: Column, seed: int) -> Column:

@@ -96,7 +96,7 @@ def mixture_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     cut = last.groupBy("source").agg(F.max("hash").alias("_cut"))
     cuts = second.select(F.col("source").alias("_source"), F.shiftleft("_b2", shift2).alias("_floor")).join(cut, F.col("_source").eqNullSafe(F.col("source")), "left")
     cuts = cuts.select("_source", F.coalesce("_cut", F.col("_floor") - 1).alias("cut"))
-    return targets.drop("_rest").join(cuts, same, "left").select("source", "source_size", "target", "full", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    return targets.join(cuts, same, "left").select("source", "source_size", "target", "full", F.when(F.col("_rest") > 0, F.coalesce("cut", F.lit(-1))).otherwise(-1).alias("cut"))
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
