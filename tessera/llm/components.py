@@ -11,12 +11,12 @@ from tessera.llm._common import durable
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b): component is the least node that it reaches.
 
-    Each round links every node's neighbours, and the node, to the least of them (large
-    star, then small star); edges that repeat go, and it ends when a round changes none. The
-    number of rounds grows with the logarithm of the longest path. No group is collected.
+    Each round links every node's greater neighbours, then the node and its lesser ones, to
+    the least of them (large star, small star), until a round changes nothing. The number of rounds
+    grows with the logarithm of the longest path, and no group is collected.
     """
     links = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    count = _signature(links)
+    before = _signature(links)
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,13 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         links = durable(small.where("u <> v").distinct())
         now = _signature(links)
-        if now == count:
+        if now == before:
             break
-        count = now
+        before = now
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").union(roots.select("component", "component").distinct())
 
 
 def _signature(links: DataFrame) -> tuple:
-    """Two sums that stay the same when a round has changed nothing."""
+    """A count and a sum that stay the same when a round has changed nothing."""
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -6,12 +6,13 @@ the corpus: a set of which too many occur nowhere else can't link and is closed
 open ones are compared, never as whole groups of pairs:
 
 1. Equal sets are one class; one open document stands for it.
-2. For the very least shingles, each class is compared with one other class that has the
-   same shingle. Links found join classes into components.
-3. Where a shingle still lies in more than one component, its classes are dealt into tiles by
-   size band (sets that link differ in size by a third at most) and, in large
-   groups, by blocks. A tile compares hashed bitmap signatures: the bits in which
-   two differ bound the overlap from above. What passes is intersected exactly.
+2. Classes that share a shingle are dealt into tiles by size band (sets that link differ in size by a
+   third at most) and, in large groups, by blocks. A tile compares hashed bitmap
+   signatures: the bits in which two differ bound the overlap from above. What passes is intersected exactly.
+3. Nearly all pairs that link share one of their EARLY very least shingles. Tiles of these come first. In a few rounds each class
+   offers only its nearest partner of another component, and links found join
+   components; then all pairs between components that are left are tried.
+4. Tiles of all other looked-up shingles try the pairs between components that share none of those.
 
 Components then hold every link: a pair left out is either proven too unlike or
 already joined. Links are exact up to collisions of 40-bit shingle hashes within a pair.
@@ -31,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import durable, partitions
+from tessera.llm._common import BROADCAST_ROWS, durable, partitions, release
 from tessera.llm._shared import ANSWER, SENT, answered, answers_of, in_chunks, in_several, sent
 from tessera.llm._words import Words, among, as_binaries, dealt, joined, keys_of, mixed, text_slices
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: How many of a set's least shingles step 2 looks at, and the most classes of a tile's side.
-EARLY, BLOCK = 6, 1024
+#: How many very least shingles step 3 looks at, its rounds, and the most classes of a tile's side.
+EARLY, ROUNDS, BLOCK = 8, 2, 1024
 KEPT_BYTES = 5
+POSTED = ["token", "node", "component", "n_shingles", "place", "early"]
 
 PROFILE = "node long, doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, tokens binary, places binary, members binary"
 
@@ -61,8 +63,8 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of the signature of n shingles: about two bits for each."""
-    return 1 << max(2, (int(n) * 2 // 64).bit_length())
+    """64-bit words of the signature of n shingles: four to eight bits for each, so that few differences coincide."""
+    return 1 << max(2, (int(n) * 4 // 64).bit_length())
 
 
 class _Sets:
@@ -84,8 +86,12 @@ class _Sets:
                     at = np.searchsorted(found.text, short)
                     whole = found.windows(k)[0][at]
                     value, owner = np.concatenate([value, mixed(whole + np.uint64(k))]), np.concatenate([owner, short])
-            order = np.lexsort((value, owner))
-            value, owner = value[order], owner[order]
+            if (n_words < words).any():
+                order = np.argsort(owner, kind="stable")
+                value, owner = value[order], owner[order]
+            edges = np.searchsorted(owner, np.arange(found.n_texts + 1)).tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                value[a:b].sort()
             new = np.ones(len(value), bool)
             new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
             hashes.append(value[new])
@@ -160,22 +166,29 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _postings(rows: DataFrame, early: bool) -> DataFrame:
-    """(token, node, n_shingles, place) of the shared least shingles of each row."""
+    """(token, node, component, n_shingles, place, early) of the shared least shingles of each row; early: the first of them."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.array([len(t) // 8 for t in batch.column("tokens").to_pylist()], np.int64)
             tokens, places = joined(batch.column("tokens"), np.int64), joined(batch.column("places"), np.int32)
-            node, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "n_shingles"))
-            keep = places < EARLY if early else np.ones(len(places), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, node, size, places)], ["token", "node", "n_shingles", "place"])
+            node, component, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "component", "n_shingles"))
+            soon = places < EARLY
+            if early:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[soon]) for x in (tokens, node, component, size, places)), pa.nulls(int(soon.sum()), pa.binary())], POSTED)
+                continue
+            n_soon = np.bincount(np.repeat(np.arange(len(counts)), counts)[soon], minlength=len(counts))
+            first = as_binaries(tokens[soon], n_soon).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (tokens, node, component, size, places)), first], POSTED)
 
-    return rows.select("node", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, node long, n_shingles long, place int")
+    return rows.select("node", "component", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, node long, component long, n_shingles long, place int, early binary")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets link: bounds by size and signature first, then the exact intersection."""
-    sides = rows.select("node", "bitmap", "members")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sides = rows.select("node", "bitmap", "members").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
     left = sides.toDF("a", "bitmap_a", "members_a")
     right = sides.toDF("b", "bitmap_b", "members_b")
 
@@ -216,97 +229,139 @@ def size_band(n: Column) -> Column:
 
 def _tiles(postings: DataFrame) -> DataFrame:
     """Postings dealt into tiles: by shingle and size band, each row also to the band below as a guest, and by pairs of blocks where a tile is large."""
+    several = postings.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
+    postings = postings.join(several, "token")
     band = size_band(F.col("n_shingles"))
     at = postings.withColumn("band", F.explode(F.array(band, band - 1))).withColumn("home", F.col("band") == band)
     sizes = at.groupBy("token", "band").agg(F.count("*").alias("_n"), F.count_if("home").alias("_homes"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     sizes = sizes.where("_homes > 0 and _n > 1 and _lo < _hi").select("token", "band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     at = at.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return at.select(F.xxhash64("token", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", F.least("block", "other").alias("_i"), F.greatest("block", "other").alias("_j"), "home", "node", "component", "n_shingles", "place")
-
-
-def _tile_candidates(tiles: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """Pairs of classes of different components in a tile that no bound rules out."""
-    rows = tiles.join(open_rows.select("node", "bitmap"), "node")
-    rows = rows.repartition("tile").sortWithinPartitions("tile", "block").select("tile", "block", "_i", "_j", "home", "node", "component", "n_shingles", "place", "bitmap")
-
-    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("block", "_i", "_j", "home", "node", "component", "n_shingles", "place")}
-        bits = t.column("bitmap").to_pylist()
-        across = col["_i"][0] != col["_j"][0]
-        out_a, out_b = [], []
-        sizes, widths = col["n_shingles"], np.array([len(b) // 8 for b in bits])
-        node, component, place, home, block = (col[c] for c in ("node", "component", "place", "home", "block"))
-        by_width = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
-        tables = {w: np.frombuffer(b"".join(bits[i] for i in at.tolist()), np.uint64).reshape(-1, w) for w, at in by_width.items()}
-        for w, at in by_width.items():
-            for v, to in by_width.items():
-                if v < w:
-                    continue
-                narrow = folded(tables[v], w)
-                for k, i in enumerate(at.tolist()):
-                    need = least_overlap(sizes[i], sizes[to])
-                    rest = np.minimum(sizes[i] - place[i], sizes[to] - place[to])
-                    ok = (component[to] != component[i]) & (home[to] | home[i]) & (need <= rest)
-                    ok &= (to > i) if v == w else True
-                    if across:
-                        ok &= block[to] != block[i]
-                    some = np.flatnonzero(ok)
-                    if len(some):
-                        differ = np.bitwise_count(narrow[some] ^ tables[w][k]).sum(axis=1, dtype=np.int64)
-                        some = some[sizes[i] + sizes[to[some]] - differ >= 2 * need[some]]
-                        out_a.append(np.full(len(some), node[i]))
-                        out_b.append(node[to[some]])
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
+    return at.select(F.xxhash64("token", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", F.least("block", "other").alias("_i"), F.greatest("block", "other").alias("_j"), "home", *POSTED[1:])
+
+
+def _tile_candidates(postings: DataFrame, open_rows: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components in a tile that no bound rules out; nearest: only the nearest one for each class."""
+    rows = _tiles(postings).join(open_rows.select("node", "bitmap"), "node")
+    columns = ["tile", "block", "_i", "_j", "home", *POSTED[1:], "bitmap"]
+    rows = rows.repartition("tile").sortWithinPartitions("tile").select(*columns)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            if table.num_rows > 1:
-                a, b = pairs_of(table)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                found = [pa.array(x) for x in _compare(pa.Table.from_batches(held), nearest)]
+                held.clear()
+                yield pa.RecordBatch.from_arrays(found, ["a", "b", "apart"])
 
         for batch in batches:
+            # A tile may go on in the next batch: only what comes before the last tile is complete.
             tile = batch.column("tile").to_numpy()
-            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi == lo:
-                    continue
-                if held and held[0].column("tile")[0].as_py() != tile[lo]:
-                    yield from done(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from done(held)
-
-    return rows.mapInArrow(candidates, "a long, b long").distinct()
+            cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
+            if held and cut:
+                held.append(batch.slice(0, cut))
+                yield from done()
+            elif cut:
+                yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in _compare(pa.Table.from_batches([batch.slice(0, cut)]), nearest)], ["a", "b", "apart"]),)
+            elif held and len(tile) and held[-1].column("tile")[0].as_py() != tile[0]:
+                yield from done()
+            if len(tile):
+                held.append(batch.slice(cut))
+        yield from done()
+
+    found = rows.mapInArrow(candidates, "a long, b long, apart double")
+    if nearest:
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _compare(table: pa.Table, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates in whole tiles, which stand one after the other: rows are compared with those d places on, for each d."""
+    col = {c: table.column(c).to_numpy() for c in ("tile", "block", "_i", "_j", "home", "node", "component", "n_shingles", "place")}
+    bits, early = table.column("bitmap").to_pylist(), table.column("early").to_pylist()
+    order = np.argsort(col["tile"], kind="stable")
+    col = {c: v[order] for c, v in col.items()}
+    widths = np.array([len(b) // 8 for b in bits])[order]
+    sooner = np.zeros((len(order), EARLY), np.uint64)
+    for k, i in enumerate(order.tolist()):
+        if early[i]:
+            sooner[k, : len(early[i]) // 8] = np.frombuffer(early[i], np.uint64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for width in np.unique(widths).tolist():
+        # Sizes in a tile differ by less than a factor of two, so widths by one step.
+        at = np.flatnonzero((widths >= width) & (widths <= 4 * width))
+        if not len(at):
+            continue
+        signs = np.concatenate([folded(np.frombuffer(bits[order[i]], np.uint64)[None], width) for i in at.tolist()])
+        own = {c: v[at] for c, v in col.items()}
+        narrow, soon = widths[at] == width, sooner[at]
+        start = np.concatenate([[True], own["tile"][1:] != own["tile"][:-1]])
+        first = np.flatnonzero(start)
+        ends = np.repeat(np.append(first[1:], len(at)), np.diff(np.append(first, len(at))))
+        across = own["_i"] != own["_j"]
+        near, who = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+        x, d = np.arange(len(at)), 1
+        while len(x := x[x + d < ends[x]]):
+            y = x + d
+            ok = (own["component"][x] != own["component"][y]) & (narrow[x] | narrow[y]) & (own["home"][x] | own["home"][y]) & (~across[x] | (own["block"][x] != own["block"][y]))
+            i, j = x[ok], y[ok]
+            need = least_overlap(own["n_shingles"][i], own["n_shingles"][j])
+            fits = need <= np.minimum(own["n_shingles"][i] - own["place"][i], own["n_shingles"][j] - own["place"][j])
+            i, j, need = i[fits], j[fits], need[fits]
+            # Pairs that share an early shingle have been tried there.
+            same = ((soon[i][:, :, None] == soon[j][:, None, :]) & (soon[i] > 0)[:, :, None]).any(axis=(1, 2))
+            i, j, need = i[~same], j[~same], need[~same]
+            both = own["n_shingles"][i] + own["n_shingles"][j]
+            differ = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64)
+            like = both - differ >= 2 * need
+            i, j, apart = i[like], j[like], differ[like] / both[like]
+            if nearest:
+                for p, q in ((i, j), (j, i)):
+                    closer = apart < near[p]
+                    near[p[closer]], who[p[closer]] = apart[closer], own["node"][q[closer]]
+            elif len(i):
+                out.append((own["node"][i], own["node"][j], apart))
+            d += 1
+        has = np.isfinite(near)
+        out.append((own["node"][has], who[has], near[has]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _joined_up(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (a, b) have joined components; only the components that they touch are worked on."""
+    side = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    across = durable(links.join(side("a"), "a").join(side("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    if not across.limit(1).count():
+        return named
+    merged = components(across).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return durable(named.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): of each document the least id it reaches by links, and the least id with an equal set."""
     held = durable(profiles(docs, words))
+    release(docs.sparkSession)
     key, open_ = ["n_shingles", "key_a", "key_b"], held.where(F.length("tokens") > 0)
     # One row for each different set; a node of its own stands for it, so null and repeated ids don't matter.
     node = F.min(F.when(F.length("tokens") > 0, F.col("node")))
     classes = durable(held.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), node.alias("node")))
     stands = classes.where("node is not null").select("node")
 
-    early = durable(_postings(open_, early=True).join(stands, "node"))
-    pivots = early.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("_b")).where("a < _b").select("token", "a")
-    pairs = early.join(pivots, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges = durable(_linked(pairs, open_))
-    found = durable(components(edges))
-
-    named = stands.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    postings = durable(_postings(open_, early=False).join(named, "node"))
-    pairs = _tile_candidates(_tiles(postings), open_)
-    edges = durable(edges.union(_linked(pairs, open_)))
-    found = components(edges)
-
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node", F.xxhash64(*key)))
+    named, tried = durable(stands.select("node", F.col("node").alias("component"))), None
+    for step in range(ROUNDS + 2):
+        # ROUNDS times the nearest partners by early shingles, then all partners by these, then by all shingles.
+        postings = _postings(open_.join(named, "node"), early=step <= ROUNDS)
+        pairs = _tile_candidates(postings, open_, nearest=step < ROUNDS)
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            tried = pairs if tried is None else tried.union(pairs)
+            named = _joined_up(named, _linked(pairs, open_))
+        release(docs.sparkSession)
+
+    named = classes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node", F.xxhash64(*key)))
     least = named.groupBy("component", F.col("node").isNull().alias("alone")).agg(F.min("class_id").alias("component_id"))
     named = named.join(least, (named["component"] == least["component"]) & (named["node"].isNull() == least["alone"])).select(*key, "class_id", "component_id")
     out = held.select("doc_id", *key).join(named, key, "left")
