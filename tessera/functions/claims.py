@@ -40,7 +40,7 @@ def citations(text: Column) -> Column:
     books = F.regexp_extract_all(text, F.lit(rf"(?:{context})[^《》]{{0,5}}《([^《》]{{1,80}})》"), F.lit(1))
     files = F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_\-./\\])([A-Za-z0-9\x{4e00}-\x{9fff}_\-./\\]+\.(?:md|txt|pdf|docx|doc|html))(?![A-Za-z0-9])"), F.lit(1))
     bare = F.transform(files, lambda f: F.regexp_replace(f, "^(?:请参考|参考|详见|见|来源|根据|依据)+", ""))
-    return F.filter(F.array_distinct(F.transform(F.concat(books, bare), F.trim)), lambda c: c != "")
+    return F.filter(F.array_distinct(F.transform(F.concat(books, bare), lambda c: F.trim(c))), lambda c: c != "")
 
 
 def normalize_source(name: Column) -> Column:

@@ -58,7 +58,7 @@ def normalize_question(text: Column) -> Column:
 
 def normalize_answer(text: Column) -> Column:
     """Trimmed lines without headings of level 2 and 3; empty unless 20 to 1200 characters long."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: ~(x.startswith("## ") | x.startswith("### ")))
     out = F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
     return F.when(F.length(out).between(20, 1200), out).otherwise("")

@@ -170,7 +170,7 @@ def product_search(products: DataFrame, terms: list[str], query: str, k: int) ->
 def usable_subqueries(rewrites: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, subqueries): the query first, then its rewrites, trimmed, distinct, at most three."""
     every = F.concat(F.array(F.col("query")), F.coalesce("rewrites", F.array().cast("array<string>")))
-    return rewrites.select("query_id", F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda q: q != "")), 1, most).alias("subqueries"))
+    return rewrites.select("query_id", F.slice(F.array_distinct(F.filter(F.transform(every, lambda q: F.trim(q)), lambda q: q != "")), 1, most).alias("subqueries"))
 
 
 def apply_rerank(ranked: DataFrame, scores: DataFrame, k: int) -> DataFrame:
