@@ -109,3 +109,18 @@ def fold_uploads(chunks: DataFrame) -> DataFrame:
     """Uploads (upload_id, part, total, state) whose parts are all ready."""
     ready = F.countDistinct(F.when(F.col("state") == "ready", F.col("part")))
     return chunks.groupBy("upload_id").agg(ready.alias("ready"), F.max("total").alias("total")).withColumn("complete", F.col("ready") == F.col("total"))
+
+
+def handoff_states(events: DataFrame) -> DataFrame:
+    """Tickets from their events (ticket_id, seq, action, actor): the first claimer has it, the last resolution ends it."""
+    claim = F.min(F.when(F.col("action") == "claim", F.struct("seq", "actor")))
+    solved = F.max(F.when(F.col("action") == "resolve", F.col("seq")))
+    grouped = events.groupBy("ticket_id").agg(claim.alias("_c"), solved.alias("resolved_seq"))
+    status = F.when(F.col("resolved_seq").isNotNull(), "resolved").when(F.col("_c").isNotNull(), "claimed").otherwise("open")
+    return grouped.select("ticket_id", F.col("_c.actor").alias("assignee"), status.alias("status"))
+
+
+def outbox_backlog(jobs: DataFrame, now: Column) -> DataFrame:
+    """Rows that are in flight, by status, with the longest wait in seconds."""
+    flying = jobs.where(F.col("status").isin("queued", "running", "retry_wait"))
+    return flying.groupBy("status").agg(F.count("*").alias("n"), F.timestamp_diff("SECOND", F.min("created_at"), now).alias("wait_seconds"))

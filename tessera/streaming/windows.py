@@ -116,3 +116,22 @@ def held_for(states: DataFrame, condition: Column, n: int, by: str, order: str)
     marked = states.withColumn("_on", condition).withColumn("_all", F.row_number().over(w))
     runs = marked.where("_on").withColumn("_run", F.col("_all") - F.row_number().over(w))
     return runs.groupBy(by, "_run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).where(F.col("n") >= n).drop("_run")
+
+
+def daily_budget(calls: DataFrame, limit: int) -> DataFrame:
+    """Calls (call_id, ts, user_id, estimate, actual) against a budget for each user and day, in order of time.
+
+    A call is rejected if what the day's accepted calls have used and its own estimate reach the limit; a rejected one uses nothing. A user's
+    day is one group, since each decision depends on those before it.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "call_id"])
+        used, allowed = 0, []
+        for estimate, actual in zip(rows["estimate"], rows["actual"], strict=True):
+            allowed.append(used + estimate < limit)
+            used += actual if allowed[-1] else 0
+        return pd.DataFrame({"call_id": rows["call_id"], "user_id": rows["user_id"], "day": rows["day"], "allowed": allowed})
+
+    days = calls.withColumn("day", F.to_date("ts"))
+    return days.groupBy("user_id", "day").applyInPandas(fold, "call_id long, user_id long, day date, allowed boolean")

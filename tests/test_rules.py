@@ -7,9 +7,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import claims, safety, text
+from tessera.functions import claims, safety, text, unicode
 from tessera.operators import evaluation, memory, mining, queues, retrieval, sessions
 from tessera.sources import html, knowledge, records
+from tessera.streaming import windows
 
 
 def one(spark, value, rule):
@@ -160,3 +161,18 @@ def test_rerank_falls_back(spark):
 def test_product_search(spark):
     products = spark.createDataFrame([("p1", "Red Mug", "kitchen", "a mug"), ("p2", "Lamp", "light", "with mug holder"), ("p3", "Rope", "garden", "x")], "id string, name string, category string, text string")
     assert [r["id"] for r in retrieval.product_search(products, ["mug"], "mug", 5).collect()] == ["p1", "p2"]
+
+
+def test_slugs(spark):
+    assert one(spark, "ＡＢ ﬁn: é-1!", unicode.slug) == "ABfiné-1" and one(spark, "!!", unicode.slug) == "qa" and one(spark, "①", unicode.nfkc) == "1"
+
+
+def test_handoffs(spark):
+    events = [(1, 1, "open", "u"), (1, 2, "claim", "a"), (1, 3, "claim", "b"), (1, 4, "resolve", "a"), (2, 1, "open", "u"), (3, 1, "claim", "c")]
+    found = queues.handoff_states(spark.createDataFrame(events, "ticket_id long, seq long, action string, actor string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "a", "resolved"), (2, None, "open"), (3, "c", "claimed")]
+
+
+def test_daily_budget(spark):
+    calls = spark.sql("SELECT * FROM VALUES (1L, timestamp'2024-01-01 01:00:00', 7L, 60L, 70L), (2L, timestamp'2024-01-01 02:00:00', 7L, 40L, 5L), (3L, timestamp'2024-01-01 03:00:00', 7L, 20L, 20L), (4L, timestamp'2024-01-02 01:00:00', 7L, 60L, 1L) AS t(call_id, ts, user_id, estimate, actual)")
+    assert sorted((r["call_id"], r["allowed"]) for r in windows.daily_budget(calls, 100).collect()) == [(1, True), (2, False), (3, True), (4, True)]
