@@ -379,6 +379,18 @@ def test_chains_and_many_near_copies(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == Counter(brute_components(out))
 
 
+@pytest.mark.parametrize("rounds", [False, True])
+def test_components_of_links(spark, rounds):
+    from tessera.llm import components
+
+    pairs = [*((i, i + 1) for i in range(40)), (100, 90), (90, 95), (200, 201), (201, 201), (-5, 40)]
+    links = spark.createDataFrame([(max(p), min(p)) for p in pairs if p[0] != p[1]], "u long, v long")
+    found = components.in_rounds(links) if rounds else components.components(spark.createDataFrame(pairs, "a long, b long"))
+    expected = {i: -5 for i in [*range(41), -5]} | {90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
+    assert sorted(map(tuple, found.collect())) == sorted(expected.items())
+    assert components.components(links.limit(0).toDF("a", "b")).count() == 0
+
+
 def test_no_documents_join(none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
