@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import claims, safety, text, unicode
+from tessera.functions import claims, confirmation, safety, text, unicode
 from tessera.operators import evaluation, memory, mining, queues, retrieval, sessions
 from tessera.sources import html, knowledge, records
 from tessera.streaming import windows
@@ -176,3 +176,16 @@ def test_handoffs(spark):
 def test_daily_budget(spark):
     calls = spark.sql("SELECT * FROM VALUES (1L, timestamp'2024-01-01 01:00:00', 7L, 60L, 70L), (2L, timestamp'2024-01-01 02:00:00', 7L, 40L, 5L), (3L, timestamp'2024-01-01 03:00:00', 7L, 20L, 20L), (4L, timestamp'2024-01-02 01:00:00', 7L, 60L, 1L) AS t(call_id, ts, user_id, estimate, actual)")
     assert sorted((r["call_id"], r["allowed"]) for r in windows.daily_budget(calls, 100).collect()) == [(1, True), (2, False), (3, True), (4, True)]
+
+
+@pytest.mark.parametrize(
+    ("said", "tool", "expected"),
+    [
+        ("确认退款", "submit_refund_application", "confirm"), ("好的", "submit_refund_application", "confirm"), ("取消退款", "submit_refund_application", "cancel"), ("不取消", "submit_refund_application", "ambiguous"),
+        ("确认退款吗？", "submit_refund_application", "ambiguous"), ("不确认", "submit_refund_application", "ambiguous"), ("确认 ORD-9", "submit_refund_application", "ambiguous"), ("确认订单 ORD-1", "submit_refund_application", "confirm"),
+        ("确认撤回", "withdraw", "confirm"), ("好的", "withdraw", "ambiguous"), ("RA-7 可以", "withdraw", "confirm"), ("好的", None, "none"),
+    ],
+)
+def test_confirmation(spark, said, tool, expected):
+    rows = spark.createDataFrame([(said, tool, "ORD-1", "RA-7")], "t string, tool string, o string, a string")
+    assert rows.select(confirmation.confirmation(*map(F.col, rows.columns)).alias("r")).first()["r"] == expected
