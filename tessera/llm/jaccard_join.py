@@ -39,9 +39,10 @@ from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: How many very least shingles step 3 looks at, its rounds, and the most classes of a tile's side.
-EARLY, ROUNDS, BLOCK = 8, 2, 1024
+EARLY, ROUNDS, BLOCK = 8, 2, 4096
 KEPT_BYTES = 5
-POSTED = ["token", "node", "component", "n_shingles", "place", "early"]
+LATE_WORDS = 8
+POSTED = ["token", "node", "component", "n_shingles", "place"]
 
 PROFILE = "node long, doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, tokens binary, places binary, members binary"
 
@@ -166,50 +167,73 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _postings(rows: DataFrame, early: bool) -> DataFrame:
-    """(token, node, component, n_shingles, place, early) of the shared least shingles of each row; early: the first of them."""
+    """(token, node, component, n_shingles, place) of the shared least shingles of each row; early: of the first few only."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.array([len(t) // 8 for t in batch.column("tokens").to_pylist()], np.int64)
             tokens, places = joined(batch.column("tokens"), np.int64), joined(batch.column("places"), np.int32)
             node, component, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "component", "n_shingles"))
-            soon = places < EARLY
-            if early:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[soon]) for x in (tokens, node, component, size, places)), pa.nulls(int(soon.sum()), pa.binary())], POSTED)
-                continue
-            n_soon = np.bincount(np.repeat(np.arange(len(counts)), counts)[soon], minlength=len(counts))
-            first = as_binaries(tokens[soon], n_soon).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (tokens, node, component, size, places)), first], POSTED)
+            keep = places < EARLY if early else np.ones(len(places), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, node, component, size, places)], POSTED)
 
-    return rows.select("node", "component", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, node long, component long, n_shingles long, place int, early binary")
+    return rows.select("node", "component", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, node long, component long, n_shingles long, place int")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets link: bounds by size and signature first, then the exact intersection."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sides = rows.select("node", "bitmap", "members").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    left = sides.toDF("a", "bitmap_a", "members_a")
-    right = sides.toDF("b", "bitmap_b", "members_b")
+def _signatures(rows: DataFrame, early: bool) -> DataFrame:
+    """(node, bitmap, early) of each row: for early tiles the whole signature; for others one of at most LATE_WORDS words, and the early shingles."""
 
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = zip(*(batch.column(c).to_pylist() for c in ("bitmap_a", "bitmap_b", "members_a", "members_b")), strict=True)
-            keep = [_links(*x) for x in bits]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            bitmaps, soon = [], []
+            for bitmap, tokens, places in zip(*(batch.column(c).to_pylist() for c in ("bitmap", "tokens", "places")), strict=True):
+                bitmaps.append(bitmap if early else folded(np.frombuffer(bitmap, np.uint64)[None], LATE_WORDS).tobytes())
+                soon.append(b"" if early else tokens[: 8 * int((np.frombuffer(places, np.int32) < EARLY).sum())])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bitmaps, pa.binary()), pa.array(soon, pa.binary())], ["node", "bitmap", "early"])
+
+    return rows.select("node", "bitmap", "tokens", "places").mapInArrow(fold, "node long, bitmap binary, early binary")
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "bitmap_a", "bitmap_b", "members_a", "members_b").mapInArrow(intersect, "a long, b long")
 
+def _passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs that their whole signatures don't rule out: tiles of all shingles have compared short ones."""
+    sides = rows.select("node", "n_shingles", "bitmap")
 
-def _links(bits_a: bytes, bits_b: bytes, held_a: bytes, held_b: bytes) -> bool:
-    a, b = len(held_a) // KEPT_BYTES, len(held_b) // KEPT_BYTES
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([_may_link(*x) for x in each], pa.bool_()))
+
+    found = pairs.join(sides.toDF("a", "n_a", "bitmap_a"), "a").join(sides.toDF("b", "n_b", "bitmap_b"), "b")
+    return found.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(bound, "a long, b long")
+
+
+def _may_link(a: int, b: int, bits_a: bytes, bits_b: bytes) -> bool:
+    """Whether sets of these sizes and signatures can have the overlap that links them."""
     need = int(least_overlap(np.int64(a), np.int64(b)))
     if need > min(a, b):
         return False
     x, y = folded(np.frombuffer(bits_a, np.uint64)[None], len(bits_b) // 8), folded(np.frombuffer(bits_b, np.uint64)[None], len(bits_a) // 8)
-    if a + b - int(np.bitwise_count(x ^ y).sum()) < 2 * need:
-        return False
+    return a + b - int(np.bitwise_count(x ^ y).sum()) >= 2 * need
+
+
+def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets link: the exact intersection. Only sets of some pair are shuffled."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sides = rows.select("node", "members").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([_links(*x) for x in each], pa.bool_()))
+
+    found = pairs.join(sides.toDF("a", "members_a"), "a").join(sides.toDF("b", "members_b"), "b")
+    return found.select("a", "b", "members_a", "members_b").mapInArrow(intersect, "a long, b long")
+
+
+def _links(held_a: bytes, held_b: bytes) -> bool:
     both = np.concatenate([members_of(held_a), members_of(held_b)])
+    need = int(least_overlap(np.int64(len(held_a) // KEPT_BYTES), np.int64(len(held_b) // KEPT_BYTES)))
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum()) >= need
 
@@ -228,22 +252,31 @@ def size_band(n: Column) -> Column:
 
 
 def _tiles(postings: DataFrame) -> DataFrame:
-    """Postings dealt into tiles: by shingle and size band, each row also to the band below as a guest, and by pairs of blocks where a tile is large."""
-    several = postings.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
-    postings = postings.join(several, "token")
+    """Postings of shingles that lie in several components, dealt into tiles.
+
+    The rows of a shingle are a tile. Where they are more than BLOCK, they are dealt by size band, each row also to the band
+    below as a guest, and what is still too large by pairs of blocks.
+    """
+    counts = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    counts = durable(counts.where("_lo < _hi").select("token", (F.col("_n") > BLOCK).alias("_large")))
+    rows = postings.join(counts, "token")
+    tile = ["tile", "block", "_i", "_j", "home", *POSTED[1:]]
+    nothing = [F.lit(0).alias(c) for c in ("block", "_i", "_j")]
+    small = rows.where("not _large").select(F.xxhash64("token").alias("tile"), *nothing, F.lit(True).alias("home"), *POSTED[1:])
+    if not counts.where("_large").limit(1).count():
+        return small
     band = size_band(F.col("n_shingles"))
-    at = postings.withColumn("band", F.explode(F.array(band, band - 1))).withColumn("home", F.col("band") == band)
-    sizes = at.groupBy("token", "band").agg(F.count("*").alias("_n"), F.count_if("home").alias("_homes"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    sizes = sizes.where("_homes > 0 and _n > 1 and _lo < _hi").select("token", "band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    at = rows.where("_large").withColumn("band", F.explode(F.array(band, band - 1))).withColumn("home", F.col("band") == band)
+    sizes = at.groupBy("token", "band").agg(F.count("*").alias("_n"), F.count_if("home").alias("_homes")).where("_homes > 0 and _n > 1").select("token", "band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     at = at.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return at.select(F.xxhash64("token", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", F.least("block", "other").alias("_i"), F.greatest("block", "other").alias("_j"), "home", *POSTED[1:])
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("block", "other")).withColumn("_j", F.greatest("block", "other"))
+    return small.unionByName(at.withColumn("tile", F.xxhash64("token", "band", "_i", "_j")).select(tile))
 
 
-def _tile_candidates(postings: DataFrame, open_rows: DataFrame, nearest: bool) -> DataFrame:
+def _tile_candidates(postings: DataFrame, signatures: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of classes of different components in a tile that no bound rules out; nearest: only the nearest one for each class."""
-    rows = _tiles(postings).join(open_rows.select("node", "bitmap"), "node")
-    columns = ["tile", "block", "_i", "_j", "home", *POSTED[1:], "bitmap"]
+    rows = _tiles(postings).join(signatures, "node")
+    columns = ["tile", "block", "_i", "_j", "home", *POSTED[1:], "bitmap", "early"]
     rows = rows.repartition("tile").sortWithinPartitions("tile").select(*columns)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +322,8 @@ def _compare(table: pa.Table, nearest: bool) -> tuple[np.ndarray, np.ndarray, np
             sooner[k, : len(early[i]) // 8] = np.frombuffer(early[i], np.uint64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for width in np.unique(widths).tolist():
-        # Sizes in a tile differ by less than a factor of two, so widths by one step.
-        at = np.flatnonzero((widths >= width) & (widths <= 4 * width))
+        # Sets that link differ in size by less than a factor of two, so widths by one step.
+        at = np.flatnonzero((widths >= width) & (widths <= 2 * width))
         if not len(at):
             continue
         signs = np.concatenate([folded(np.frombuffer(bits[order[i]], np.uint64)[None], width) for i in at.tolist()])
@@ -354,8 +387,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     for step in range(ROUNDS + 2):
         # ROUNDS times the nearest partners by early shingles, then all partners by these, then by all shingles.
         postings = _postings(open_.join(named, "node"), early=step <= ROUNDS)
-        pairs = _tile_candidates(postings, open_, nearest=step < ROUNDS)
+        pairs = _tile_candidates(postings, _signatures(open_, early=step <= ROUNDS), nearest=step < ROUNDS)
         pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if step > ROUNDS:
+            pairs = durable(_passing(pairs, open_))
         if pairs.limit(1).count():
             tried = pairs if tried is None else tried.union(pairs)
             named = _joined_up(named, _linked(pairs, open_))
