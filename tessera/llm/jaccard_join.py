@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import BROADCAST_ROWS, durable, partitions, release
-from tessera.llm._shared import ANSWER, SENT, answered, answers_of, in_chunks, in_several, sent
+from tessera.llm._shared import SENT, answered, answers_of, in_chunks, in_several, sent
 from tessera.llm._words import Words, among, as_binaries, dealt, joined, keys_of, mixed, text_slices
 from tessera.llm.components import components
 
