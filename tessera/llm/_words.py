@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 LATE = np.int64(2**63 - 1)
 
 _STEP, _FIRST = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95

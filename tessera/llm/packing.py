@@ -30,7 +30,7 @@ from tessera.llm._common import durable, global_index
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are split at once, and words whose ids a task remembers.
-SEGMENT_BYTES, REMEMBERED = 1 << 22, 600_000
+SEGMENT_BYTES, REMEMBERED = 1 << 22, 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
