@@ -2,7 +2,7 @@
 
 Two sets that link share one of their least shingles (a quarter of each set and
 one, in hash order). Somewhat more of the least shingles are looked up across
-the corpus: a set of which too many occur nowhere else can't link and is closed at once. The
+the corpus: a set of which more occur nowhere else than any link allows can't link and is closed at once. The
 open ones are compared, never as whole groups of pairs:
 
 1. Equal sets are one class; one open document stands for it.
@@ -53,11 +53,23 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def lookup_length(n: np.ndarray) -> np.ndarray:
-    """How many are looked up: half as many again. A set that links shares more than the surplus of them."""
+    """How many are looked up: half as many again."""
     least = prefix_length(n)
     return np.minimum(n, least + least // 2)
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many looked-up shingles a set of n has in common with any that it links with: those that both lookups must hold."""
+    sizes, at = np.unique(n, return_inverse=True)
+    least = np.zeros(len(sizes), np.int64)
+    for i, a in enumerate(sizes):
+        b = np.arange((PERCENT * a + 99) // 100, 100 * a // PERCENT + 1)
+        both = least_overlap(a, b)
+        held = np.minimum(lookup_length(a) - (a - both), lookup_length(b) - (b - both))
+        least[i] = held[both <= np.minimum(a, b)].min()
+    return least[at]
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least overlap with which sets of these sizes link: 100 o >= 75 (a + b - o)."""
     return (PERCENT * (a + b) + PERCENT + 99) // (100 + PERCENT)
@@ -147,7 +159,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         shared[np.flatnonzero(sets.leading)] = among(tokens, np.union1d(answers_of(answers, 0), distinct[counts > 1]))
         n_shared = np.bincount(sets.text[shared], minlength=len(sets.keys))
         least = prefix_length(sets.sizes)
-        is_open = sets.speaks & (sets.sizes > 0) & (n_shared > lookup_length(sets.sizes) - least)
+        is_open = sets.speaks & (sets.sizes > 0) & (n_shared >= least_shared(sets.sizes))
         shared &= is_open[sets.text] & (sets.place < least[sets.text])
         n_shared = np.bincount(sets.text[shared], minlength=len(sets.keys))
         open_ = np.flatnonzero(is_open)

@@ -410,6 +410,30 @@ def test_bounds_never_rule_out_a_link():
             assert len(np.intersect1d(a[: jaccard_join.prefix_length(n)[0]], b[: jaccard_join.prefix_length(m)[0]]))
 
 
+def test_lookups_never_close_a_link():
+    for a in range(1, 400):
+        n = np.array([a])
+        for b in range(1, a + 1):
+            m, both = np.array([b]), int(jaccard_join.least_overlap(np.int64(a), np.int64(b)))
+            if both > b:
+                continue
+            # The shared ones come last in both sets, so as few as possible are looked up.
+            seen = min(int(jaccard_join.lookup_length(n)[0]) - (a - both), int(jaccard_join.lookup_length(m)[0]) - (b - both))
+            assert seen >= max(1, int(jaccard_join.least_shared(n)[0]), int(jaccard_join.least_shared(m)[0])), (a, b)
+
+
+def test_small_sets_link(spark):
+    out = []
+    for i in range(30):
+        words = [f"v{i}x{k}" for k in range(8)]
+        out += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] if i % 2 else words[1:]))]
+    out = [(i, t, None, None, None) for i, t in out]
+    frame = spark.createDataFrame(out, "doc_id long, text string, lang string, source string, n_chars long")
+    found = jaccard_join.jaccard_components(frame).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 2 for i in range(60)}
+    assert {r["n_shingles"] for r in found} == {3, 4}
+
+
 # ---- 9 toxicity
 
 
