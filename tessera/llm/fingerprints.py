@@ -4,8 +4,8 @@ A text is cut into pieces: lines, cut again after sentence ends and every 96
 characters. Each piece is hashed to a wide vector, and the vectors are summed:
 
 * 8 wide lanes of 32 bits, modulo 2**32, tell whether two multisets are equal;
-* 128 narrow lanes of 16 bits, modulo 2**16, each count the pieces with one hash bit set. The
-  difference of two documents' lanes estimates by how many pieces they differ.
+* 128 narrow lanes each count the pieces with one hash bit set, modulo 2**32, more than any text
+  has pieces. The difference of two documents' lanes estimates by how many pieces they differ. As text they are written modulo 2**16.
 
 Sums don't depend on the order of the pieces, and a piece is inserted or deleted by adding
 or subtracting its own vector. Everything is a Spark expression on the row: no
@@ -24,9 +24,11 @@ from tessera.llm._common import durable, global_index
 
 PIECE = r"[^.!?\n]{1,96}[.!?\n]*|[.!?\n]+"
 WIDE_SEEDS, NARROW_SEEDS = (11, 12, 13, 14), (21, 22)
-#: Four 16-bit counters in a 64-bit number; 65,535 pieces fit in each.
-_FIELDS = 0x0001000100010001
-_COUNTER = 0xFFFF
+#: Two 32-bit counters in a 64-bit number. A text has fewer than 2**31 pieces, so that none carries and no sum overflows.
+_FIELDS = 0x0000000100000001
+_COUNTER = 0xFFFFFFFF
+#: The part of each that is written.
+_WRITTEN = 0x0000FFFF0000FFFF
 
 
 def pieces(text: Column) -> Column:
@@ -39,7 +41,7 @@ def _hash(piece: Column, seed: int) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """A struct: n (pieces), wide (array of 8 sums) and narrow (array of 32 numbers of four counters)."""
+    """A struct: n (pieces), wide (array of 8 sums) and narrow (array of 64 numbers of two counters)."""
 
     def sums(found: Column) -> Column:
         def total(values: Column, part) -> Column:
@@ -51,7 +53,7 @@ def fingerprint(text: Column) -> Column:
             return F.transform(F.array(hashed), lambda values: F.array(*[total(values, part) for part in parts]))[0]
 
         halves = [lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32)]
-        bits = [(lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_FIELDS))) for k in range(16)]
+        bits = [(lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_FIELDS))) for k in range(32)]
         wide = F.flatten(F.array(*[of_seed(s, halves) for s in WIDE_SEEDS]))
         narrow = F.flatten(F.array(*[of_seed(s, bits) for s in NARROW_SEEDS]))
         return F.struct(F.size(found).cast("long").alias("n"), F.transform(wide, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))).alias("wide"), narrow.alias("narrow"))
@@ -62,14 +64,26 @@ def fingerprint(text: Column) -> Column:
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of the union of two multisets; sign -1: of a without the pieces of b."""
     added = F.zip_with(a["wide"], b["wide"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(0xFFFFFFFF)))
-    narrow = F.zip_with(a["narrow"], b["narrow"], lambda x, y: x + sign * y)
-    return F.struct((a["n"] + sign * b["n"]).alias("n"), added.alias("wide"), narrow.alias("narrow"))
+    lanes = F.zip_with(a["narrow"], b["narrow"], lambda x, y: _packed([p + sign * q for p, q in zip(_counters(x), _counters(y), strict=True)]))
+    return F.struct((a["n"] + sign * b["n"]).alias("n"), added.alias("wide"), lanes.alias("narrow"))
+
+
+def _counters(v: Column) -> list[Column]:
+    return [v.bitwiseAND(F.lit(_COUNTER)), F.shiftrightunsigned(v, 32)]
+
+
+def _packed(counts: list[Column]) -> Column:
+    """The inverse of _counters, modulo 2**32."""
+    return counts[0].bitwiseAND(F.lit(_COUNTER)).bitwiseOR(F.shiftleft(counts[1], 32))
 
 
 def as_text(print_: Column) -> Column:
-    """Hexadecimal: 8 wide lanes, then 128 narrow ones."""
+    """Hexadecimal: 8 wide lanes, then 128 narrow ones modulo 2**16, four to a number: of hash bits k, k + 16, k + 32 and k + 48, the last first."""
     wide = F.array_join(F.transform(print_["wide"], lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
-    narrow = F.array_join(F.transform(print_["narrow"], lambda v: F.lpad(F.lower(F.hex(v)), 16, "0")), "")
+    of_seed = [[F.slice(print_["narrow"], at, 16) for at in (first, first + 16)] for first in range(1, 32 * len(NARROW_SEEDS), 32)]
+    four = lambda low, high: low.bitwiseAND(F.lit(_WRITTEN)).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(_WRITTEN)), 16))
+    numbers = F.flatten(F.array(*[F.zip_with(low, high, four) for low, high in of_seed]))
+    narrow = F.array_join(F.transform(numbers, lambda v: F.lpad(F.lower(F.hex(v)), 16, "0")), "")
     return F.concat(wide, narrow)
 
 
@@ -80,21 +94,20 @@ def likeness(a: Column, b: Column) -> Column:
     square over the lanes estimates the squared size of the multiset, and that of a difference the squared distance.
     """
 
-    def counters(v: Column) -> list[Column]:
-        return [F.shiftrightunsigned(v, at).bitwiseAND(F.lit(_COUNTER)) for at in (0, 16, 32, 48)]
-
     def squares(differences: list[Column], n: Column) -> Column:
-        return sum(((2 * d - n) * (2 * d - n) for d in differences), F.lit(0).cast("long"))
+        # In doubles: exact to 2**53, and no overflow beyond.
+        each = [(2 * d - n).cast("double") for d in differences]
+        return sum((x * x for x in each), F.lit(0.0))
 
     def signs(x: Column, n: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc + squares(counters(v), n))
+        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + squares(_counters(v), n))
 
     def apart(x: Column, y: Column, n: Column) -> Column:
-        each = F.zip_with(x, y, lambda u, v: squares([p - q for p, q in zip(counters(u), counters(v), strict=True)], n))
-        return F.aggregate(each, F.lit(0).cast("long"), lambda acc, v: acc + v)
+        each = F.zip_with(x, y, lambda u, v: squares([p - q for p, q in zip(_counters(u), _counters(v), strict=True)], n))
+        return F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
 
     whole = signs(a["narrow"], a["n"]) + signs(b["narrow"], b["n"])
-    value = 1 - apart(a["narrow"], b["narrow"], a["n"] - b["n"]).cast("double") / whole
+    value = 1 - apart(a["narrow"], b["narrow"], a["n"] - b["n"]) / whole
     return F.when(a["wide"] == b["wide"], F.lit(1.0)).when(whole == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 

@@ -293,6 +293,22 @@ def test_fingerprints_are_homomorphic(spark):
     assert sums["sum"] == ab and sums["rest"] == a and sums["same"] == 1.0 and sums["other"] < 0.35 < sums["part"] < 0.95
 
 
+def test_fingerprints_of_many_pieces(spark):
+    same, other = "a\n" * 100_000, "".join(f"{i}\n" for i in range(100_000))
+    frame = spark.createDataFrame([(same, "a\n" * 65_536, other, other[:-6] + "new\n")], ["same", "part", "other", "edited"])
+    p = {c: fingerprints.fingerprint(F.col(c)) for c in frame.columns}
+    frame = frame.select(*[p[c].alias(c) for c in frame.columns])
+    p = {c: F.col(c) for c in frame.columns}
+    near = [fingerprints.likeness(p[a], p[b]).alias(a + "_" + b) for a, b in (("same", "same"), ("same", "part"), ("same", "other"), ("other", "edited"))]
+    rest, both = fingerprints.combined(p["same"], p["part"], -1), fingerprints.combined(p["same"], p["part"])
+    found = frame.select(*near, p["same"].alias("print"), fingerprints.as_text(p["same"]).alias("text"), (fingerprints.combined(rest, p["part"]) == p["same"]).alias("back"), both["n"].alias("n")).first()
+    assert found["same_same"] == 1.0 and found["back"] and found["n"] == 165_536 and found["print"]["n"] == 100_000
+    assert found["same_part"] == pytest.approx(1 - 34_464**2 / (100_000**2 + 65_536**2))
+    assert found["same_other"] < 0.1 and found["other_edited"] > 0.99
+    lanes = found["text"][64:]
+    assert len(lanes) == 512 and {lanes[i : i + 4] for i in range(0, 512, 4)} == {"0000", f"{100_000 % 65_536:04x}"}
+
+
 # ---- 7 token counts
 
 
