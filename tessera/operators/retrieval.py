@@ -19,6 +19,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 RECALL_FACTOR, RECALL_MOST = 3, 15
 #: Queries whose vectors are held by each task at once; more are done block by block.
 QUERY_BLOCK = 2048
+#: About how many vectors each side of a tile of cosine_pairs has.
+PAIR_BLOCK = 2048
 
 
 def top_k(ranked: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -94,6 +96,30 @@ def _block_neighbours(corpus: DataFrame, block: list, k: int, drop_self: bool) -
     return corpus.select("chunk_id", "ord", "vector").mapInArrow(search, "query_id long, chunk_id long, ord long, score double")
 
 
+def cosine_pairs(corpus: DataFrame, least: float, tolerance: float = 1e-4, block: int = PAIR_BLOCK) -> DataFrame:
+    """All pairs (a < b) of chunks of a corpus (chunk_id, vector) whose cosine is at least ``least``.
+
+    Chunks are dealt into blocks by a hash of the id, and every two blocks meet in one tile; nothing reaches the
+    driver but the number of rows. Vectors are sent once for each block, so this grows with the square of the corpus.
+    """
+    blocks = max(1, -(-corpus.count() // block))
+    own = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("own")
+    dealt = corpus.select("chunk_id", "vector", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select("chunk_id", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
+        ids, side = (tile.column(c).to_numpy() for c in ("chunk_id", "own"))
+        units = _unit(pa.concat_arrays(tile.column("vector").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
+        left, right = (np.flatnonzero(side == k.as_py()) for k in key)
+        x, y = np.nonzero(np.round(units[left] @ units[right].T, 9) >= least - tolerance)
+        a, b = ids[left[x]], ids[right[y]]
+        # A block with itself has each pair both ways.
+        keep = a < b if key[0] == key[1] else a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return dealt.groupBy("i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def knn_score(cosine: Column) -> Column:
     return (1 + cosine) / 2
 

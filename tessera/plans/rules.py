@@ -42,8 +42,7 @@ def product_lexical_search(spark, sf):
 
 def in_run_pairwise(spark, sf):
     every = vectors(spark, sf)
-    asked = every.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
-    pairs = mining.like_pairs(every, retrieval.cosine_neighbours(every, asked, 20, drop_self=True), 0.35)
+    pairs = retrieval.cosine_pairs(every, 0.35).persist()
     return mining.drop_like(pairs, every.select(F.col("chunk_id").alias("ord"), F.col("label").cast("double").alias("quality")), memory.duplicate_clusters(pairs))
 
 

@@ -189,3 +189,39 @@ def test_daily_budget(spark):
 def test_confirmation(spark, said, tool, expected):
     rows = spark.createDataFrame([(said, tool, "ORD-1", "RA-7")], "t string, tool string, o string, a string")
     assert rows.select(confirmation.confirmation(*map(F.col, rows.columns)).alias("r")).first()["r"] == expected
+
+
+def _like(ids, vectors, least):
+    import numpy as np
+
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x, y = np.nonzero(np.triu(np.round(units @ units.T, 9) >= least - 1e-4, 1))
+    return {(min(a, b), max(a, b)) for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True)}
+
+
+def test_cosine_pairs_are_whole(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors, ids = np.concatenate([rng.normal(size=(120, 8)), np.repeat(rng.normal(size=(1, 8)), 30, axis=0)]), np.arange(150) * 7 + 1
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "chunk_id long, vector array<double>")
+    expected = _like(ids, vectors, 0.8)
+    assert len(expected) > 435
+    for block in (40, 1000):
+        found = [tuple(r) for r in retrieval.cosine_pairs(frame, 0.8, block=block).collect()]
+        assert len(found) == len(expected) and set(found) == expected
+    assert retrieval.cosine_pairs(frame.limit(0), 0.8).count() == 0
+
+
+def test_in_run_pairwise_tries_all_pairs(spark):
+    import numpy as np
+
+    from tessera.plans import rules
+
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    ids, quality, lost = np.array([r["vec_id"] for r in rows]), {r["vec_id"]: float(r["label"]) for r in rows}, set()
+    for a, b in sorted(_like(ids, np.array([r["embedding"] for r in rows], np.float64), 0.35)):
+        if a not in lost and b not in lost:
+            lost.add(a if quality[a] < quality[b] else b)
+    assert sorted(r["dropped"] for r in rules.in_run_pairwise(spark, folder).collect()) == sorted(lost)
