@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 from tessera.llm._common import partitions
 from tessera.llm._words import as_binaries, joined
 
-#: Chunks for each partition of a shuffle: a chunk is what one call of Python sees of the texts.
-CHUNKS_A_PARTITION = 2
+#: Bytes of text in a partition of chunks, and chunks in a partition: a chunk is what one call of Python sees of the texts.
+PARTITION_BYTES, CHUNKS_A_PARTITION = 40 << 20, 2
 
 SENT = "bucket int, chunk int, hashes binary, firsts binary"
 ANSWER = "chunk int, level int, hashes binary"
 
 
-def in_chunks(docs: DataFrame) -> DataFrame:
-    """docs with ``chunk`` in front; null ids are dealt by their text."""
-    n = partitions(docs.sparkSession) * CHUNKS_A_PARTITION
+def in_chunks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with ``chunk`` in front, and the number of partitions that hold them, which follows the bytes of the texts; null ids are dealt by their text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // PARTITION_BYTES))
     deal = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
-    return docs.select(F.pmod(deal, F.lit(n)).cast("int").alias("chunk"), *docs.columns)
+    chunk = F.pmod(deal, F.lit(n * CHUNKS_A_PARTITION)).cast("int").alias("chunk")
+    return docs.select(chunk, *docs.columns).repartition(n, "chunk"), n
 
 
 def sent(chunk: int, buckets: np.ndarray, hashes: pa.Array, firsts: pa.Array) -> pa.Table:
@@ -39,8 +41,8 @@ def sent(chunk: int, buckets: np.ndarray, hashes: pa.Array, firsts: pa.Array) ->
     return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array(np.full(n, chunk), pa.int32()), "hashes": hashes, "firsts": firsts})
 
 
-def answered(rows: DataFrame, level: int, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Each bucket's answers. pick(hashes, firsts, starts of runs of equal hashes) marks, over hashes in order, what goes back to its sender."""
+def answered(rows: DataFrame, buckets: int, level: int, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Each bucket's answers, from so many buckets. pick(hashes, firsts, starts of runs of equal hashes) marks, over hashes in order, what goes back to its sender."""
 
     def answer(table: pa.Table) -> pa.Table:
         hashes, firsts = joined(table.column("hashes")), joined(table.column("firsts"), np.int64)
@@ -55,7 +57,7 @@ def answered(rows: DataFrame, level: int, pick: Callable[[np.ndarray, np.ndarray
         chunks = table.column("chunk").to_numpy()[full]
         return pa.table({"chunk": pa.array(chunks, pa.int32()), "level": pa.array(np.full(len(chunks), level), pa.int32()), "hashes": as_binaries(hashes[keep], back[full])})
 
-    return rows.groupBy("bucket").applyInArrow(answer, ANSWER)
+    return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
 def in_several(ordered: np.ndarray, firsts: np.ndarray, starts: np.ndarray) -> np.ndarray:

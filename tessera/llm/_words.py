@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,13 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 LATE = np.int64(2**63 - 1)
 
-_STEP, _FIRST = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+_STEP = 0x9E3779B97F4A7C15
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,32 +31,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end: eight bytes at a time are mixed in, and the length."""
+    lengths = ends - starts
+    whole = np.zeros(len(data) // 8 + 2, np.uint64)
+    whole.view(np.uint8)[: len(data)] = data
+
+    def eight(at: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """The (at most eight) bytes held from each place on, as one number."""
+        index, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        value = whole[index] >> shift | np.where(shift > 0, whole[index + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return value & _FIRST_BYTES[np.minimum(held, 8)]
+
+    out = mixed(lengths.astype(np.uint64) * np.uint64(_STEP) ^ eight(starts, lengths))
+    more = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    for at in range(8, LONG_WORD, 8):
+        if not len(more):
+            break
+        out[more] = mixed(out[more] * np.uint64(_STEP) ^ eight(starts[more] + at, lengths[more] - at))
+        more = more[lengths[more] > at + 8]
+    for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """The words of some texts: where each starts and ends in ``data``, its text's number and its hash."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False, word_bytes: np.ndarray | None = None):
         """bounds: n + 1 places in data; fold: A-Z count as a-z; word_bytes: which bytes make words (else all but white space)."""
-        is_word = np.ones(256, bool)
-        is_word[[9, 10, 11, 12, 13, 32]] = False
-        inside = (is_word if word_bytes is None else word_bytes)[data]
-        n, opens, shuts = len(data), np.ones(len(data), bool), np.ones(len(data), bool)
+        inside = (NOT_SPACE if word_bytes is None else word_bytes).take(data)
+        opens, shuts = np.ones(len(data), bool), np.ones(len(data), bool)
         opens[1:], shuts[:-1] = ~inside[:-1], ~inside[1:]
-        opens[bounds[:-1][bounds[:-1] < n]] = True
+        opens[bounds[:-1][bounds[:-1] < len(data)]] = True
         shuts[bounds[1:][bounds[1:] > 0] - 1] = True
         self.starts, self.ends = np.flatnonzero(opens & inside), np.flatnonzero(shuts & inside) + 1
-        self.text = np.searchsorted(bounds, self.starts, side="right") - 1
         self.n_texts = len(bounds) - 1
-        # The hash of a word is the value of a polynomial over its bytes, from prefix sums modulo 2**64.
-        values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
-        if fold:
-            values[65:91] = values[97:123]
-        base = np.uint64(_FIRST)
-        inverse = np.uint64(pow(_FIRST, -1, 2**64))
-        powers, unpowers = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), b))]) for b in (base, inverse))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * powers[:n], out=sums[1:])
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        self.hash = mixed((sums[self.ends] - sums[self.starts]) * unpowers[self.starts] + lengths * np.uint64(_STEP))
+        self.text = np.repeat(np.arange(self.n_texts), np.diff(np.searchsorted(self.starts, bounds)))
+        self.hash = _hashed(np.frombuffer(data.tobytes().translate(LOWER), np.uint8) if fold else data, self.starts, self.ends)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the window of so many words that starts at each word, and whether it lies in one text."""

@@ -1,21 +1,22 @@
 """N-gram Jaccard join: all links between documents of 75% like 5-word shingle sets.
 
-Two sets that link share one of their least shingles (a quarter of each set and
-one, in hash order). Somewhat more of the least shingles are looked up across
-the corpus: a set of which more occur nowhere else than any link allows can't link and is closed at once. The
+All sets are in one order: by hash, but shingles that very many documents have come after all others. Two sets
+that link share one of their first shingles (a quarter of each set and one). Somewhat more of them are looked up
+across the corpus: a set of which more occur nowhere else than any link allows can't link and is closed at once. The
 open ones are compared, never as whole groups of pairs:
 
 1. Equal sets are one class; one open document stands for it.
-2. Classes that share a shingle are dealt into tiles by size band (sets that link differ in size by a
-   third at most) and, in large groups, by blocks. A tile compares hashed bitmap
-   signatures: the bits in which two differ bound the overlap from above. What passes is intersected exactly.
-3. Nearly all pairs that link share one of their EARLY very least shingles. Tiles of these come first. In a few rounds each class
-   offers only its nearest partner of another component, and links found join
-   components; then all pairs between components that are left are tried.
-4. Tiles of all other looked-up shingles try the pairs between components that share none of those.
+2. Classes with the same first shared shingle are compared exactly, in order of size, and only links
+   that join two components are kept. This joins up most of each group of near copies.
+3. Classes that share one of their other first shingles meet in tiles. A tile is in order of size: a set is compared with those in the
+   band of sizes that can link with it. Hashed bitmap signatures bound the overlap from above: half of what two sizes add up to,
+   less the bits in which two signatures differ. Pairs of one component are skipped, and of a large tile only the pairs outside its main component are
+   tried, in blocks. What passes is held against whole signatures, then intersected exactly as sorted arrays.
+4. Of two components the nearest pair is tried first, then all others if they are still apart. In one large tile a class meets
+   at most NEAREST sets of another component; if there were more and the two are still apart, step 3 is repeated for these components with more, in the end with all.
 
 Components then hold every link: a pair left out is either proven too unlike or
-already joined. Links are exact up to collisions of 40-bit shingle hashes within a pair.
+already joined. Links are exact up to collisions of 63-bit shingle hashes.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 a text of one to four words has its whole sequence as one shingle; a null id
@@ -32,19 +33,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import BROADCAST_ROWS, durable, partitions, release
+from tessera.llm._common import bounded_join, durable, release
 from tessera.llm._shared import SENT, answered, answers_of, in_chunks, in_several, sent
 from tessera.llm._words import Words, among, as_binaries, dealt, joined, keys_of, mixed, text_slices
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: How many very least shingles step 3 looks at, its rounds, and the most classes of a tile's side.
-EARLY, ROUNDS, BLOCK = 8, 2, 4096
-KEPT_BYTES = 5
-LATE_WORDS = 8
-POSTED = ["token", "node", "component", "n_shingles", "place"]
+#: A shingle is common if a 256th of the texts of any one Arrow batch, and 16 at least, have it. Which are called so changes the order of work only, so their number may be bounded.
+COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 256, 16, 1 << 16
+#: Rows compared at once in step 2; rows of a block of a large tile, and up to which a tile is small; how many sets of another component are tried first.
+RUN, BLOCK, SMALL, NEAREST = 1024, 4096, 64, 16
+#: 64-bit words of the signatures in tiles.
+SIGNATURE = 8
 
 PROFILE = "node long, doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, tokens binary, places binary, members binary"
+POSTED = "token long, node long, component long, n_shingles int, place int, signature binary"
+FOUND = "a long, b long, of_a long, of_b long, differ int, more boolean"
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -77,13 +81,32 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bitmap_words(n: int) -> int:
     """64-bit words of the signature of n shingles: four to eight bits for each, so that few differences coincide."""
-    return 1 << max(2, (int(n) * 4 // 64).bit_length())
+    return max(SIGNATURE, 1 << (int(n) * 4 // 64).bit_length())
+
+
+def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """The hashes (see _Sets) of shingles that very many documents have, in order; at most MOST_COMMON of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.zeros(0, np.uint64)]
+            for _, _, data, bounds in text_slices(pa.Table.from_batches([batch])):
+                value, inside = Words(data, bounds, fold=True).windows(words)
+                held.append(value[inside] >> np.uint64(1))
+            values, least = np.concatenate(held), max(COMMON_LEAST, batch.num_rows // COMMON_SHARE)
+            # Only hashes in parts with enough of them are told apart.
+            part = (values >> np.uint64(43)).astype(np.int64)
+            found, n = np.unique(values[np.bincount(part, minlength=1 << 20)[part] >= least], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n >= least].astype(np.int64)), pa.array(n[n >= least])], ["token", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.uint64))
 
 
 class _Sets:
-    """The shingle sets of a chunk, text by text: sorted distinct hashes, one after the other."""
+    """The shingle sets of a chunk, text by text: sorted distinct hashes of 63 bits, one after the other. Those of common shingles have the highest bit set, so they come last."""
 
-    def __init__(self, table: pa.Table, words: int):
+    def __init__(self, table: pa.Table, words: int, common: np.ndarray):
         self.keys = keys_of(table)
         hashes, texts = [], []
         for lo, _, data, bounds in text_slices(table):
@@ -102,6 +125,8 @@ class _Sets:
             if (n_words < words).any():
                 order = np.argsort(owner, kind="stable")
                 value, owner = value[order], owner[order]
+            value = value >> np.uint64(1)
+            value |= among(value, common).astype(np.uint64) << np.uint64(63)
             edges = np.searchsorted(owner, np.arange(found.n_texts + 1)).tolist()
             for a, b in zip(edges, edges[1:], strict=False):
                 value[a:b].sort()
@@ -132,27 +157,21 @@ class _Sets:
         return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
     def members(self, i: int) -> bytes:
-        """The set itself: the upper 40 bits of each hash, in order."""
-        return np.ascontiguousarray(self.hash[self.edges[i] : self.edges[i + 1]].view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes()
-
-
-def members_of(held: bytes) -> np.ndarray:
-    out = np.zeros((len(held) // KEPT_BYTES, 8), np.uint8)
-    out[:, 8 - KEPT_BYTES :] = np.frombuffer(held, np.uint8).reshape(-1, KEPT_BYTES)
-    return out.view(np.uint64).ravel()
+        return self.hash[self.edges[i] : self.edges[i + 1]].tobytes()
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Each document's set size and name; if it is open, and the first in its chunk with this set, also its signature, its shared least shingles and the set."""
-    buckets, chunks = partitions(docs.sparkSession), in_chunks(docs.select("doc_id", "text"))
+    common = common_shingles(docs, words)
+    chunks, buckets = in_chunks(docs.select("doc_id", "text"))
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sets = _Sets(table, words)
+        sets = _Sets(table, words, common)
         found, cut = dealt(np.unique(sets.hash[sets.leading]), buckets)
         return sent(key[0].as_py(), found, cut[0], pa.array([b""] * len(found), pa.binary()))
 
     def profile(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        sets = _Sets(table, words)
+        sets = _Sets(table, words, common)
         tokens = sets.hash[sets.leading]
         distinct, counts = np.unique(tokens, return_counts=True)
         shared = np.zeros(len(sets.hash), bool)
@@ -174,51 +193,10 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         })
 
     asked = chunks.groupBy("chunk").applyInArrow(ask, SENT)
-    answers = answered(asked, 0, in_several)
+    answers = answered(asked, buckets, 0, in_several)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(profile, PROFILE)
 
 
-def _postings(rows: DataFrame, early: bool) -> DataFrame:
-    """(token, node, component, n_shingles, place) of the shared least shingles of each row; early: of the first few only."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.array([len(t) // 8 for t in batch.column("tokens").to_pylist()], np.int64)
-            tokens, places = joined(batch.column("tokens"), np.int64), joined(batch.column("places"), np.int32)
-            node, component, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "component", "n_shingles"))
-            keep = places < EARLY if early else np.ones(len(places), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, node, component, size, places)], POSTED)
-
-    return rows.select("node", "component", "n_shingles", "tokens", "places").mapInArrow(unpack, "token long, node long, component long, n_shingles long, place int")
-
-
-def _signatures(rows: DataFrame, early: bool) -> DataFrame:
-    """(node, bitmap, early) of each row: for early tiles the whole signature; for others one of at most LATE_WORDS words, and the early shingles."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bitmaps, soon = [], []
-            for bitmap, tokens, places in zip(*(batch.column(c).to_pylist() for c in ("bitmap", "tokens", "places")), strict=True):
-                bitmaps.append(bitmap if early else folded(np.frombuffer(bitmap, np.uint64)[None], LATE_WORDS).tobytes())
-                soon.append(b"" if early else tokens[: 8 * int((np.frombuffer(places, np.int32) < EARLY).sum())])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bitmaps, pa.binary()), pa.array(soon, pa.binary())], ["node", "bitmap", "early"])
-
-    return rows.select("node", "bitmap", "tokens", "places").mapInArrow(fold, "node long, bitmap binary, early binary")
-
-
-def _passing(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs that their whole signatures don't rule out: tiles of all shingles have compared short ones."""
-    sides = rows.select("node", "n_shingles", "bitmap")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b")), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([_may_link(*x) for x in each], pa.bool_()))
-
-    found = pairs.join(sides.toDF("a", "n_a", "bitmap_a"), "a").join(sides.toDF("b", "n_b", "bitmap_b"), "b")
-    return found.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(bound, "a long, b long")
-
-
 def _may_link(a: int, b: int, bits_a: bytes, bits_b: bytes) -> bool:
     """Whether sets of these sizes and signatures can have the overlap that links them."""
     need = int(least_overlap(np.int64(a), np.int64(b)))
@@ -228,26 +206,10 @@ def _may_link(a: int, b: int, bits_a: bytes, bits_b: bytes) -> bool:
     return a + b - int(np.bitwise_count(x ^ y).sum()) >= 2 * need
 
 
-def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets link: the exact intersection. Only sets of some pair are shuffled."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sides = rows.select("node", "members").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist(), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([_links(*x) for x in each], pa.bool_()))
-
-    found = pairs.join(sides.toDF("a", "members_a"), "a").join(sides.toDF("b", "members_b"), "b")
-    return found.select("a", "b", "members_a", "members_b").mapInArrow(intersect, "a long, b long")
-
-
 def _links(held_a: bytes, held_b: bytes) -> bool:
-    both = np.concatenate([members_of(held_a), members_of(held_b)])
-    need = int(least_overlap(np.int64(len(held_a) // KEPT_BYTES), np.int64(len(held_b) // KEPT_BYTES)))
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum()) >= need
+    """Whether two sets, as sorted arrays, link."""
+    a, b = np.frombuffer(held_a, np.uint64), np.frombuffer(held_b, np.uint64)
+    return int(among(a, b).sum()) >= int(least_overlap(np.int64(len(a)), np.int64(len(b))))
 
 
 def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
@@ -258,131 +220,231 @@ def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
     return bitmaps
 
 
+def _signatures(bitmaps: list[bytes]) -> np.ndarray:
+    """Each bitmap folded to SIGNATURE words, a row each."""
+    rows = [folded(np.frombuffer(b, np.uint64)[None], SIGNATURE) for b in bitmaps]
+    return np.concatenate(rows) if rows else np.zeros((0, SIGNATURE), np.uint64)
+
+
+def _can_link(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    need = least_overlap(n_a, n_b)
+    return (need <= np.minimum(n_a, n_b)) & (n_a + n_b - differ >= 2 * need)
+
+
+def _first_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links between classes with the same first shared shingle, only those that join components."""
+    first = rows.select(F.substring("tokens", 1, 8).alias("token"), "node", "n_shingles", "bitmap", "members")
+    first = first.repartition("token").sortWithinPartitions("token", "n_shingles")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _forest(*(batch.column(c).to_pylist() for c in ("token", "n_shingles", "bitmap", "members")))
+            node = batch.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+
+    return first.mapInArrow(link, "a long, b long")
+
+
+def _forest(tokens: list[bytes], sizes: list[int], bitmaps: list[bytes], members: list[bytes]) -> np.ndarray:
+    """Links (pairs of rows) that join the rows of each run of equal tokens, in order of size, into components; long runs are cut."""
+    n, count = np.array(sizes, np.int64), len(tokens)
+    starts, held = [], -1
+    for i, token in enumerate(tokens):
+        if i == 0 or token != tokens[i - 1] or i - held >= RUN:
+            starts.append(i)
+            held = i
+    ends = np.repeat(np.append(starts[1:], count), np.diff(np.append(starts, count))).astype(np.int64) if starts else np.zeros(0, np.int64)
+    signs, label, out = _signatures(bitmaps), np.arange(count), []
+    x, d = np.arange(count), 1
+    while True:
+        x = x[x + d < ends[x]]
+        x = x[PERCENT * n[x + d] <= 100 * n[x]]
+        if not len(x):
+            return np.array(out, np.int64).reshape(-1, 2)
+        i = x[label[x] != label[x + d]]
+        i = i[_can_link(n[i], n[i + d], np.bitwise_count(signs[i] ^ signs[i + d]).sum(axis=1, dtype=np.int64))]
+        for a, b in zip(i.tolist(), (i + d).tolist(), strict=True):
+            if label[a] != label[b] and _may_link(sizes[a], sizes[b], bitmaps[a], bitmaps[b]) and _links(members[a], members[b]):
+                out.append((a, b))
+                lo = int(starts[int(np.searchsorted(starts, a, side="right")) - 1])
+                run = label[lo : ends[a]]
+                run[run == label[b]] = label[a]
+        d += 1
+
+
+def _postings(rows: DataFrame, signed: bool) -> DataFrame:
+    """POSTED: the shared first shingles of each row (node, component, ...); the signatures are left out unless signed."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([len(t) // 8 for t in batch.column("tokens").to_pylist()], np.int64)
+            tokens, places = joined(batch.column("tokens"), np.int64), joined(batch.column("places"), np.int32)
+            node, component, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "component", "n_shingles"))
+            signs = np.repeat(_signatures(batch.column("bitmap").to_pylist()), counts, axis=0) if signed else np.zeros((len(tokens), 0), np.uint64)
+            columns = [pa.array(x) for x in (tokens, node, component, size.astype(np.int32), places)]
+            columns.append(as_binaries(signs.ravel(), np.full(len(tokens), signs.shape[1])))
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "n_shingles", "place", "signature"])
+
+    return rows.select("node", "component", "n_shingles", "bitmap", "tokens", "places").mapInArrow(unpack, POSTED)
+
+
 def size_band(n: Column) -> Column:
     """Bands of sizes whose ends differ by a third: sets that link lie in one band or in neighbours."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
 
 
-def _tiles(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that lie in several components, dealt into tiles.
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Postings dealt into tiles, with ``home``. The rows of a shingle are a tile.
 
-    The rows of a shingle are a tile. Where they are more than BLOCK, they are dealt by size band, each row also to the band
-    below as a guest, and what is still too large by pairs of blocks.
+    Where they are more than BLOCK, each is at home in one block of its size band. Of these only rows outside the shingle's main
+    component also visit the blocks of their band and of its neighbours, so that a large group of near copies is not multiplied.
     """
-    counts = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    counts = durable(counts.where("_lo < _hi").select("token", (F.col("_n") > BLOCK).alias("_large")))
-    rows = postings.join(counts, "token")
-    tile = ["tile", "block", "_i", "_j", "home", *POSTED[1:]]
-    nothing = [F.lit(0).alias(c) for c in ("block", "_i", "_j")]
-    small = rows.where("not _large").select(F.xxhash64("token").alias("tile"), *nothing, F.lit(True).alias("home"), *POSTED[1:])
-    if not counts.where("_large").limit(1).count():
-        return small
-    band = size_band(F.col("n_shingles"))
-    at = rows.where("_large").withColumn("band", F.explode(F.array(band, band - 1))).withColumn("home", F.col("band") == band)
-    sizes = at.groupBy("token", "band").agg(F.count("*").alias("_n"), F.count_if("home").alias("_homes")).where("_homes > 0 and _n > 1").select("token", "band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    at = at.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("block", "other")).withColumn("_j", F.greatest("block", "other"))
-    return small.unionByName(at.withColumn("tile", F.xxhash64("token", "band", "_i", "_j")).select(tile))
-
-
-def _tile_candidates(postings: DataFrame, signatures: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different components in a tile that no bound rules out; nearest: only the nearest one for each class."""
-    rows = _tiles(postings).join(signatures, "node")
-    columns = ["tile", "block", "_i", "_j", "home", *POSTED[1:], "bitmap", "early"]
-    rows = rows.repartition("tile").sortWithinPartitions("tile").select(*columns)
+    posted, columns = _postings(rows, True), ["home", "node", "component", "n_shingles", "place", "signature"]
+    counts = _postings(rows, False)
+    large = durable(counts.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("token"))
+    if not large.limit(1).count():
+        return posted.select(F.col("token").alias("tile"), F.lit(True).alias("home"), *columns[1:])
+    tokens = large.select(F.col("token").alias("_token"))
+    by = bounded_join(counts, tokens, F.col("token") == F.col("_token")).groupBy("token", "component").agg(F.count("*").alias("_n"))
+    main = durable(by.groupBy(F.col("token").alias("_token")).agg(F.max_by("component", F.struct("_n", "component")).alias("_main"), F.count("*").alias("_kinds")))
+    small = bounded_join(posted, tokens, F.col("token") == F.col("_token"), "left_anti")
+    at = bounded_join(posted, main.where("_kinds > 1").select("_token", "_main"), F.col("token") == F.col("_token")).withColumn("band", size_band(F.col("n_shingles"))).drop("_token")
+    blocks = at.groupBy(F.col("token").alias("_token"), F.col("band").alias("_band")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = durable(blocks)
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    here = (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_band"))
+    home = bounded_join(at, blocks, here).withColumn("home", F.lit(True)).withColumn("block", own("blocks"))
+    guests = at.where("component <> _main").withColumn("_own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    guests = bounded_join(guests, blocks, here).withColumn("home", F.lit(False)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guests = guests.where((F.col("band") != F.col("_own")) | (F.col("block") != own("blocks")))
+    dealt_ = home.select(*guests.drop("_own").columns).unionByName(guests.drop("_own")).select(F.xxhash64("token", "band", "block").alias("tile"), *columns)
+    return small.select(F.xxhash64("token").alias("tile"), F.lit(True).alias("home"), *columns[1:]).unionByName(dealt_)
+
+
+def _tile_candidates(rows: DataFrame, nearest: int) -> DataFrame:
+    """FOUND: pairs of classes of different components that meet in a tile and that no bound rules out."""
+    tiles = _tiles(rows).repartition("tile").sortWithinPartitions("tile", "n_shingles")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                found = [pa.array(x) for x in _compare(pa.Table.from_batches(held), nearest)]
-                held.clear()
-                yield pa.RecordBatch.from_arrays(found, ["a", "b", "apart"])
-
+        rest: pa.Table | None = None
         for batch in batches:
-            # A tile may go on in the next batch: only what comes before the last tile is complete.
-            tile = batch.column("tile").to_numpy()
+            # The last tile may go on in the next batch.
+            rest = pa.concat_tables([*([] if rest is None else [rest]), pa.Table.from_batches([batch])])
+            tile = rest.column("tile").to_numpy()
             cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-            if held and cut:
-                held.append(batch.slice(0, cut))
-                yield from done()
-            elif cut:
-                yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in _compare(pa.Table.from_batches([batch.slice(0, cut)]), nearest)], ["a", "b", "apart"]),)
-            elif held and len(tile) and held[-1].column("tile")[0].as_py() != tile[0]:
-                yield from done()
-            if len(tile):
-                held.append(batch.slice(cut))
-        yield from done()
-
-    found = rows.mapInArrow(candidates, "a long, b long, apart double")
-    if nearest:
-        found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _compare(table: pa.Table, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates in whole tiles, which stand one after the other: rows are compared with those d places on, for each d."""
-    col = {c: table.column(c).to_numpy() for c in ("tile", "block", "_i", "_j", "home", "node", "component", "n_shingles", "place")}
-    bits, early = table.column("bitmap").to_pylist(), table.column("early").to_pylist()
-    order = np.argsort(col["tile"], kind="stable")
-    col = {c: v[order] for c, v in col.items()}
-    widths = np.array([len(b) // 8 for b in bits])[order]
-    sooner = np.zeros((len(order), EARLY), np.uint64)
-    for k, i in enumerate(order.tolist()):
-        if early[i]:
-            sooner[k, : len(early[i]) // 8] = np.frombuffer(early[i], np.uint64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for width in np.unique(widths).tolist():
-        # Sets that link differ in size by less than a factor of two, so widths by one step.
-        at = np.flatnonzero((widths >= width) & (widths <= 2 * width))
-        if not len(at):
-            continue
-        signs = np.concatenate([folded(np.frombuffer(bits[order[i]], np.uint64)[None], width) for i in at.tolist()])
-        own = {c: v[at] for c, v in col.items()}
-        narrow, soon = widths[at] == width, sooner[at]
-        start = np.concatenate([[True], own["tile"][1:] != own["tile"][:-1]])
-        first = np.flatnonzero(start)
-        ends = np.repeat(np.append(first[1:], len(at)), np.diff(np.append(first, len(at))))
-        across = own["_i"] != own["_j"]
-        near, who = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
-        x, d = np.arange(len(at)), 1
-        while len(x := x[x + d < ends[x]]):
-            y = x + d
-            ok = (own["component"][x] != own["component"][y]) & (narrow[x] | narrow[y]) & (own["home"][x] | own["home"][y]) & (~across[x] | (own["block"][x] != own["block"][y]))
-            i, j = x[ok], y[ok]
-            need = least_overlap(own["n_shingles"][i], own["n_shingles"][j])
-            fits = need <= np.minimum(own["n_shingles"][i] - own["place"][i], own["n_shingles"][j] - own["place"][j])
-            i, j, need = i[fits], j[fits], need[fits]
-            # Pairs that share an early shingle have been tried there.
-            same = ((soon[i][:, :, None] == soon[j][:, None, :]) & (soon[i] > 0)[:, :, None]).any(axis=(1, 2))
-            i, j, need = i[~same], j[~same], need[~same]
-            both = own["n_shingles"][i] + own["n_shingles"][j]
-            differ = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64)
-            like = both - differ >= 2 * need
-            i, j, apart = i[like], j[like], differ[like] / both[like]
-            if nearest:
-                for p, q in ((i, j), (j, i)):
-                    closer = apart < near[p]
-                    near[p[closer]], who[p[closer]] = apart[closer], own["node"][q[closer]]
-            elif len(i):
-                out.append((own["node"][i], own["node"][j], apart))
-            d += 1
-        has = np.isfinite(near)
-        out.append((own["node"][has], who[has], near[has]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            if cut:
+                yield _compared(rest.slice(0, cut), nearest)
+                rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield _compared(rest, nearest)
+
+    return tiles.mapInArrow(candidates, FOUND).groupBy("a", "b", "of_a", "of_b", "more").agg(F.min("differ").alias("differ"))
+
+
+def _compared(table: pa.Table, nearest: int) -> pa.RecordBatch:
+    """Candidates in whole tiles, which stand one after the other, each in order of size."""
+    col = {c: table.column(c).to_numpy() for c in ("tile", "home", "node", "component", "place")}
+    n = table.column("n_shingles").to_numpy().astype(np.int64)
+    signs = joined(table.column("signature")).reshape(-1, SIGNATURE)
+    first = np.flatnonzero(np.concatenate([[True], col["tile"][1:] != col["tile"][:-1]]))
+    lengths = np.diff(np.append(first, len(n)))
+    pairs = [_pairs_of_small(first[lengths <= SMALL], lengths[lengths <= SMALL], col, n, signs)]
+    more = [np.zeros(len(pairs[0]), bool)]
+    for lo, length in zip(first[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist(), strict=True):
+        found, left = _pairs_of_large(lo, lo + length, col, n, signs, nearest)
+        pairs.append(found)
+        more.append(left)
+    i, j = np.concatenate(pairs).T
+    swap = col["node"][i] > col["node"][j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    differ = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int32)
+    columns = [col["node"][i], col["node"][j], col["component"][i], col["component"][j], differ, np.concatenate(more)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "of_a", "of_b", "differ", "more"])
+
+
+def _like(i: np.ndarray, j: np.ndarray, col: dict, n: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of rows may link, and in how many bits their signatures differ."""
+    need = least_overlap(n[i], n[j])
+    # Nothing before this shingle is shared, or the pair meets there too.
+    fits = need <= np.minimum(n[i] - col["place"][i], n[j] - col["place"][j])
+    fits &= (col["component"][i] != col["component"][j]) & (col["home"][i] | col["home"][j])
+    differ = np.zeros(len(i), np.int64)
+    differ[fits] = np.bitwise_count(signs[i[fits]] ^ signs[j[fits]]).sum(axis=1, dtype=np.int64)
+    return fits & (n[i] + n[j] - differ >= 2 * need), differ
+
+
+def _pairs_of_small(first: np.ndarray, lengths: np.ndarray, col: dict, n: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """All candidates in these tiles: rows are compared with those d places on, for each d, as long as sizes can link."""
+    ends = np.zeros(len(n), np.int64)
+    for k in range(int(lengths.max()) if len(lengths) else 0):
+        at = first[lengths > k]
+        ends[at + k] = (first + lengths)[lengths > k]
+    x, d, out = np.flatnonzero(ends), 1, [np.zeros((0, 2), np.int64)]
+    while True:
+        x = x[x + d < ends[x]]
+        x = x[PERCENT * n[x + d] <= 100 * n[x]]
+        if not len(x):
+            return np.concatenate(out)
+        i = x[_like(x, x + d, col, n, signs)[0]]
+        out.append(np.stack([i, i + d], axis=1))
+        d += 1
+
+
+def _pairs_of_large(lo: int, hi: int, col: dict, n: np.ndarray, signs: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates in one tile, and which of them stand for more: each row outside the tile's main component against all in its band of sizes."""
+    names, counts = np.unique(col["component"][lo:hi], return_counts=True)
+    minor = col["component"][lo:hi] != names[np.argmax(counts)]
+    out, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
+    for i in (lo + np.flatnonzero(minor)).tolist():
+        low, high = np.searchsorted(n[lo:hi], [-(-PERCENT * n[i] // 100), 100 * n[i] // PERCENT + 1])
+        j = np.arange(lo + low, lo + high)
+        j = j[(col["component"][j] != col["component"][i]) & ~(minor[j - lo] & (j < i))]
+        ok, differ = _like(np.full(len(j), i), j, col, n, signs)
+        j, differ = j[ok], differ[ok]
+        if len(j) > nearest:
+            order = np.lexsort((j, differ, col["component"][j]))
+            j = j[order]
+            new = np.concatenate([[True], col["component"][j][1:] != col["component"][j][:-1]])
+            nth = np.arange(len(j)) - np.maximum.accumulate(np.where(new, np.arange(len(j)), 0))
+            more.append(nth[nth <= nearest] == nearest)
+            j = j[nth <= nearest]
+        else:
+            more.append(np.zeros(len(j), bool))
+        out.append(np.stack([np.full(len(j), i), j], axis=1))
+    return np.concatenate(out), np.concatenate(more)
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, held: str, check) -> DataFrame:
+    """Those of the pairs (a, b, of_a, of_b) that check(n_a, n_b, held_a, held_b) lets pass; only rows of some pair are shuffled."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    sides = bounded_join(rows.select("node", "n_shingles", held), nodes, F.col("node") == F.col("_node"), "left_semi")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "held_a", "held_b")), strict=True)
+            yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array([check(*x) for x in each], pa.bool_()))
+
+    found = pairs.join(sides.toDF("a", "n_a", "held_a"), "a").join(sides.toDF("b", "n_b", "held_b"), "b")
+    return found.select("a", "b", "of_a", "of_b", "n_a", "n_b", "held_a", "held_b").mapInArrow(kept, "a long, b long, of_a long, of_b long")
+
+
+def _linking(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): the components that the pairs link: by whole signatures, then by exact intersection."""
+    near = durable(_checked(pairs, rows, "bitmap", _may_link))
+    found = _checked(near, rows, "members", lambda n_a, n_b, a, b: _links(a, b))
+    return durable(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
 
 
 def _joined_up(named: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) after links (a, b) have joined components; only the components that they touch are worked on."""
+    """(node, component) after links (a, b) between components."""
+    merged = durable(components(links)).select(F.col("node").alias("_was"), F.col("component").alias("_least"))
+    return durable(bounded_join(named, merged, F.col("component") == F.col("_was"), "left").select("node", F.coalesce("_least", "component").alias("component")))
+
+
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of the pairs whose components are still two, by their present names."""
     side = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    across = durable(links.join(side("a"), "a").join(side("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
-    if not across.limit(1).count():
-        return named
-    merged = components(across).select(F.col("node").alias("component"), F.col("component").alias("least"))
-    return durable(named.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("of_a <> of_b")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -393,20 +455,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # One row for each different set; a node of its own stands for it, so null and repeated ids don't matter.
     node = F.min(F.when(F.length("tokens") > 0, F.col("node")))
     classes = durable(held.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), node.alias("node")))
-    stands = classes.where("node is not null").select("node")
-
-    named, tried = durable(stands.select("node", F.col("node").alias("component"))), None
-    for step in range(ROUNDS + 2):
-        # ROUNDS times the nearest partners by early shingles, then all partners by these, then by all shingles.
-        postings = _postings(open_.join(named, "node"), early=step <= ROUNDS)
-        pairs = _tile_candidates(postings, _signatures(open_, early=step <= ROUNDS), nearest=step < ROUNDS)
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if step > ROUNDS:
-            pairs = durable(_passing(pairs, open_))
-        if pairs.limit(1).count():
-            tried = pairs if tried is None else tried.union(pairs)
-            named = _joined_up(named, _linked(pairs, open_))
+    stands = classes.where("node is not null").select(F.col("node").alias("_stands"))
+    open_ = bounded_join(open_, stands, F.col("node") == F.col("_stands"), "left_semi")
+
+    alone = stands.select(F.col("_stands").alias("node"), F.col("_stands").alias("component"))
+    named, nearest, within = _joined_up(alone, durable(_first_links(open_))), NEAREST, None
+    while nearest:
+        part = named if within is None else named.join(within, "component", "left_semi")
+        rows = bounded_join(open_, part.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"))
+        found = durable(_tile_candidates(rows, nearest))
+        pairs = found.where("not more")
+        first = pairs.groupBy("of_a", "of_b").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("_")).select("_.a", "_.b", "of_a", "of_b")
+        first = durable(first)
+        named = _joined_up(named, _linking(first, open_))
+        others = durable(_apart(pairs.join(first, ["a", "b"], "left_anti"), named))
+        if others.limit(1).count():
+            named = _joined_up(named, _linking(others, open_))
         release(docs.sparkSession)
+        # Components of rows that had more partners in another one than were tried, if that is still another.
+        within, nearest = durable(_apart(found.where("more"), named).select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()), nearest << 6
+        nearest = nearest if within.limit(1).count() else 0
 
     named = classes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node", F.xxhash64(*key)))
     least = named.groupBy("component", F.col("node").isNull().alias("alone")).agg(F.min("class_id").alias("component_id"))

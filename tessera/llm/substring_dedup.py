@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm._common import partitions
 from tessera.llm._shared import ANSWER, SENT, answered, answers_of, first_elsewhere, in_chunks, in_several, sent
 from tessera.llm._words import Words, among, dealt, keys_of, text_slices
 
@@ -100,8 +99,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Added columns replace any of these names that docs has.
     """
-    buckets, lengths = partitions(docs.sparkSession), ladder(window)
-    chunks = in_chunks(docs.drop("chunk", "n_words", "n_removed", "kept"))
+    lengths = ladder(window)
+    chunks, buckets = in_chunks(docs.drop("chunk", "n_words", "n_removed", "kept"))
     schema = StructType([f for f in chunks.schema if f.name != "chunk"] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def ask(level: int):
@@ -149,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     for level in range(len(lengths)):
         asked = texts.cogroup(answers.groupBy("chunk")).applyInArrow(ask(level), SENT)
         pick = first_elsewhere if level == len(lengths) - 1 else in_several
-        found = answered(asked, level, pick)
+        found = answered(asked, buckets, level, pick)
         answers = found if level == 0 else answers.union(found) if level < len(lengths) - 1 else found
     return texts.cogroup(answers.groupBy("chunk")).applyInArrow(removed, schema)
 
