@@ -8,13 +8,14 @@ in a band), which gives the share of the template that is matched and the span i
 
 Any run of five words that a template and a document have in common shares a fingerprint.
 
-Defined results: null and wordless texts match nothing; of matches that overlap in the document, the one
+Defined results: null and wordless texts match nothing; a template of fewer than three words is refused; of matches that overlap in the document, the one
 with more matched words stays (then the greater coverage, then the first name); repeated rows repeat; an empty table gives none. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,36 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "MIT full text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC full text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause full text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "GPL-3.0 notice": "licensed under the GNU General Public License, version 3",
     "GPL-3.0-or-later header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -98,6 +129,10 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names, found = list(templates), [_words(t) for t in templates.values()]
         self.words = [f.hash for f in found]
+        if short := [name for name, w in zip(self.names, self.words, strict=True) if len(w) < GRAM]:
+            raise ValueError(f"templates of fewer than {GRAM} words can't be found: {short}")
+        held = np.unique(np.concatenate(self.words)) if found else np.zeros(0, np.uint64)
+        self.nothing = np.uint64(next(v for v in range(len(held) + 1) if v not in held))
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, f in enumerate(found):
             grams = f.windows(GRAM)[0]
@@ -111,55 +146,82 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
 
     A match counts 2, a mismatch or a gap -1; each cell carries the start and the matches of its best path.
     """
-    none, best = (0, 0, 0), (0, 0, 0, 0)
-    above: dict[int, tuple[int, int, int]] = {}
+    return aligned(template, words, diagonal, band)[:3]
+
+
+def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int, int]:
+    """As align(), and the start and end in the template."""
+    none, best = (0, 0, 0, 0), (0, 0, 0, 0, 0, 0)
+    above: dict[int, tuple[int, int, int, int]] = {}
     for i, t in enumerate(template.tolist()):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple[int, int, int, int]] = {}
         lo, hi = max(0, i + diagonal - band), min(len(words), i + diagonal + band + 1)
         left = none
         for j, w in zip(range(lo, hi), words[lo:hi].tolist(), strict=True) if hi > lo else ():
-            score, matched, start = above.get(j - 1, none)
-            cell = (score + 2, matched + 1, start if score else j) if w == t else (score - 1, matched, start)
-            for score, matched, start in (above.get(j, none), left):
+            score, matched, start, own = above.get(j - 1, none)
+            cell = (score + 2, matched + 1, start if score else j, own if score else i) if w == t else (score - 1, matched, start, own)
+            for score, matched, start, own in (above.get(j, none), left):
                 if score - 1 > cell[0]:
-                    cell = (score - 1, matched, start)
+                    cell = (score - 1, matched, start, own)
             left = row[j] = cell if cell[0] > 0 else none
             if cell[0] > best[0]:
-                best = (*cell, j + 1)
+                best = (cell[0], cell[1], cell[2], j + 1, cell[3], i + 1)
         above = row
-    return best[1], best[2], best[3]
+    return best[1:]
 
 
-def matches_of(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index) -> list[tuple[int, float, int, int, int]]:
-    """(template, coverage, matched, start, end) of one text's words, from hits (template, place in the text, place in it)."""
+def matches_of(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float = LEAST_COVERAGE) -> list[tuple[int, float, int, int, int]]:
+    """(template, coverage, matched, start, end) of one text's words, from hits (template, place in the text, place in it).
+
+    A template is aligned along each diagonal that has hits outside what was aligned before, with words taken once only, so that
+    neighbouring copies are told apart. Pieces that follow each other in the text and in the template, at most a template's length apart, are chained into one match.
+    """
     found, by_template = [], defaultdict(list)
     for t, at, own in hits:
         by_template[t].append((at - own, at))
     for t, spots in by_template.items():
-        template, done = index.words[t], []
-        for diagonal, at in sorted(spots):
-            # Hits near a diagonal that has been aligned belong to that alignment.
-            if done and diagonal - done[-1] <= BAND // 2:
+        template, free, pieces, tried = index.words[t], words.copy(), [], set()
+        used, weight = np.zeros(len(words), bool), Counter(diagonal for diagonal, _ in spots)
+        for diagonal, at in sorted(spots, key=lambda x: (-weight[x[0]], x)):
+            # A diagonal without a piece is not tried again, nor its near ones.
+            if used[at] or diagonal // (BAND // 2) in tried:
                 continue
-            done.append(diagonal)
             lo = max(0, diagonal - BAND)
-            part = words[lo : max(lo, diagonal + len(template) + BAND)]
-            matched, start, end = align(template, part, diagonal - lo)
-            if matched / len(template) >= LEAST_COVERAGE:
-                found.append((t, matched / len(template), matched, lo + start, lo + end))
+            matched, start, end, own, own_end = aligned(template, free[lo : max(lo, diagonal + len(template) + BAND)], diagonal - lo)
+            if matched < min(GRAM, len(template)):
+                tried.add(diagonal // (BAND // 2))
+                continue
+            used[lo + start : lo + end] = True
+            # No word of a template hashes to what stands in for used words.
+            free[lo + start : lo + end] = index.nothing
+            pieces.append((lo + start, lo + end, matched, own, own_end))
+        chain: list[tuple[int, int, int, int, int]] = []
+        for piece in [*sorted(pieces), None]:
+            if piece and chain and piece[3] >= chain[-1][4] and 0 <= piece[0] - chain[-1][1] <= len(template):
+                chain.append(piece)
+                continue
+            if chain and sum(p[2] for p in chain) / len(template) >= least:
+                matched = sum(p[2] for p in chain)
+                found.append((t, matched / len(template), matched, chain[0][0], max(p[1] for p in chain)))
+            chain = [piece] if piece else []
+    # Of matches that overlap, the one with more matched words stays; those kept are in order of place.
     found.sort(key=lambda m: (-m[2], -m[1], index.names[m[0]], m[3]))
+    starts: list[int] = []
     kept: list[tuple[int, float, int, int, int]] = []
     for m in found:
-        if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m[3])
+        k = bisect.bisect_right(starts, m[3])
+        if (k == 0 or kept[k - 1][4] <= m[3]) and (k == len(kept) or m[4] <= starts[k]):
+            starts.insert(k, m[3])
+            kept.insert(k, m)
+    return kept
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """docs with ``matches``: each license text found, its coverage and its span in words and characters."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """docs with ``matches``: each license text found, its coverage (``least_coverage`` at least) and its span in words and characters."""
     rows = docs.drop("matches")
     schema = StructType([*rows.schema.fields, StructField("matches", ArrayType(MATCH))])
     chosen = TEMPLATES if templates is None else templates
+    Index(chosen)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(chosen)
@@ -177,9 +239,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                     by_text[text] += [(t, at - int(first[text]), own) for t, own in index.places[int(grams[at])]]
                 for text, hits in by_text.items():
                     a, b = first[text], first[text + 1]
-                    raw, base = data[bounds[text] : bounds[text + 1]].tobytes(), bounds[text]
-                    for t, coverage, matched, start, end in matches_of(words.hash[a:b], hits, index):
-                        chars = [len(raw[: int(x - base)].decode()) for x in (words.starts[a + start], words.ends[a + end - 1])]
+                    base = bounds[text]
+                    # Characters before each byte: all bytes but those that go on with one.
+                    before = np.concatenate([[0], np.cumsum((data[base : bounds[text + 1]] & 0xC0) != 0x80)])
+                    for t, coverage, matched, start, end in matches_of(words.hash[a:b], hits, index, least_coverage):
+                        chars = [int(before[int(x - base)]) for x in (words.starts[a + start], words.ends[a + end - 1])]
                         out[lo + text].append({"license": index.names[t], "coverage": coverage, "matched": matched, "word_start": start, "word_end": end, "char_start": chars[0], "char_end": chars[1]})
             kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), *[(n, pa.int32()) for n in ("matched", "word_start", "word_end", "char_start", "char_end")]]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "matches"])
