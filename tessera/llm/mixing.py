@@ -108,7 +108,9 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 0.8, max_repeat: int = 1) -> DataFrame:
-    """The mixed corpus itself: each row as often as the mix takes it, with the columns of docs."""
-    names = docs.columns
-    taken = apply_plan(docs, mixture_plan(durable(sized(docs)), weights, share, max_repeat))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(names) if max_repeat > 1 else taken.where("copies > 0").select(names)
+    """The mixed corpus itself: each row as often as the mix takes it, with the columns of docs, whatever their names."""
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
+    taken = apply_plan(rows, mixture_plan(durable(sized(docs)), weights, share, max_repeat)).where("copies > 0")
+    if max_repeat > 1:
+        taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("_row.*")

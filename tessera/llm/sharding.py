@@ -12,7 +12,7 @@ values of their own, ordered first; equal rows stand side by side; an empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import bounded_join, durable, global_index, utf8
@@ -87,13 +87,13 @@ def curve_order(docs: DataFrame, bits: int = BITS) -> DataFrame:
     raw = utf8(F.col("text"))
     rows = durable(docs.select("doc_id", "source", "lang", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")))
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, span = low or 0, (high or 0) - (low or 0) + 1
+    low, span = float(low or 0), float((high or 0) - (low or 0) + 1)
     rows = _ordinals(_ordinals(rows, "source", bits), "lang", bits)
     # Two cells per doubling of the size.
     width = F.length(F.bin("size"))
     half = F.when(width > 1, F.substring(F.bin("size"), 2, 1).cast("int")).otherwise(0)
     size_cell = F.least(F.lit((1 << bits) - 1), width * 2 + half)
-    id_cell = F.coalesce(F.floor((F.col("doc_id") - low).cast("double") * (1 << bits) / span).cast("int"), F.lit(0))
+    id_cell = F.least(F.lit((1 << bits) - 1), F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / span * (1 << bits)).cast("int"), F.lit(0)))
     curve = hilbert_index([F.col("_axis_source"), F.col("_axis_lang"), size_cell, id_cell], bits)
     return rows.withColumn("curve", curve).drop("_axis_source", "_axis_lang")
 
@@ -115,9 +115,21 @@ def shard_ranges(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write whole documents as one directory per shard, sorted along the curve.
+    """Write every row of docs, all columns, as one directory per shard (``shard=``, with underscores added if docs has that column), sorted along the curve.
 
-    doc_id must be unique here; a run is cut into files by Spark's own record limits.
+    Rows are matched by id, source, language, size and checksum, nulls too; of rows that agree in all these the n-th here takes the n-th place
+    there (only such rows meet in a window). A run is cut into files by Spark's own record limits.
     """
-    placed = docs.join(sharded.select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    raw, folder = utf8(F.col("text")), "shard"
+    while folder in docs.columns:
+        folder += "_"
+    key = ["_id", "_source", "_lang", "_size", "_crc"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(k) for c, k in zip([F.col("doc_id"), F.col("source"), F.col("lang"), (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)], key, strict=True)])
+    places = sharded.select(*[F.col(c).alias(k) for c, k in zip(["doc_id", "source", "lang", "size", "text_crc32"], key, strict=True)], "shard", "slot")
+    rows, places = rows.withColumn("_nth", nth), places.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")))
+    same = (rows["_nth"] == places["_nth"]) & rows["_id"].eqNullSafe(places["_id"])
+    for k in key[1:]:
+        same &= rows[k].eqNullSafe(places[k])
+    placed = rows.join(places, same).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    placed.select("_row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -9,6 +9,7 @@ over it also starts in a document with a smaller id.
 Defined results: null text has no words; white space is bytes 9-13 and 32;
 documents with equal ids don't remove from each other; a null id counts as
 larger than every other; an empty table gives none. Other columns pass through, whatever their names.
+Windows are equal if 64-bit hashes of their words, mixed eight bytes at a time, are.
 """
 
 from __future__ import annotations
@@ -94,13 +95,33 @@ class _Chunk:
         return found, marks
 
 
+ADDED = ("n_words", "n_removed", "kept")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed and kept (the words left, joined by one space).
 
-    Added columns replace any of these names that docs has.
+    Added columns replace any of these names that docs has; others pass through, whatever their names.
     """
+    names = [c for c in docs.columns if c not in ADDED]
+    found = _cut(_packed(docs, names), window)
+    return found.select(*_unpacked(names), *ADDED)
+
+
+def _packed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, text and the other columns in one, so that their names can't clash."""
+    others = [F.col(c) for c in names if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("_row")] if others else []))
+
+
+def _unpacked(names: list[str]) -> list:
+    return [F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in names]
+
+
+def _cut(docs: DataFrame, window: int) -> DataFrame:
+    """docs (of names that don't clash) with ADDED."""
     lengths = ladder(window)
-    chunks, buckets = in_chunks(docs.drop("chunk", "n_words", "n_removed", "kept"))
+    chunks, buckets = in_chunks(docs)
     schema = StructType([f for f in chunks.schema if f.name != "chunk"] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def ask(level: int):
@@ -161,8 +182,10 @@ def _arrow(schema: pa.Schema) -> pa.Schema:
 
 def dedup_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The corpus after the cut: changed texts hold the words left; documents that lost every word go."""
-    found = remove_repeats(docs, window)
+    found = _cut(_packed(docs, docs.columns), window)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    replaced = {"text": text, "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return found.where(~changed | (F.col("n_removed") < F.col("n_words"))).select(*[replaced[c].alias(c) if c in replaced else c for c in docs.columns])
+    own = dict(zip(docs.columns, _unpacked(docs.columns), strict=True)) | {"text": text.alias("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("_row")["n_chars"]).alias("n_chars")
+    return found.where(~changed | (F.col("n_removed") < F.col("n_words"))).select(*own.values())

@@ -59,6 +59,17 @@ def test_larger_budgets_nest(docs):
     assert kept[0.3] < kept[0.6] < kept[0.9]
 
 
+def test_mix_repeats_rows_and_keeps_columns(docs):
+    clash = docs.withColumn("copies", F.lit(77)).withColumn("_mix_cut", F.lit("x")).withColumn("_row", F.lit(1))
+    sized = mixing.sized(docs)
+    planned = Counter()
+    for r in mixing.apply_plan(sized, mixing.mixture_plan(sized, share=1.2, max_repeat=2)).collect():
+        planned[r["doc_id"], r["size"]] += r["copies"]
+    found = mixing.mix_documents(clash, share=1.2, max_repeat=2)
+    assert found.columns == clash.columns and {r["copies"] for r in found.select("copies").distinct().collect()} == {77}
+    assert Counter((r["doc_id"], r["size"]) for r in mixing.sized(found).collect()) == +planned
+
+
 def test_mix_of_nothing(none):
     assert mixing.mix_documents(none).columns == none.columns and mixing.mix_documents(none).count() == 0
 
@@ -118,10 +129,19 @@ def test_few_and_no_rows_shard(spark, none):
     assert sorted((r["shard"], r["slot"]) for r in sharding.shard_rows(three).collect()) == [(0, 0), (5, 0), (10, 0)]
 
 
-def test_shards_are_written(spark, docs, tmp_path):
-    unique = docs.where("doc_id is not null and doc_id <> 411")
-    sharding.write_shards(unique, sharding.shard_rows(unique), str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == unique.count()
+def test_shards_are_written(spark, docs, rows, tmp_path):
+    clash = docs.withColumn("shard", F.lit("own")).withColumn("slot", F.col("doc_id"))
+    sharded = sharding.shard_rows(docs)
+    sharding.write_shards(clash, sharded, str(tmp_path / "shards"))
+    found = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter((r["doc_id"], r["text"], r["slot"]) for r in found.collect()) == Counter((r[0], r[1], r[0]) for r in rows)
+    assert {r["shard"] for r in found.select("shard").distinct().collect()} == {"own"}
+    assert {r["shard_"]: r["count"] for r in found.groupBy("shard_").count().collect()} == {r["shard"]: r["count"] for r in sharded.groupBy("shard").count().collect()}
+
+
+def test_far_ids_shard(spark, none):
+    far = spark.createDataFrame([(-(2**63), "a", "en", "s", 1), (2**63 - 1, "b", "en", "s", 1), (None, "c", "en", "s", 1)], none.schema)
+    assert sharding.shard_rows(far).count() == 3
 
 
 # ---- 3 packing
@@ -255,6 +275,16 @@ def test_dedup_leaves_other_columns(docs, none):
     assert substring_dedup.dedup_texts(none).count() == 0
 
 
+def test_dedup_keeps_clashing_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [(1, passage, 1, 2, 3, "k", 5), (2, f"x {passage} y", 4, 5, 6, "l", 7)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, chunk int, n_words int, n_removed int, kept string, _row int")
+    found = substring_dedup.dedup_texts(frame)
+    assert found.columns == frame.columns and [tuple(r) for r in found.orderBy("doc_id").collect()] == [texts[0], (2, "x y", 4, 5, 6, "l", 7)]
+    assert substring_dedup.remove_repeats(frame).select("chunk", "n_words", "_row").orderBy("_row").collect()[1][:] == (4, 22, 7)
+    assert substring_dedup.dedup_texts(frame.select("doc_id", "text")).count() == 2
+
+
 def test_ladder_doubles():
     assert substring_dedup.ladder(13) == [7, 13] and substring_dedup.ladder(50) == [7, 13, 25, 50]
     for w in range(2, 200):
@@ -479,10 +509,42 @@ def test_toxic_documents_stand_out(spark):
     assert toxicity.score(frame, untrained).agg(F.max("score")).first()[0] == 0.0
 
 
-def test_sample_is_bounded(spark):
-    marks = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in toxicity.sample_labels(marks, (300, 100)).groupBy("toxic").count().collect()}
-    assert counts[0] < 400 and counts[1] < 150
+def test_only_the_curve_has_a_bounded_sample(spark):
+    marks = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    roles = {r["role"]: r["count"] for r in toxicity.marked_labels(marks, 300).groupBy("role").count().collect()}
+    assert sum(roles.values()) == 8000 and 5000 < roles[0] < 5700 and 150 < roles[1] < 450
+    twice = marks.limit(3).union(marks.limit(3).withColumn("toxic", F.lit(1)))
+    assert [r["toxic"] for r in toxicity.marked_labels(twice).collect()] == [1, 1, 1]
+
+
+def test_likelihoods_match_plain_kneser_ney(spark):
+    """log P(word | class) of interpolated Kneser-Ney with a shared base, counted in plain Python over all labelled rows that are counted."""
+    import math
+    import random
+
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice("a b c d e f g h".split()) + rng.choice(["", "x"]) for _ in range(rng.randrange(1, 30)))) for i in range(120)]
+    frame, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 3 // 2) for i, _ in texts], "doc_id long, toxic int")
+    model, roles = toxicity.train(frame, marks, least=1), {r["doc_id"]: r["role"] for r in toxicity.marked_labels(marks).collect()}
+    pairs, documents = (Counter(), Counter()), Counter()
+    for i, text in texts:
+        words = text.split()
+        documents.update(set(words))
+        if roles[i] == 0:
+            pairs[i % 3 // 2].update(zip(words, words[1:], strict=False))
+
+    def chance(c: int, before: str | None, word: str) -> float:
+        base = (documents[word] + 1) / (sum(documents.values()) + len(documents) + 1)
+        continuation = Counter(w for _, w in pairs[c])
+        p = (max(continuation[word] - 0.75, 0) + 0.75 * len(continuation) * base) / len(pairs[c])
+        held = sum(n for (a, _), n in pairs[c].items() if a == before)
+        return (max(pairs[c][before, word] - 0.75, 0) + 0.75 * len({w for a, w in pairs[c] if a == before}) * p) / held if held else p
+
+    for _, text in texts[:40]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, hashes = toxicity._words(data, np.array([0, len(data)]))
+        found, plain = model.token_ratios(hashes, np.arange(len(hashes)) == 0), text.split()
+        assert found == pytest.approx([math.log(chance(1, b, w) / chance(0, b, w)) for b, w in zip([None, *plain], plain, strict=False)])
 
 
 # ---- 10 license scans
@@ -500,6 +562,29 @@ def test_licenses_are_found_where_they_stand(spark, docs, rows):
     assert license_scan.scan(docs).where(F.size("matches") > 0).count() == 0 and license_scan.scan(docs).count() == len(rows)
 
 
+def test_neighbouring_and_split_licenses(spark):
+    notice, mit = license_scan.TEMPLATES["MIT notice"], license_scan.TEMPLATES["MIT full text"].split()
+    header = " ".join(f"header{i}" for i in range(20))
+    plants = [(1, f"x. {notice}. Also, {notice}."), (2, f"{notice}. " * 7), (3, " ".join([*mit[:80], header, *mit[80:]])), (4, " ".join(mit[:60])), (5, " ".join(mit + mit))]
+    frame = spark.createDataFrame(plants, "doc_id long, text string")
+    found = {r["doc_id"]: [(m["license"], m["coverage"]) for m in r["matches"]] for r in license_scan.scan(frame).collect()}
+    assert found == {1: [("MIT notice", 1.0)] * 2, 2: [("MIT notice", 1.0)] * 7, 3: [("MIT full text", 1.0)], 4: [], 5: [("MIT full text", 1.0)] * 2}
+    ((license, coverage),) = [(m["license"], m["coverage"]) for r in license_scan.scan(frame.where("doc_id = 4"), least_coverage=0.3).collect() for m in r["matches"]]
+    assert license == "MIT" and 0.5 < coverage < 0.75
+    with pytest.raises(ValueError, match="fewer than"):
+        license_scan.scan(frame, {"short": "two words"})
+
+
+def test_every_template_is_found_whole():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        words = license_scan._words(f"some words {text} and more")
+        grams = words.windows(license_scan.GRAM)[0]
+        hits = [(t, at, own) for at in license_scan.winnow(words).tolist() for t, own in index.places.get(int(grams[at]), [])]
+        ((t, coverage, matched, start, end),) = license_scan.matches_of(words.hash, hits, index)
+        assert (index.names[t], coverage, matched, start, end) == (name, 1.0, len(index.words[t]), 2, 2 + len(index.words[t]))
+
+
 def test_alignment_matches_the_full_table():
     rng = np.random.default_rng(4)
     for _ in range(40):
@@ -527,3 +612,15 @@ def test_words_and_windows(rows):
     for h, (_, w) in zip(found.hash.tolist(), flat, strict=True):
         assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
+
+
+def test_long_words_that_differ_have_different_hashes():
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    for cut in (9, 16, 17, 64, 250, 256, 257, 1024):
+        both = [thue[:cut], thue[:cut].translate(str.maketrans("ab", "ba")), thue[:cut].upper()]
+        data = np.frombuffer(" ".join(both).encode(), np.uint8)
+        assert len(set(_words.Words(data, np.array([0, len(data)])).hash.tolist())) == 3
+        folded = _words.Words(data, np.array([0, len(data)]), fold=True).hash
+        assert folded[0] == folded[2] != folded[1]
