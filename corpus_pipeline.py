@@ -23,11 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model).where("score < 0.5").drop("score")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest id stays; rows without an id stay."""
+    """Of documents that links join, the one with the smallest id stays, with all its rows; rows without an id stay."""
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     gone = durable(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return bounded_join(docs, gone, docs["doc_id"] == gone["_gone"], "left_anti")
