@@ -84,8 +84,9 @@ def guard_input(text: Column) -> Column:
 
 
 def _unnegated(text: Column, pattern: str) -> Column:
-    """Whether the pattern occurs without a negation in the few characters before it."""
-    return text.rlike(rf"(?<!(?:{NEGATION}).{{0,{NEGATION_WINDOW - 1}}})(?:{pattern})")
+    """Whether the pattern occurs without a whole negation among the few characters (line ends too) before it."""
+    before = "|".join(rf"{word}[\s\S]{{0,{NEGATION_WINDOW - len(word)}}}" for word in NEGATION.split("|"))
+    return text.rlike(rf"(?<!{before})(?:{pattern})")
 
 
 def guard_output(text: Column, emotion: Column) -> Column:

@@ -37,36 +37,50 @@ def strata_report(metrics: DataFrame, tags: DataFrame) -> DataFrame:
     return every.agg(F.count("*").alias("cases"), *[F.avg(m).alias(m) for m in ("recall", "mrr", "ndcg")])
 
 
-def percentile_nearest(value: str, q: float) -> Column:
-    """The value at place ceil(q n)."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.size(ordered) * F.lit(q)).cast("int")))
+def nearest_place(q: float) -> Column:
+    """Place ceil(q n), from 1, of n values in order."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(q)))
 
 
-def percentile_rounded(value: str, q: float) -> Column:
-    """The value at place round(q (n - 1)), halves to even, from 0."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, F.bround((F.size(ordered) - 1) * F.lit(q)).cast("int") + 1)
+def rounded_place(q: float) -> Column:
+    """Place round(q (n - 1)) + 1, halves to even."""
+    return F.bround((F.col("n") - 1) * F.lit(q)) + 1
 
 
-def percentile_linear(value: str, q: float) -> Column:
-    return F.percentile(value, F.lit(q))
+def floor_place(q: float) -> Column:
+    """Place int(q n)."""
+    return F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(q)))
+
+
+def values_at(rows: DataFrame, by: str, value: str, places: dict[str, Column]) -> DataFrame:
+    """The values of each group at places (from 1) that follow from its number of values ``n``; null values count as none.
+
+    Equal values are counted before anything is put in order, and the running sum over a group's different values spills.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(by).orderBy(value))
+    ordered = counts.withColumn("_upto", upto).withColumn("n", F.sum("_c").over(Window.partitionBy(by)))
+    return ordered.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= place, F.col(value))).alias(name) for name, place in places.items()])
 
 
-def percentile_floor(value: str, q: float) -> Column:
-    """The value at place int(q n) - 1, from 0."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * F.lit(q)).cast("int")))
+def percentile_linear(value: str, q: float) -> Column:
+    return F.percentile(value, F.lit(q))
 
 
 def auc(scores: DataFrame) -> DataFrame:
     """P(positive > negative) + P(equal) / 2 of (score, positive).
 
-    Counts by distinct score and one running sum over them: ranks without pairs.
+    Counts by distinct score; these are put in order by range partitions, each with a running sum of its own that starts from one count for each partition before it.
     """
     by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    # A fixed number, which is not changed at run time, so that both uses see the same partitions.
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = by.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id())
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition.
+    starts = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    below = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    by = placed.join(F.broadcast(starts), "part").withColumn("below", F.col("start") + F.coalesce(F.sum("n").over(below), F.lit(0)))
     return by.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 

@@ -6,8 +6,6 @@ the corpus and breaks ties as a stable sort would.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +15,10 @@ from tessera.functions.text import lexical_coverage, tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
 RECALL_FACTOR, RECALL_MOST = 3, 15
-#: Queries whose vectors are held by each task at once; more are done block by block.
+#: Queries, and chunks of the corpus, that meet in a tile.
 QUERY_BLOCK = 2048
+#: More query terms than these are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 #: About how many vectors each side of a tile of cosine_pairs has.
 PAIR_BLOCK = 2048
 
@@ -43,9 +43,12 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     statistics and the document frequencies of those terms join them.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    postings = bm25_postings(corpus)
-    totals = corpus.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    mine = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    split = corpus.select("chunk_id", "ord", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    totals = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = wanted.select("term").distinct()
+    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
+    terms = split.select("chunk_id", "ord", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
+    mine = terms.groupBy("chunk_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = mine.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -56,46 +59,63 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(found, k, [F.desc("score"), F.asc("ord")]).select("query_id", "chunk_id", "rank", "score", "ord")
 
 
+def containing(texts: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """Rows of texts (text, ...) beside each passage (passage, ...) that they contain.
+
+    A text that contains a passage has its words from the second on, up to the last but one, as whole words: the hash of the first ``words`` of these
+    joins the two, then the passage itself is looked for. Passages that are too short for that are compared with every text.
+    """
+    split = lambda c: F.split(F.col(c), r"[\x20\x09-\x0D]+")
+    hashed = lambda w, at: F.xxhash64(F.concat_ws(" ", F.slice(w, at, words)))
+    keyed = passages.withColumn("_words", split("passage"))
+    whole = F.size("_words") >= words + 2
+    keys = keyed.where(whole).withColumn("_key", hashed(F.col("_words"), F.lit(2))).drop("_words")
+    found = texts.withColumn("_words", split("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - (words - 1))), lambda i: hashed(F.col("_words"), i))
+    # Only hashes and the rows' own columns go through the join; which side is small is Spark's to see.
+    found = found.withColumn("_key", F.explode(F.array_distinct(grams))).drop("_words").join(keys, "_key").drop("_key")
+    short = keyed.where(~whole).drop("_words")
+    return found.where(F.contains("text", "passage")).unionByName(texts.join(short, F.contains(texts["text"], F.col("passage"))))
+
+
 def cosine_neighbours(corpus: DataFrame, queries: DataFrame, k: int, drop_self: bool = False) -> DataFrame:
     """Exact top k by cosine of a stated set of queries (query_id, vector) against a corpus (chunk_id, ord, vector).
 
-    The queries go to every task in blocks of QUERY_BLOCK; each batch of the corpus
-    answers with its own best k, so no pair beyond these leaves a task. A zero vector has cosine 0.
+    Queries and corpus are dealt into blocks, and each pair of blocks meets in one tile, which answers with its own best k of each query, so no
+    pair beyond these leaves a task, and nothing but two counts reaches the driver. A zero vector has cosine 0.
     """
-    held = queries.select("query_id", "vector").orderBy("query_id").collect()
-    out = None
-    for at in range(0, max(1, len(held)), QUERY_BLOCK):
-        found = _block_neighbours(corpus, held[at : at + QUERY_BLOCK], k, drop_self)
-        out = found if out is None else out.union(found)
+    asked_blocks, held_blocks = (max(1, -(-df.count() // QUERY_BLOCK)) for df in (queries, corpus))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select("query_id", F.col("vector").alias("asked"), own("query_id", asked_blocks).alias("i")).withColumn("j", every(held_blocks))
+    held = corpus.select("chunk_id", "ord", "vector", own("chunk_id", held_blocks).alias("j")).withColumn("i", every(asked_blocks))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, chunk, place = (t.column(c).to_numpy() for t, c in ((left, "query_id"), (right, "chunk_id"), (right, "ord")))
+        if not len(names) or not len(chunk):
+            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("chunk_id", pa.int64()), ("ord", pa.int64()), ("score", pa.float64()))})
+        scores = np.round(_unit(_matrix(left, "asked")) @ _unit(_matrix(right)).T, 9)
+        if drop_self:
+            scores[names[:, None] == chunk[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(place, scores.shape), -scores), axis=1)[:, :k]
+        best = np.take_along_axis(scores, order, axis=1)
+        real = best > -np.inf
+        return pa.table({"query_id": np.repeat(names, order.shape[1])[real.ravel()], "chunk_id": chunk[order][real], "ord": place[order][real], "score": best[real]})
+
+    tiles = asked.groupBy("i", "j").cogroup(held.groupBy("i", "j"))
+    out = tiles.applyInArrow(search, "query_id long, chunk_id long, ord long, score double")
     return top_k(out, k, [F.desc("score"), F.asc("ord")]).select("query_id", "chunk_id", "rank", "score")
 
 
+def _matrix(table: pa.Table, name: str = "vector") -> np.ndarray:
+    return pa.concat_arrays(table.column(name).chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _block_neighbours(corpus: DataFrame, block: list, k: int, drop_self: bool) -> DataFrame:
-    names = np.array([r["query_id"] for r in block], np.int64)
-    units = _unit(np.array([r["vector"] for r in block], np.float64)) if block else np.zeros((0, 1))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            chunk, place = batch.column("chunk_id").to_numpy(zero_copy_only=False), batch.column("ord").to_numpy(zero_copy_only=False)
-            vectors = np.array(batch.column("vector").to_pylist(), np.float64)
-            scores = np.round(units @ _unit(vectors).T, 9)
-            if drop_self:
-                scores[names[:, None] == chunk[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(place, scores.shape), -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, axis=1)
-            real = best > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])[real.ravel()]), pa.array(chunk[order][real]), pa.array(place[order][real]), pa.array(best[real])], ["query_id", "chunk_id", "ord", "score"])
-
-    return corpus.select("chunk_id", "ord", "vector").mapInArrow(search, "query_id long, chunk_id long, ord long, score double")
-
-
 def cosine_pairs(corpus: DataFrame, least: float, tolerance: float = 1e-4, block: int = PAIR_BLOCK) -> DataFrame:
     """All pairs (a < b) of chunks of a corpus (chunk_id, vector) whose cosine is at least ``least``.
 
@@ -109,7 +129,7 @@ def cosine_pairs(corpus: DataFrame, least: float, tolerance: float = 1e-4, block
 
     def meet(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
         ids, side = (tile.column(c).to_numpy() for c in ("chunk_id", "own"))
-        units = _unit(pa.concat_arrays(tile.column("vector").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
+        units = _unit(_matrix(tile))
         left, right = (np.flatnonzero(side == k.as_py()) for k in key)
         x, y = np.nonzero(np.round(units[left] @ units[right].T, 9) >= least - tolerance)
         a, b = ids[left[x]], ids[right[y]]

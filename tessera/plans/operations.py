@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dice
-from tessera.operators import commerce, evaluation, memory, mining, queues
+from tessera.operators import commerce, evaluation, memory, mining, queues, retrieval
 from tessera.operators import sessions as chat
 from tessera.plans._tables import Query, messages, now, table, vectors
 from tessera.streaming import windows
@@ -161,9 +161,10 @@ def wald_ci(spark, sf):
 
 
 def percentiles(spark, sf):
-    by = table(spark, sf, "events").groupBy("event_type")
-    e = evaluation
-    return by.agg(e.percentile_nearest("value", 0.95).alias("p1"), e.percentile_rounded("value", 0.95).alias("p2"), F.round(e.percentile_linear("value", 0.95), 9).alias("p3"), e.percentile_floor("value", 0.9).alias("p4"), F.round(F.median("value"), 9).alias("median"))
+    e, events = evaluation, table(spark, sf, "events")
+    places = e.values_at(events, "event_type", "value", {"p1": e.nearest_place(0.95), "p2": e.rounded_place(0.95), "p4": e.floor_place(0.9)})
+    smooth = events.groupBy("event_type").agg(F.round(e.percentile_linear("value", 0.95), 9).alias("p3"), F.round(F.median("value"), 9).alias("median"))
+    return places.join(smooth, "event_type").select("event_type", "p1", "p2", "p3", "p4", "median")
 
 
 def rejection_grid(spark, sf):
@@ -261,11 +262,7 @@ def corpus_reference_check(spark, sf):
 
 
 def theta_self_join_pairs(spark, sf):
-    from tessera.operators.retrieval import cosine_neighbours
-
-    every = vectors(spark, sf)
-    asked = every.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
-    return mining.like_pairs(every, cosine_neighbours(every, asked, 20, drop_self=True), 0.35)
+    return retrieval.cosine_pairs(vectors(spark, sf), 0.35)
 
 
 def dice_scores(spark, sf):

@@ -27,10 +27,9 @@ turns AS (
 )"""
 _HOURLY = "hourly AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL)"
 _LABELLED = "labels JOIN documents USING (doc_id)"
-_KNN = """near AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
-), twenty AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM near),
-pairs AS (SELECT DISTINCT least(query_id, chunk_id) AS a, greatest(query_id, chunk_id) AS b FROM twenty WHERE r <= 20 AND score >= 0.35 - 1e-4)"""
+_ALIKE = """pairs AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
+    WHERE round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) >= 0.35 - 1e-4)"""
 _BUCKETS = ("1.0", "5.0", "10.0", "25.0", "50.0", "100.0", "250.0")
 _HISTOGRAM = "buckets AS (" + " UNION ALL ".join(f"SELECT event_type, {b}::DOUBLE AS le, count(*) FILTER (WHERE value <= {b}) AS n FROM events GROUP BY event_type" for b in _BUCKETS) + ")"
 _SKIP = """CASE WHEN confidence < 0.8 THEN 'low_confidence' WHEN human THEN 'requires_human' WHEN sources = 0 THEN 'no_sources' WHEN length(question) < 4 OR length(answer) < 20 THEN 'short'
@@ -105,7 +104,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT status, CASE WHEN status = 'pending' AND date_diff('day', created, DATE '1998-01-01') >= 30 THEN 'aging' WHEN status = 'aging' THEN 'rejected' ELSE status END AS new_status, count(*) AS n FROM l GROUP BY ALL""",
     "stratified_sample": "SELECT doc_id, lang FROM documents QUALIFY lang = 'es' OR row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) <= 3",
     "corpus_reference_check": "SELECT DISTINCT p_name[1:7] AS ref FROM part WHERE NOT EXISTS (SELECT 1 FROM nation WHERE starts_with(n_name, p_name[1:7]) OR starts_with(p_name[1:7], n_name))",
-    "theta_self_join_pairs": f"WITH {_KNN} SELECT a, b FROM pairs",
+    "theta_self_join_pairs": f"WITH {_ALIKE} SELECT a, b FROM pairs",
     "dice_scores": f"""WITH g AS (SELECT conv_id, turn, {_GRAMS.format('text')} AS g FROM conversations), o AS (SELECT conv_id, g AS q FROM g WHERE turn = 0) SELECT conv_id, turn, round({_DICE.format('q', 'g')}, 9) AS dice FROM g JOIN o USING (conv_id) WHERE turn > 0""",
     "score_fact": f"WITH {_SCORED} SELECT fact_id, round(alike + weight + fresh, 9) AS score, round(CASE WHEN fact_id % 2 = 0 THEN 0.4::DOUBLE * alike + 0.3::DOUBLE ELSE alike END + weight + fresh, 9) AS fused FROM scored",
     "select_facts": f"""WITH {_SCORED}, kept AS (SELECT *, round(alike + weight + fresh, 9) AS score FROM scored WHERE status = 'active' AND (category IN ('identity', 'preference') OR age <= 365) AND (alike >= 0.02 OR category = 'identity'))
@@ -115,7 +114,7 @@ ORACLE_SQL: dict[str, str] = {
     "active_cap": f"WITH {_FACTS}, c AS (SELECT status, row_number() OVER (PARTITION BY user_id, status = 'active' ORDER BY updated_at DESC, fact_id DESC) AS nth FROM facts) SELECT CASE WHEN status = 'active' AND nth > 3 THEN 'deleted' ELSE status END AS status, count(*) AS n FROM c GROUP BY 1",
     "retention_keep_last_n": f"WITH {_FACTS} SELECT user_id, fact_id FROM facts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY fact_id DESC) <= 2",
     "embedding_backfill": f"WITH {_FACTS} SELECT fact_id FROM facts WHERE status = 'active' AND NOT (fact_id % 3 = 0 AND fact_id % 2 = 0)",
-    "duplicate_clusters": f"""WITH RECURSIVE {_KNN}, both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS r FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON a = r)
+    "duplicate_clusters": f"""WITH RECURSIVE {_ALIKE}, both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS r FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON a = r)
         SELECT cluster, count(*) AS n FROM (SELECT node, min(r) AS cluster FROM reach GROUP BY node) GROUP BY cluster""",
     "sliding_window_limit": "SELECT event_id, hits, hits <= 2 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS hits FROM events)",
     "idle_session_gap": """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -225,3 +225,28 @@ def test_in_run_pairwise_tries_all_pairs(spark):
         if a not in lost and b not in lost:
             lost.add(a if quality[a] < quality[b] else b)
     assert sorted(r["dropped"] for r in rules.in_run_pairwise(spark, folder).collect()) == sorted(lost)
+
+
+def test_pages_keep_nested_and_unclosed_cells():
+    from tessera.sources.html import page_text
+
+    assert page_text("<table><tr><td>A<table><tr><td>B</td></tr></table></td><td>C</td></tr></table>") == "| A B | C |\n| --- | --- |"
+    assert page_text("<table><tr><td>A<td>B<tr><td>C</table>x") == "| A | B |\n| --- | --- |\n| C |  |\n\nx"
+    assert page_text("<dl><dt>a<dd>b</dl>c<aside>d</aside>e") == "a\n\nb\n\nc\n\nd\n\ne"
+
+
+def test_negations_count_only_when_whole_and_near(spark):
+    from tessera.functions.safety import guard_output
+
+    rows = spark.createDataFrame([("禁止一二三四五六七私下转账",), ("请不要\n私下转账",), ("私下转账",), ("禁止一二三四五六私下转账",)], "t string")
+    assert [r[0] is None for r in rows.select(guard_output(F.col("t"), F.lit("calm"))).collect()] == [False, True, False, True]
+
+
+def test_texts_that_contain_passages(spark):
+    from tessera.operators.retrieval import containing
+
+    passages = ["one two three four five six seven", "ne two three four five si", "short one", "", "a\tb c  d e f g"]
+    texts = ["x one two three four five six seven y", "one two three four five six", "a short one", "a\tb c  d e f g", "a b c d e f g", "", None]
+    found = containing(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(list(enumerate(passages)), "n int, passage string"))
+    expected = [(i, n) for i, t in enumerate(texts) for n, p in enumerate(passages) if t is not None and p in t]
+    assert sorted((r["id"], r["n"]) for r in found.select("id", "n").collect()) == expected
