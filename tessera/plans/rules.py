@@ -23,7 +23,7 @@ def markdown_table(spark, sf):
 
 def subquery_normalize(spark, sf):
     c = table(spark, sf, "conversations")
-    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(F.lit(" "), F.substring("text", 1, 20)).alias("query"), F.array(F.substring("text", 1, 20), F.lit(""), F.col("role"), F.lit("more"), F.lit("most")).alias("rewrites"))
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(F.lit(" "), F.col("text")).alias("query"), F.array(F.col("text"), F.lit(""), F.col("role"), F.lit("more"), F.lit("most")).alias("rewrites"))
     return retrieval.usable_subqueries(rows).select("query_id", F.array_join("subqueries", "|").alias("subqueries"))
 
 
@@ -233,7 +233,7 @@ _GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: {0}[i:i
 
 ORACLE_SQL: dict[str, str] = {
     "markdown_table": "SELECT n_regionkey, string_agg('| ' || n_name || ' | ' || n_nationkey || ' |' || CASE WHEN first THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY n_nationkey) AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 AS first FROM nation) GROUP BY n_regionkey",
-    "subquery_normalize": "WITH q AS (SELECT conv_id * 100 + turn AS query_id, trim(text[1:20]) AS a, role FROM conversations) SELECT query_id, array_to_string(list_filter([a, CASE WHEN role <> a THEN role END, 'more'], lambda x: x <> ''), '|') AS subqueries FROM q",
+    "subquery_normalize": "WITH q AS (SELECT conv_id * 100 + turn AS query_id, trim(text) AS a, role FROM conversations) SELECT query_id, array_to_string(list_filter([a, CASE WHEN role <> a THEN role END, 'more'], lambda x: x <> ''), '|') AS subqueries FROM q",
     "rerank": f"""WITH {_NEAR}, six AS (SELECT *, CASE WHEN query_id % 200 = 0 OR r <= 2 THEN (chunk_id * 7919) % 101 / 101 END AS s FROM placed WHERE r <= 6), d AS (SELECT *, count(s) OVER (PARTITION BY query_id) < 4 AS degraded FROM six),
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT degraded THEN s END DESC NULLS LAST, r)::INT AS rank FROM d WHERE degraded OR s IS NOT NULL) SELECT query_id, chunk_id, rank, degraded FROM n WHERE rank <= 4""",
     "product_lexical_search": f"""WITH g AS (SELECT p_partkey AS id, greatest(CASE WHEN lower(p_brand) = 'steel' THEN 4 WHEN contains(lower(p_name), 'steel') THEN 3 WHEN contains(lower(p_type), 'steel') THEN 2 ELSE 0 END,
