@@ -21,7 +21,7 @@ from tessera.llm._common import partitions
 from tessera.llm._words import as_binaries, joined
 
 #: Bytes of text in a partition of chunks, and chunks in a partition: a chunk is what one call of Python sees of the texts.
-PARTITION_BYTES, CHUNKS_A_PARTITION = 40 << 20, 2
+PARTITION_BYTES, CHUNKS_A_PARTITION = 24 << 20, 2
 
 SENT = "bucket int, chunk int, hashes binary, firsts binary"
 ANSWER = "chunk int, level int, hashes binary"

@@ -39,8 +39,8 @@ from tessera.llm._words import Words, among, as_binaries, dealt, joined, keys_of
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: A shingle is common if a 256th of the texts of any one Arrow batch, and 16 at least, have it. Which are called so changes the order of work only, so their number may be bounded.
-COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 256, 16, 1 << 16
+#: A shingle is common if a 256th of any texts of COUNTED_AT_ONCE shingles that are counted together, and 16 at least, have it. Which are called so changes the order of work only, so their number may be bounded.
+COMMON_SHARE, COMMON_LEAST, MOST_COMMON, COUNTED_AT_ONCE = 256, 16, 1 << 16, 1 << 20
 #: Rows compared at once in step 2; rows of a block of a large tile, and up to which a tile is small; how many sets of another component are tried first.
 RUN, BLOCK, SMALL, NEAREST = 1024, 4096, 64, 16
 #: 64-bit words of the signatures in tiles.
@@ -88,16 +88,23 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """The hashes (see _Sets) of shingles that very many documents have, in order; at most MOST_COMMON of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(held: list[np.ndarray], n_texts: int) -> pa.RecordBatch:
+            values, least = np.concatenate(held or [np.zeros(0, np.uint64)]), max(COMMON_LEAST, n_texts // COMMON_SHARE)
+            # Only hashes in parts with enough of them are told apart.
+            part = (values >> np.uint64(43)).astype(np.int32)
+            found, n = np.unique(values[np.bincount(part, minlength=1 << 20)[part] >= least], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n >= least].astype(np.int64)), pa.array(n[n >= least])], ["token", "n"])
+
         for batch in batches:
-            held = [np.zeros(0, np.uint64)]
-            for _, _, data, bounds in text_slices(pa.Table.from_batches([batch])):
+            held, n_texts = [], 0
+            for lo, hi, data, bounds in text_slices(pa.Table.from_batches([batch])):
                 value, inside = Words(data, bounds, fold=True).windows(words)
                 held.append(value[inside] >> np.uint64(1))
-            values, least = np.concatenate(held), max(COMMON_LEAST, batch.num_rows // COMMON_SHARE)
-            # Only hashes in parts with enough of them are told apart.
-            part = (values >> np.uint64(43)).astype(np.int64)
-            found, n = np.unique(values[np.bincount(part, minlength=1 << 20)[part] >= least], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n >= least].astype(np.int64)), pa.array(n[n >= least])], ["token", "n"])
+                n_texts += hi - lo
+                if sum(map(len, held)) >= COUNTED_AT_ONCE:
+                    yield frequent(held, n_texts)
+                    held, n_texts = [], 0
+            yield frequent(held, n_texts)
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.uint64))
@@ -133,12 +140,13 @@ class _Sets:
             new = np.ones(len(value), bool)
             new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
             hashes.append(value[new])
-            texts.append(lo + owner[new])
+            texts.append((lo + owner[new]).astype(np.int32))
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.text = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        self.text = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        del hashes, texts
         self.edges = np.searchsorted(self.text, np.arange(len(self.keys) + 1))
         self.sizes = np.diff(self.edges)
-        self.place = np.arange(len(self.hash)) - self.edges[self.text]
+        self.place = (np.arange(len(self.hash), dtype=np.int64) - self.edges[self.text]).astype(np.int32)
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hash ^ np.uint64(seed)))]) for seed in (0x51ED27, 0xC0FFEE11)]
         self.names = [(s[self.edges[1:]] - s[self.edges[:-1]]).view(np.int64) for s in sums]
         # Of texts with equal sets in this chunk, only the first speaks for them.
