@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, jaccard_join, license_scan, media, mixing, packing, sharding, substring_dedup, token_counts, toxicity
+from tessera.llm import fingerprints, jaccard_join, license_scan, lm_scoring, media, mixing, packing, period_runs, sharding, substring_dedup, token_counts, toxicity, whitening
 from tessera.llm._common import durable
 
 
@@ -69,7 +69,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_max("matches.coverage").alias("coverage"), F.array_distinct("matches.license").alias("licenses"), "matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hilbert_shards, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op6_multiset_fingerprints, op7_token_counts, op8_jaccard_join, op9_toxicity, op10_license_scan)}
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm_scoring.held_out(F.col("doc_id"))
+    model = lm_scoring.learn(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return lm_scoring.score(model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.runs_of_texts(documents(spark, sf_dir), planted=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_hilbert_shards, op3_best_fit_packing, op4_media_columns, op5_substring_dedup, op6_multiset_fingerprints, op7_token_counts, op8_jaccard_join, op9_toxicity,
+        op10_license_scan, op11_lm_scores, op12_embedding_whitening, op13_period_runs,
+    )
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -20,6 +20,8 @@ COLUMNS = {
     "op4_media_columns": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op5_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op6_multiset_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op7_token_counts": "doc_id n_tokens edited_tokens",
     "op8_jaccard_join": "doc_id n_shingles component_id", "op9_toxicity": "doc_id held_out score predicted", "op10_license_scan": "doc_id n_matches matches",
+    "op11_lm_scores": "doc_id held_out n_tokens n_known train_tokens base_score score", "op12_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_period_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -27,8 +29,9 @@ COLUMNS = {
 def test_query(spark, name):
     found = queries.QUERIES[name](spark, SF).cache()
     assert set(COLUMNS[name].split()) <= set(found.columns)
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert found.select("doc_id").distinct().count() == n
+    table, key = ("embeddings", "vec_id") if name.startswith("op12_") else ("documents", "doc_id")
+    n = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert found.select(key).distinct().count() == n
     if name in queries.ORACLE_SQL:
         assert rows_of(found) == rows_of_sql(connect(SF), queries.ORACLE_SQL[name])
 
