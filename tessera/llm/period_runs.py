@@ -163,13 +163,13 @@ def _slice_rows(data: np.ndarray, bounds: np.ndarray, ids: list | None) -> Itera
     np.add.at(cover, edges[text] + start + length, -1)
     kept = np.cumsum(cover)[:-1] == 0
     stay = np.flatnonzero(kept)
-    left = words.take(pa.array(source[stay])).to_pylist()
-    cuts = np.searchsorted(stay, edges)
+    texts = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(stay, edges)), words.take(pa.array(source[stay])))
+    left = pc.binary_join(texts, pa.scalar(b" ", pa.large_binary())).to_pylist()
     runs = np.searchsorted(text, np.arange(len(lengths) + 1))
     for i in range(len(lengths)):
         a, b = runs[i], runs[i + 1]
         listed = hashlib.sha256("".join(f"{s},{n},{p}\n" for s, n, p in zip(start[a:b].tolist(), length[a:b].tolist(), period[a:b].tolist(), strict=True)).encode()).hexdigest()
-        collapsed = hashlib.sha256(b" ".join(left[cuts[i] : cuts[i + 1]])).hexdigest()
+        collapsed = hashlib.sha256(left[i]).hexdigest()
         best = (None,) * 4
         if b > a:
             # The first of the longest: runs come by start and period.
