@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _LOW33 = (1 << 33) - 1
 
+FINALIZER_SECONDS = 1.2
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in spark.checkpoint.dir; only a local session gets one of its own."""
@@ -34,9 +37,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are checkpointed; it does so once their frames are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps whose results are checkpointed; it does so once their frames are garbage.
+
+    Python gives up its hold on the JVM's frames in a thread that looks for work once a second; what these held can go at the second turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(FINALIZER_SECONDS)
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -47,6 +47,7 @@ _KEY = np.uint64((1 << 40) - 1)
 _WORDS_SENT = "bucket int, chunk int, keys binary, counts binary"
 _COUNTED = "chunk int, bucket int, kind int, held binary, n long, v long"
 _PAIRS_SENT = "bucket int, chunk int, pairs binary"
+_ANSWER = "chunk int, bucket int, kind int, held binary"
 _SEGMENT = "bucket int, bits binary, cells array<int>, votes array<long>"
 #: Kinds of answers to a chunk.
 _COUNTS, _LEVELS = range(2)
@@ -269,6 +270,23 @@ class Model:
     weights: np.ndarray
 
 
+# Each step is a function of its own, so that its shuffles can be released when it returns.
+def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
+    sent = chunks.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(_words_sent(buckets), _WORDS_SENT)
+    return durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_words_counted, _COUNTED))
+
+
+def _filtered(chunks: DataFrame, counted: DataFrame, buckets: int, tokens: int) -> DataFrame:
+    sent = chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_pairs_sent(buckets), _PAIRS_SENT)
+    return durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_segments(max(1, tokens)), _SEGMENT))
+
+
+def _levels(model: Model) -> DataFrame:
+    """The levels of all pairs of each chunk, from the segments where they are."""
+    asked = model.chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(model.counted.groupBy("chunk")).applyInArrow(_levels_asked(model.buckets), _PAIRS_SENT)
+    return durable(asked.repartition(model.buckets, "bucket").groupBy("bucket").cogroup(model.segments.groupBy("bucket")).applyInArrow(_levels_found, _ANSWER))
+
+
 def learn(docs: DataFrame, learns: Column) -> Model:
     """Count the texts of the rows where ``learns`` is true, of docs with text; all rows are dealt into chunks, which score() needs."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -277,14 +295,12 @@ def learn(docs: DataFrame, learns: Column) -> Model:
     deal = F.pmod(F.xxhash64(*(F.col(c) for c in docs.columns if dict(docs.dtypes)[c] in ("bigint", "int", "string"))), F.lit(buckets * CHUNKS_A_PARTITION)).cast("int")
     row = F.struct(*(F.col(c) for c in others)).alias("row") if others else F.lit(None).cast("struct<none:int>").alias("row")
     chunks = docs.select(deal.alias("chunk"), "text", F.coalesce(learns, F.lit(False)).alias("learn"), row).repartition(buckets, "chunk")
-    sent = chunks.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(_words_sent(buckets), _WORDS_SENT)
-    counted = durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_words_counted, _COUNTED))
+    counted = _counted(chunks, buckets)
+    release(docs.sparkSession)
     totals = counted.where("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, words = totals["n"] or 0, totals["v"] or 0
     counted = counted.where("chunk >= 0").select("chunk", "bucket", "kind", "held")
-    release(docs.sparkSession)
-    sent = chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_pairs_sent(buckets), _PAIRS_SENT)
-    segments = durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_segments(max(1, tokens)), _SEGMENT))
+    segments = _filtered(chunks, counted, buckets, tokens)
     release(docs.sparkSession)
     # At most as many rows as there are levels times ratios.
     cells = segments.select(F.explode(F.arrays_zip("cells", "votes")).alias("c")).groupBy("c.cells").agg(F.sum("c.votes").alias("n")).collect()
@@ -314,7 +330,7 @@ def _levels_found(key: tuple[pa.Scalar, ...], asked: pa.Table, segment: pa.Table
     levels = held.levels(np.zeros(len(packed), np.int64), packed & _KEY, (packed >> np.uint64(40)).astype(np.int64))
     each = np.array([len(b) // 8 for b in asked.column("pairs").to_pylist()], np.int64)
     n = asked.num_rows
-    return _table("chunk int, bucket int, kind int, held binary", asked.column("chunk").combine_chunks() if n else [], [bucket] * n, [_LEVELS] * n, as_binaries(levels, each) if n else [])
+    return _table(_ANSWER, asked.column("chunk").combine_chunks() if n else [], [bucket] * n, [_LEVELS] * n, as_binaries(levels, each) if n else [])
 
 
 def score(model: Model, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -325,9 +341,8 @@ def score(model: Model, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     if size <= most_broadcast:
         held = spark.sparkContext.broadcast(Filter.of([(r["bucket"], bytes(r["bits"])) for r in model.segments.collect()], buckets))
     else:
-        asked = model.chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_levels_asked(buckets), _PAIRS_SENT)
-        found = asked.repartition(buckets, "bucket").groupBy("bucket").cogroup(model.segments.groupBy("bucket")).applyInArrow(_levels_found, "chunk int, bucket int, kind int, held binary")
-        answers = answers.union(durable(found))
+        answers = answers.union(_levels(model))
+        release(spark)
     tokens, words, weights = model.tokens, model.words, model.weights
     schema = StructType([f for f in model.chunks.schema if f.name in ("text", "row")] + [StructField(c, LongType() if c.startswith("n_") else DoubleType()) for c in ADDED])
 
