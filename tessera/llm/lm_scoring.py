@@ -12,8 +12,8 @@ The weights are fitted by deleted interpolation: every pair of the corpus votes,
 levels and ratios of the two estimates, whose size is fixed.
 
 How it is distributed: texts are dealt into chunks by a hash of their row. A chunk sends each of its distinct words once to the word's bucket and
-gets the exact counts back, in the same order; then it sends its distinct pairs, and each bucket makes its segment of the filter. The filter is broadcast if it has
-MOST_BROADCAST bytes at most; a larger one stays where it is, and chunks send their distinct pairs to the segments and get the levels back. Both
+gets the exact counts back, in the same order; then it sends its distinct pairs, and each bucket makes its segment of the filter. The filter is broadcast if so many
+tokens can't need more than MOST_BROADCAST bytes; a larger one stays where it is, and each segment is probed there for the pairs that chunks have sent it, and tells them the levels. Both
 ways give the same scores. No task holds more than a chunk or a bucket, both of which follow the input in number.
 
 Defined results: null text is the empty text, which has the end only; without rows to learn from every probability is 1. Repeated rows
@@ -47,8 +47,7 @@ _KEY = np.uint64((1 << 40) - 1)
 _WORDS_SENT = "bucket int, chunk int, keys binary, counts binary"
 _COUNTED = "chunk int, bucket int, kind int, held binary, n long, v long"
 _PAIRS_SENT = "bucket int, chunk int, pairs binary"
-_ANSWER = "chunk int, bucket int, kind int, held binary"
-_SEGMENT = "bucket int, bits binary, cells array<int>, votes array<long>"
+_SEGMENT = "bucket int, chunk int, kind int, held binary, cells array<int>, votes array<long>"
 #: Kinds of answers to a chunk.
 _COUNTS, _LEVELS = range(2)
 #: Of a cell: ratios are told apart by half powers of two, between 2^-20 and 2^20; cell 0 of a level is ratio 0.
@@ -148,10 +147,12 @@ class _Chunk:
         before[opens], self.context_counts[opens] = _START, ends
         self.pairs = mixed(before * _STEP + self.tokens)
 
-    def distinct_pairs(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct pairs of the tokens ``among``, a place of each and how often it occurs."""
-        pairs, first, n = np.unique(self.pairs[among], return_index=True, return_counts=True)
-        return pairs, among[first], n
+    def distinct_pairs(self, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs (every: of all texts, else of those to learn from), a place of each and how often it occurs in texts to learn from."""
+        learns = self.learns[self.texts]
+        among = np.arange(len(self.pairs)) if every else np.flatnonzero(learns)
+        pairs, first, which = np.unique(self.pairs[among], return_index=True, return_inverse=True)
+        return pairs, among[first], np.bincount(which[learns[among]], minlength=len(pairs))
 
     def most_levels(self, at: np.ndarray) -> np.ndarray:
         return level_of(np.minimum(self.counts[at], self.context_counts[at]))
@@ -194,52 +195,70 @@ def _words_counted(table: pa.Table) -> pa.Table:
     return _table(_COUNTED, [*chunks, -1], [*bucket, bucket[0]], [_COUNTS] * (len(chunks) + 1), held, [*nothing, int(totals.sum())], [*nothing, int((totals > 0).sum())])
 
 
-def _pairs_sent(buckets: int):
-    """A pair goes as one number: 40 bits of key, its count (in several parts if above 255) and the levels of its two words."""
+def _pairs_sent(buckets: int, every: bool):
+    """A pair goes as one number: 40 bits of key, its count (in several parts if above 255) and the levels of its two words. every: also pairs that no text to learn from has."""
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(_PAIRS_SENT)
         chunk = _Chunk(table, buckets)
         chunk.take_counts(answers)
-        pairs, at, n = chunk.distinct_pairs(np.flatnonzero(chunk.learns[chunk.texts]))
+        pairs, at, n = chunk.distinct_pairs(every)
         packed = pairs & _KEY | level_of(chunk.context_counts[at]).astype(np.uint64) << np.uint64(48) | level_of(chunk.counts[at]).astype(np.uint64) << np.uint64(56)
-        parts = -(-n // 255)
-        last = np.cumsum(parts) - 1
+        parts = _parts(n)
         share = np.full(int(parts.sum()), 255)
-        share[last] = n - 255 * (parts - 1)
+        share[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
         found, (_, packed) = dealt(np.repeat(pairs, parts), buckets, np.repeat(packed, parts) | share.astype(np.uint64) << np.uint64(40))
         return _table(_PAIRS_SENT, found, np.full(len(found), key[0].as_py()), packed)
 
     return send
 
 
-def _segments(tokens: int):
-    """A bucket's part of the filter, and its votes on the weights."""
+def _parts(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-counts // 255))
+
+
+def _segments(tokens: int, every: bool):
+    """A bucket's part of the filter and its votes on the weights (chunk -1); with ``every``, also what its filter says of the pairs of each chunk, in the order sent."""
 
     def make(table: pa.Table) -> pa.Table:
-        packed = joined(table.column("pairs"))
-        order = np.argsort(packed & _KEY, kind="stable")
-        packed = packed[order]
+        sent = joined(table.column("pairs"))
+        order = np.argsort(sent & _KEY, kind="stable")
+        packed = sent[order]
         key, parts = packed & _KEY, (packed >> np.uint64(40) & np.uint64(255)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        starts = np.flatnonzero(new)
         key, counts = key[starts], np.add.reduceat(parts, starts)
         context, word = ((packed[starts] >> np.uint64(s) & np.uint64(255)).astype(np.int64) for s in (48, 56))
-        middle = LEAST * BASE**0.5
-        with np.errstate(divide="ignore"):
-            # One occurrence left out: of the pair, of its context and of its word.
-            left = np.where(counts > 1, LEAST[np.maximum(level_of(counts - 1), 1) - 1], 0)
-            ratio = left / np.maximum(middle[context - 1] - 1, 1) / (np.maximum(middle[word - 1] - 1, 1) / tokens)
-            step = np.where(ratio > 0, np.clip(np.round(2 * np.log2(ratio)), -40, 40) + 41, 0).astype(np.int64)
-        cell, which = np.unique(context * _RATIOS + step, return_inverse=True)
-        votes = np.zeros(len(cell), np.int64)
-        np.add.at(votes, which, counts)
-        bits = make_segment(key, level_of(counts))
-        return _table(_SEGMENT, [table.column("bucket")[0].as_py()], [bits.tobytes()], [cell.tolist()], [votes.tolist()])
+        held = counts > 0
+        bits = make_segment(key[held], level_of(counts[held])).tobytes()
+        cells, votes = _votes(counts[held], context[held], word[held], tokens)
+        bucket = table.column("bucket")[0].as_py()
+        out = [_table(_SEGMENT, [bucket], [-1], [_LEVELS], [bits], [cells.tolist()], [votes.tolist()])]
+        if every:
+            found = Filter.of([(0, bits)], 1).levels(np.zeros(len(key), np.int64), key, np.minimum(context, word))
+            levels = np.empty(len(sent), np.uint8)
+            levels[order] = found[np.cumsum(new) - 1]
+            n, each = table.num_rows, np.array([len(b) // 8 for b in table.column("pairs").to_pylist()], np.int64)
+            out.append(_table(_SEGMENT, [bucket] * n, table.column("chunk").combine_chunks(), [_LEVELS] * n, as_binaries(levels, each), [None] * n, [None] * n))
+        return pa.concat_tables(out)
 
     return make
 
 
+def _votes(counts: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and how many occurrences fall into each: by the context's level, and by the ratio of the two estimates with one occurrence left out of the pair, its context and its word."""
+    middle = LEAST * BASE**0.5
+    with np.errstate(divide="ignore"):
+        left = np.where(counts > 1, LEAST[np.maximum(level_of(counts - 1), 1) - 1], 0)
+        ratio = left / np.maximum(middle[context - 1] - 1, 1) / (np.maximum(middle[word - 1] - 1, 1) / tokens)
+        step = np.where(ratio > 0, np.clip(np.round(2 * np.log2(ratio)), -40, 40) + 41, 0).astype(np.int64)
+    cell, which = np.unique(context * _RATIOS + step, return_inverse=True)
+    votes = np.zeros(len(cell), np.int64)
+    np.add.at(votes, which, counts)
+    return cell, votes
+
+
 def fit_weights(votes: dict[int, int]) -> np.ndarray:
     """Of each level of a context the weight of its pairs, at which the votes (by cell) are likeliest."""
     weights = np.zeros(len(LEAST) + 1)
@@ -259,12 +278,13 @@ def fit_weights(votes: dict[int, int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Exact counts answer each chunk; segments of the filter; numbers of tokens and of different words; weights by level."""
+    """What chunks get back (counts, and levels if the filter isn't broadcast); the filter's segments; numbers of tokens and of different words; weights by level."""
 
     chunks: DataFrame
     buckets: int
-    counted: DataFrame
+    answers: DataFrame
     segments: DataFrame
+    broadcast: bool
     tokens: int
     words: int
     weights: np.ndarray
@@ -276,73 +296,46 @@ def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
     return durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_words_counted, _COUNTED))
 
 
-def _filtered(chunks: DataFrame, counted: DataFrame, buckets: int, tokens: int) -> DataFrame:
-    sent = chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_pairs_sent(buckets), _PAIRS_SENT)
-    return durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_segments(max(1, tokens)), _SEGMENT))
+def _filtered(chunks: DataFrame, counted: DataFrame, buckets: int, tokens: int, every: bool) -> DataFrame:
+    sent = chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_pairs_sent(buckets, every), _PAIRS_SENT)
+    return durable(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_segments(max(1, tokens), every), _SEGMENT))
 
 
-def _levels(model: Model) -> DataFrame:
-    """The levels of all pairs of each chunk, from the segments where they are."""
-    asked = model.chunks.select("chunk", "text", "learn").groupBy("chunk").cogroup(model.counted.groupBy("chunk")).applyInArrow(_levels_asked(model.buckets), _PAIRS_SENT)
-    return durable(asked.repartition(model.buckets, "bucket").groupBy("bucket").cogroup(model.segments.groupBy("bucket")).applyInArrow(_levels_found, _ANSWER))
+def filter_bytes(tokens: int, buckets: int) -> int:
+    """No filter of so many tokens is larger: a pair's level is at most its count."""
+    return int(tokens * HASHES / np.log(2) / 8) + 16 * buckets
 
 
-def learn(docs: DataFrame, learns: Column) -> Model:
+def learn(docs: DataFrame, learns: Column, most_broadcast: int = MOST_BROADCAST) -> Model:
     """Count the texts of the rows where ``learns`` is true, of docs with text; all rows are dealt into chunks, which score() needs."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-size // PARTITION_BYTES))
     others = [c for c in docs.columns if c != "text" and c.lower() not in ADDED]
-    deal = F.pmod(F.xxhash64(*(F.col(c) for c in docs.columns if dict(docs.dtypes)[c] in ("bigint", "int", "string"))), F.lit(buckets * CHUNKS_A_PARTITION)).cast("int")
+    deal = F.pmod(F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if kind in ("bigint", "int", "string"))), F.lit(buckets * CHUNKS_A_PARTITION)).cast("int")
     row = F.struct(*(F.col(c) for c in others)).alias("row") if others else F.lit(None).cast("struct<none:int>").alias("row")
     chunks = docs.select(deal.alias("chunk"), "text", F.coalesce(learns, F.lit(False)).alias("learn"), row).repartition(buckets, "chunk")
     counted = _counted(chunks, buckets)
     release(docs.sparkSession)
     totals = counted.where("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, words = totals["n"] or 0, totals["v"] or 0
-    counted = counted.where("chunk >= 0").select("chunk", "bucket", "kind", "held")
-    segments = _filtered(chunks, counted, buckets, tokens)
+    fits = filter_bytes(tokens, buckets) <= most_broadcast
+    answers = counted.where("chunk >= 0").select("chunk", "bucket", "kind", "held")
+    made = _filtered(chunks, answers, buckets, tokens, not fits)
     release(docs.sparkSession)
+    segments = made.where("chunk = -1")
     # At most as many rows as there are levels times ratios.
     cells = segments.select(F.explode(F.arrays_zip("cells", "votes")).alias("c")).groupBy("c.cells").agg(F.sum("c.votes").alias("n")).collect()
-    return Model(chunks, buckets, counted, segments.select("bucket", "bits"), tokens, words, fit_weights({r["cells"]: r["n"] for r in cells}))
-
-
-def _levels_asked(buckets: int):
-    """The distinct pairs of a chunk, each with the highest level that it can have."""
-
-    def send(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _table(_PAIRS_SENT)
-        chunk = _Chunk(table, buckets)
-        chunk.take_counts(answers)
-        pairs, at, _ = chunk.distinct_pairs(np.arange(len(chunk.tokens)))
-        found, (_, packed) = dealt(pairs, buckets, pairs & _KEY | chunk.most_levels(at).astype(np.uint64) << np.uint64(40))
-        return _table(_PAIRS_SENT, found, np.full(len(found), key[0].as_py()), packed)
-
-    return send
-
-
-def _levels_found(key: tuple[pa.Scalar, ...], asked: pa.Table, segment: pa.Table) -> pa.Table:
-    """A segment's levels for each chunk that asks."""
-    bucket = key[0].as_py()
-    packed = joined(asked.column("pairs"))
-    held = Filter.of([(0, b) for b in segment.column("bits").to_pylist()], 1)
-    levels = held.levels(np.zeros(len(packed), np.int64), packed & _KEY, (packed >> np.uint64(40)).astype(np.int64))
-    each = np.array([len(b) // 8 for b in asked.column("pairs").to_pylist()], np.int64)
-    n = asked.num_rows
-    return _table(_ANSWER, asked.column("chunk").combine_chunks() if n else [], [bucket] * n, [_LEVELS] * n, as_binaries(levels, each) if n else [])
+    if not fits:
+        answers = answers.union(made.where("chunk >= 0").select("chunk", "bucket", "kind", "held"))
+    return Model(chunks, buckets, answers, segments.select("bucket", F.col("held").alias("bits")), fits, tokens, words, fit_weights({r["cells"]: r["n"] for r in cells}))
 
 
-def score(model: Model, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def score(model: Model) -> DataFrame:
     """The rows that learn() was given with ADDED: tokens, known ones, and the log10 probability of the text by words alone and by the model."""
-    spark, buckets = model.chunks.sparkSession, model.buckets
-    size = model.segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    answers, held = model.counted, None
-    if size <= most_broadcast:
+    spark, buckets, held = model.chunks.sparkSession, model.buckets, None
+    if model.broadcast:
+        # At most filter_bytes(), which learn() has compared with its bound.
         held = spark.sparkContext.broadcast(Filter.of([(r["bucket"], bytes(r["bits"])) for r in model.segments.collect()], buckets))
-    else:
-        answers = answers.union(_levels(model))
-        release(spark)
     tokens, words, weights = model.tokens, model.words, model.weights
     schema = StructType([f for f in model.chunks.schema if f.name in ("text", "row")] + [StructField(c, LongType() if c.startswith("n_") else DoubleType()) for c in ADDED])
 
@@ -353,13 +346,16 @@ def score(model: Model, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
         else:
             chunk = _Chunk(table, buckets)
             chunk.take_counts(answers)
-            pairs, at, _ = chunk.distinct_pairs(np.arange(len(chunk.tokens)))
+            pairs, at, n = chunk.distinct_pairs(True)
             bucket = _bucket_of(pairs, buckets)
             if held is not None:
                 levels = held.value.levels(bucket, pairs & _KEY, chunk.most_levels(at))
             else:
-                levels = np.zeros(len(pairs), np.uint8)
-                levels[np.argsort(bucket, kind="stable")] = joined(_in_order(answers, _LEVELS), np.uint8)
+                # A pair that was sent in parts was answered as often.
+                parts = _parts(n)
+                levels = np.zeros(int(parts.sum()), np.uint8)
+                levels[np.argsort(np.repeat(bucket, parts), kind="stable")] = joined(_in_order(answers, _LEVELS), np.uint8)
+                levels = levels[np.cumsum(parts) - parts]
             seen = np.where(levels > 0, LEAST[np.maximum(levels, 1).astype(np.int64) - 1], 0)[np.searchsorted(pairs, chunk.pairs)]
             alone = (chunk.counts + 1) / (tokens + words + 1)
             weight = weights[level_of(chunk.context_counts)]
@@ -370,7 +366,7 @@ def score(model: Model, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
             own = own.append_column(name, pa.array(value))
         return own
 
-    scored = model.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate, schema)
+    scored = model.chunks.groupBy("chunk").cogroup(model.answers.groupBy("chunk")).applyInArrow(rate, schema)
     kept = [f.name for f in model.chunks.schema["row"].dataType if f.name != "none"]
     return scored.select("text", *(F.col("row")[c].alias(c) for c in kept), *ADDED)
 

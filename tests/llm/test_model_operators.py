@@ -23,7 +23,7 @@ def folded(text: str | None) -> list[bytes]:
 
 
 def scored(docs, **options) -> list[dict]:
-    return [r.asDict() for r in lm_scoring.score(lm_scoring.learn(docs, ~lm_scoring.held_out(F.col("doc_id"))), **options).collect()]
+    return [r.asDict() for r in lm_scoring.score(lm_scoring.learn(docs, ~lm_scoring.held_out(F.col("doc_id")), **options)).collect()]
 
 
 def is_held_out(doc_id) -> bool:
