@@ -11,19 +11,20 @@ FALLBACK_REPLY = "您咨询的具体数字需要进一步核实，我暂时无
 CONTEXT_WORDS = ("根据", "依据", "来源", "参考", "政策", "文档")
 
 
-def _joined_thousands(text: Column) -> Column:
+def joined_thousands(text: Column) -> Column:
+    """Without the commas between digits."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d),(?=\d)", "")
 
 
 def claims(text: Column) -> Column:
     """Numbers with a unit, without white space and thousands separators."""
-    found = F.regexp_extract_all(_joined_thousands(text), F.lit(CLAIM), F.lit(0))
+    found = F.regexp_extract_all(joined_thousands(text), F.lit(CLAIM), F.lit(0))
     return F.transform(found, lambda c: F.regexp_replace(c, r"\s+", ""))
 
 
 def grounded(sentence: Column, evidence: Column) -> Column:
     """Whether every claim of the sentence stands in the evidence; true without claims."""
-    blob = F.regexp_replace(_joined_thousands(evidence), r"\s+", "")
+    blob = F.regexp_replace(joined_thousands(evidence), r"\s+", "")
     return F.forall(claims(sentence), lambda c: F.contains(blob, c))
 
 

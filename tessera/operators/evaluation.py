@@ -67,17 +67,24 @@ def percentile_linear(value: str, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
+#: Ranges of scores, each in one task, that auc() adds up.
+AUC_RANGES = 200
+
+
 def auc(scores: DataFrame) -> DataFrame:
-    """P(positive > negative) + P(equal) / 2 of (score, positive).
+    """P(positive > negative) + P(equal) / 2 of (score, positive); rows without a score or verdict are left out.
 
-    Counts by distinct score; these are put in order by range partitions, each with a running sum of its own that starts from one count for each partition before it.
+    Counts by distinct score are dealt into ranges by bounds that are fixed numbers once they are found, so that every use of them agrees; where they lie
+    only evens out the ranges. Each range has a running sum of its own that starts from the negatives of the ranges before it.
     """
-    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    # A fixed number, which is not changed at run time, so that both uses see the same partitions.
-    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = by.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id())
+    by = scores.where("score is not null and positive is not null").groupBy(F.col("score").cast("double").alias("score"))
+    by = by.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    bounds = sorted(set(by.where("not isnan(score)").approxQuantile("score", [k / AUC_RANGES for k in range(1, AUC_RANGES)], 0.25 / AUC_RANGES)))
+    # NaN is the largest score, as Spark orders it.
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("score"))) if bounds else F.lit(0)
+    placed = by.withColumn("part", part)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each partition.
+    # One row for each range.
     starts = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     below = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     by = placed.join(F.broadcast(starts), "part").withColumn("below", F.col("start") + F.coalesce(F.sum("n").over(below), F.lit(0)))
