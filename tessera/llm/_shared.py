@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import partitions
-from tessera.llm._words import as_binaries, joined
+from tessera.llm._words import as_binaries, give_back, joined
 
 #: Bytes of text in a partition of chunks, and chunks in a partition: a chunk is what one call of Python sees of the texts.
 PARTITION_BYTES, CHUNKS_A_PARTITION = 24 << 20, 2
@@ -45,6 +45,7 @@ def answered(rows: DataFrame, buckets: int, level: int, pick: Callable[[np.ndarr
     """Each bucket's answers, from so many buckets. pick(hashes, firsts, starts of runs of equal hashes) marks, over hashes in order, what goes back to its sender."""
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()
         hashes, firsts = joined(table.column("hashes")), joined(table.column("firsts"), np.int64)
         counts = np.array([len(b) // 8 for b in table.column("hashes").to_pylist()], np.int64)
         order = np.argsort(hashes, kind="stable")

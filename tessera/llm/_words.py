@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -79,8 +80,17 @@ class Words:
         return mixed(value), self.text[:n] == self.text[length - 1 : length - 1 + n]
 
 
+def give_back() -> None:
+    """Return what freed objects have left behind to the system: Python workers are used again by other steps, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of slices of the table's texts; null texts are empty."""
+    give_back()
     column = pc.fill_null(table.column("text").cast(pa.large_binary()), b"").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
     if not len(column):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import durable, global_index
+from tessera.llm._words import give_back
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -94,6 +95,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         ids = WordIds(path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
@@ -107,6 +109,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                     rows.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        ids.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
