@@ -94,7 +94,7 @@ def cosine_neighbours(corpus: DataFrame, queries: DataFrame, k: int, drop_self:
         names, chunk, place = (t.column(c).to_numpy() for t, c in ((left, "query_id"), (right, "chunk_id"), (right, "ord")))
         if not len(names) or not len(chunk):
             return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("chunk_id", pa.int64()), ("ord", pa.int64()), ("score", pa.float64()))})
-        scores = np.round(_unit(_matrix(left, "asked")) @ _unit(_matrix(right)).T, 9)
+        scores = np.round(unit(matrix(left, "asked")) @ unit(matrix(right)).T, 9)
         if drop_self:
             scores[names[:, None] == chunk[None, :]] = -np.inf
         order = np.lexsort((np.broadcast_to(place, scores.shape), -scores), axis=1)[:, :k]
@@ -107,11 +107,13 @@ def cosine_neighbours(corpus: DataFrame, queries: DataFrame, k: int, drop_self:
     return top_k(out, k, [F.desc("score"), F.asc("ord")]).select("query_id", "chunk_id", "rank", "score")
 
 
-def _matrix(table: pa.Table, name: str = "vector") -> np.ndarray:
+def matrix(table: pa.Table, name: str = "vector") -> np.ndarray:
+    """The vectors of a column as rows."""
     return pa.concat_arrays(table.column(name).chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray) -> np.ndarray:
+    """The rows at length 1; zero rows stay."""
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
@@ -129,7 +131,7 @@ def cosine_pairs(corpus: DataFrame, least: float, tolerance: float = 1e-4, block
 
     def meet(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
         ids, side = (tile.column(c).to_numpy() for c in ("chunk_id", "own"))
-        units = _unit(_matrix(tile))
+        units = unit(matrix(tile))
         left, right = (np.flatnonzero(side == k.as_py()) for k in key)
         x, y = np.nonzero(np.round(units[left] @ units[right].T, 9) >= least - tolerance)
         a, b = ids[left[x]], ids[right[y]]
