@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import bounded_join, durable, release
 from tessera.llm._shared import SENT, answered, answers_of, in_chunks, in_several, sent
-from tessera.llm._words import Words, among, as_binaries, dealt, joined, keys_of, mixed, text_slices
+from tessera.llm._words import Words, among, as_binaries, dealt, give_back, joined, keys_of, mixed, text_slices
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -249,6 +249,7 @@ def _first_links(rows: DataFrame) -> DataFrame:
             found = _forest(*(batch.column(c).to_pylist() for c in ("token", "n_shingles", "bitmap", "members")))
             node = batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+        give_back()
 
     return first.mapInArrow(link, "a long, b long")
 
@@ -292,6 +293,7 @@ def _postings(rows: DataFrame, signed: bool) -> DataFrame:
             columns = [pa.array(x) for x in (tokens, node, component, size.astype(np.int32), places)]
             columns.append(as_binaries(signs.ravel(), np.full(len(tokens), signs.shape[1])))
             yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "n_shingles", "place", "signature"])
+        give_back()
 
     return rows.select("node", "component", "n_shingles", "bitmap", "tokens", "places").mapInArrow(unpack, POSTED)
 
@@ -345,6 +347,8 @@ def _tile_candidates(rows: DataFrame, nearest: int) -> DataFrame:
                 rest = rest.slice(cut)
         if rest is not None and rest.num_rows:
             yield _compared(rest, nearest)
+        rest = None
+        give_back()
 
     return tiles.mapInArrow(candidates, FOUND).groupBy("a", "b", "of_a", "of_b", "more").agg(F.min("differ").alias("differ"))
 
@@ -431,6 +435,7 @@ def _checked(pairs: DataFrame, rows: DataFrame, held: str, check) -> DataFrame:
         for batch in batches:
             each = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "held_a", "held_b")), strict=True)
             yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array([check(*x) for x in each], pa.bool_()))
+        give_back()
 
     found = pairs.join(sides.toDF("a", "n_a", "held_a"), "a").join(sides.toDF("b", "n_b", "held_b"), "b")
     return found.select("a", "b", "of_a", "of_b", "n_a", "n_b", "held_a", "held_b").mapInArrow(kept, "a long, b long, of_a long, of_b long")
