@@ -8,8 +8,12 @@ in a band), which gives the share of the template that is matched and the span i
 
 Any run of five words that a template and a document have in common shares a fingerprint.
 
+Licenses of one family differ in few words, so coverage alone doesn't name them. A notice (a template of at most ``NOTICE_WORDS`` words) matches only where
+the words of the span that aren't FILLERS are the template's, in order. A longer template with TELLING words (names, numbers up to 99)
+matches only where the span has the same ones; templates without any, such as those of MIT or BSD, go by coverage.
+
 Defined results: null and wordless texts match nothing; a template of fewer than three words is refused; of matches that overlap in the document, the one
-with more matched words stays (then the greater coverage, then the first name); repeated rows repeat; an empty table gives none. Other columns pass through.
+with more matched words stays (then the greater coverage, then the first name); repeated rows repeat; an empty table gives none. Other columns pass through; a column ``matches``, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from tessera.llm._words import Words, among, text_slices
 
 GRAM, WINDOW, BAND, LEAST_COVERAGE = 3, 3, 8, 0.75
+NOTICE_WORDS = 20
+#: Words that a notice may have or lack.
+FILLERS = "a an is licensed of released the this under v version work"
+#: Names that tell licenses of one family apart; so do the numbers from 1 to 99.
+TELLING = "affero agpl apache bsd gnu gpl isc lesser lgpl mit mozilla mpl noderivatives noncommercial sharealike"
 _WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 #: Notices and permission texts as their licenses word them.
@@ -86,12 +95,54 @@ TEMPLATES = {
         "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
         "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
+    "BSD-3-Clause full text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "GPL-2.0 notice": "licensed under the GNU General Public License, version 2",
+    "LGPL-2.1 notice": "licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0 notice": "licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0 notice": "licensed under the GNU Affero General Public License, version 3",
+    "GPL-2.0-or-later header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-or-later header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "GPL-3.0 notice": "licensed under the GNU General Public License, version 3",
     "GPL-3.0-or-later header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0",
+    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-SA-4.0 long notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0 long notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
 
@@ -139,6 +190,16 @@ class Index:
             for at in winnow(f).tolist():
                 self.places[int(grams[at])].append((t, at))
         self.keys = np.array(sorted(self.places), np.uint64)
+        self.fillers = _words(FILLERS).hash
+        self.telling = _words(" ".join([TELLING, *map(str, range(1, 100))])).hash
+
+    def named_by(self, t: int, span: np.ndarray) -> bool:
+        """Whether the words of a span tell this template from its like."""
+        own = self.words[t]
+        if len(own) <= NOTICE_WORDS:
+            return np.array_equal(*[w[~np.isin(w, self.fillers)] for w in (own, span)])
+        told, found = [np.unique(w[np.isin(w, self.telling)]) for w in (own, span)]
+        return not len(told) or np.array_equal(told, found)
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -174,35 +235,46 @@ def matches_of(words: np.ndarray, hits: list[tuple[int, int, int]], index: Index
     """(template, coverage, matched, start, end) of one text's words, from hits (template, place in the text, place in it).
 
     A template is aligned along each diagonal that has hits outside what was aligned before, with words taken once only, so that
-    neighbouring copies are told apart. Pieces that follow each other in the text and in the template, at most a template's length apart, are chained into one match.
+    neighbouring copies are told apart. Pieces that follow each other in the text and in the template, at most a template's length apart, are chained into one match;
+    a piece that runs back into template words of the one before is aligned again together with that one.
     """
     found, by_template = [], defaultdict(list)
+
+    def joined(template: np.ndarray, last: tuple[int, ...], piece: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Both as one piece, by an alignment in a band as wide as both diagonals, if that loses few of their words."""
+        base, own_base, ends = last[0], last[3], [p[1] - p[4] for p in (last, piece)]
+        middle, apart = sum(ends) // 2, abs(ends[0] - ends[1])
+        matched, start, end, own, own_end = aligned(template[own_base:], words[base : piece[1]], middle + own_base - base, apart // 2 + 1 + BAND)
+        return (base + start, base + end, matched, own_base + own, own_base + own_end) if 10 * matched >= 9 * (last[2] + piece[2]) else None
+
     for t, at, own in hits:
         by_template[t].append((at - own, at))
     for t, spots in by_template.items():
-        template, free, pieces, tried = index.words[t], words.copy(), [], set()
+        template, free, pieces = index.words[t], words.copy(), []
         used, weight = np.zeros(len(words), bool), Counter(diagonal for diagonal, _ in spots)
         for diagonal, at in sorted(spots, key=lambda x: (-weight[x[0]], x)):
-            # A diagonal without a piece is not tried again, nor its near ones.
-            if used[at] or diagonal // (BAND // 2) in tried:
-                continue
             lo = max(0, diagonal - BAND)
-            matched, start, end, own, own_end = aligned(template, free[lo : max(lo, diagonal + len(template) + BAND)], diagonal - lo)
-            if matched < min(GRAM, len(template)):
-                tried.add(diagonal // (BAND // 2))
-                continue
-            used[lo + start : lo + end] = True
-            # No word of a template hashes to what stands in for used words.
-            free[lo + start : lo + end] = index.nothing
-            pieces.append((lo + start, lo + end, matched, own, own_end))
-        chain: list[tuple[int, int, int, int, int]] = []
+            # The three words of a hit match, so each turn takes some words, until these are among them.
+            while not used[at : at + GRAM].any():
+                matched, start, end, own, own_end = aligned(template, free[lo : diagonal + len(template) + BAND], diagonal - lo)
+                if not matched:
+                    break
+                used[lo + start : lo + end] = True
+                # No word of a template hashes to what stands in for used words.
+                free[lo + start : lo + end] = index.nothing
+                pieces.append((lo + start, lo + end, matched, own, own_end))
+        chain: list[tuple[int, ...]] = []
         for piece in [*sorted(pieces), None]:
-            if piece and chain and piece[3] >= chain[-1][4] and 0 <= piece[0] - chain[-1][1] <= len(template):
-                chain.append(piece)
-                continue
-            if chain and sum(p[2] for p in chain) / len(template) >= least:
+            if piece and chain and 0 <= piece[0] - chain[-1][1] <= len(template):
+                if piece[3] >= chain[-1][4]:
+                    chain.append(piece)
+                    continue
+                if both := joined(template, chain[-1], piece):
+                    chain[-1] = both
+                    continue
+            if chain and sum(p[2] for p in chain) / len(template) >= least and index.named_by(t, words[chain[0][0] : chain[-1][1]]):
                 matched = sum(p[2] for p in chain)
-                found.append((t, matched / len(template), matched, chain[0][0], max(p[1] for p in chain)))
+                found.append((t, matched / len(template), matched, chain[0][0], chain[-1][1]))
             chain = [piece] if piece else []
     # Of matches that overlap, the one with more matched words stays; those kept are in order of place.
     found.sort(key=lambda m: (-m[2], -m[1], index.names[m[0]], m[3]))

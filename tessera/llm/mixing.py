@@ -100,7 +100,7 @@ def mixture_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with the plan's columns and ``copies``, how often the mix takes each row."""
+    """docs with the plan's columns and ``copies``, how often the mix takes each row; that replaces a column ``copies``, in any case."""
     cuts = durable(plan.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "full", "cut")]))
     joined = bounded_join(docs, cuts, docs["source"].eqNullSafe(F.col("_source")))
     copies = F.col("_mix_full") + F.when(row_hash(docs["doc_id"]) <= F.col("_mix_cut"), 1).otherwise(0)

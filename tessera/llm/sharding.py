@@ -115,13 +115,13 @@ def shard_ranges(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write every row of docs, all columns, as one directory per shard (``shard=``, with underscores added if docs has that column), sorted along the curve.
+    """Write every row of docs, all columns, as one directory per shard (``shard=``, with underscores added if docs has that column in any case), sorted along the curve.
 
     Rows are matched by id, source, language, size and checksum, nulls too; of rows that agree in all these the n-th here takes the n-th place
     there (only such rows meet in a window). A run is cut into files by Spark's own record limits.
     """
-    raw, folder = utf8(F.col("text")), "shard"
-    while folder in docs.columns:
+    raw, folder, taken = utf8(F.col("text")), "shard", {c.lower() for c in docs.columns}
+    while folder in taken:
         folder += "_"
     key = ["_id", "_source", "_lang", "_size", "_crc"]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))

@@ -101,9 +101,9 @@ ADDED = ("n_words", "n_removed", "kept")
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed and kept (the words left, joined by one space).
 
-    Added columns replace any of these names that docs has; others pass through, whatever their names.
+    Added columns replace any of these names that docs has, in any case; others pass through, whatever their names.
     """
-    names = [c for c in docs.columns if c not in ADDED]
+    names = [c for c in docs.columns if c.lower() not in ADDED]
     found = _cut(_packed(docs, names), window)
     return found.select(*_unpacked(names), *ADDED)
 

@@ -132,7 +132,7 @@ class TokenTree:
 
 
 def count_with_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with token counts before and after its column ``edits`` (an array of start, end, replacement), applied in order."""
+    """docs with token counts before and after its column ``edits`` (an array of start, end, replacement), applied in order; they replace columns of their names, in any case."""
     names = [c.split()[0] for c in COUNTED.split(", ")]
     rows = docs.drop(*names)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

@@ -575,6 +575,47 @@ def test_neighbouring_and_split_licenses(spark):
         license_scan.scan(frame, {"short": "two words"})
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    whole = license_scan.TEMPLATES
+    named = lambda head: next(t for n, t in whole.items() if n == head)
+    bsd2, bsd3 = named("BSD-2-Clause full text").split(), named("BSD-3-Clause full text")
+    ten = [f"inserted{i}" for i in range(10)]
+    expected = {
+        "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0 notice"], "Licensed under CC BY-NC 4.0": ["CC-BY-NC-4.0 notice"], "Licensed under CC BY-ND 4.0": [], "Licensed under CC BY-NC 3.0": [],
+        "Licensed under the GNU Lesser General Public License, version 2.1": ["LGPL-2.1 notice"], "licensed under GNU General Public License version 3": ["GPL-3.0 notice"],
+        "Licensed under the GNU Library General Public License, version 2": [], "Licensed under the Apache License, Version 1.1": [], "Licensed under Apache License, Version 2.0": ["Apache-2.0 notice"],
+        bsd3: ["BSD-3-Clause full text"], " ".join(bsd2): ["BSD-2-Clause full text"], " ".join([*bsd2[:68], *ten, *bsd2[68:]]): ["BSD-2-Clause full text"], " ".join([*bsd2[:40], *ten, *bsd2[40:]]): ["BSD-2-Clause full text"],
+        named("LGPL-2.1-or-later header"): ["LGPL-2.1-or-later header"], named("GPL-3.0-or-later header").replace("version 3", "version 4"): [], named("AGPL-3.0-or-later header"): ["AGPL-3.0-or-later header"],
+        named("MPL-2.0 header"): ["MPL-2.0 header"], named("MPL-2.0 header").replace("2.0", "1.1"): [], f"{bsd3} {whole['MIT full text']} {bsd3}": ["BSD-3-Clause full text", "MIT full text", "BSD-3-Clause full text"],
+    }
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(expected)], "doc_id long, text string")
+    found = {r["doc_id"]: r["matches"] for r in license_scan.scan(frame).collect()}
+    assert {t: [m["license"] for m in found[i]] for i, t in enumerate(expected)} == expected
+    assert all(m["coverage"] > 0.97 for i, t in enumerate(expected) if "inserted3" in t for m in found[i])
+
+
+def test_chained_pieces_leave_a_second_copy_whole(spark):
+    bsd = license_scan.TEMPLATES["BSD-2-Clause full text"].split()
+    frame = spark.createDataFrame([(1, " ".join([*bsd[:110], *bsd]))], "doc_id long, text string")
+    (matches,) = [r["matches"] for r in license_scan.scan(frame).collect()]
+    assert [(m["license"], m["coverage"]) for m in matches] == [("BSD-2-Clause", 1.0), ("BSD-2-Clause full text", 1.0)]
+
+
+def test_names_of_columns_in_other_cases(spark, docs, tmp_path):
+    few = docs.where("doc_id < 20")
+    for name in ("Score", "SCORE_"):
+        frame = few.withColumn(name, F.lit("mine"))
+        model = toxicity.train(few, few.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+        assert toxicity.score(frame, model, "score__").columns == [*frame.columns, "score__"]
+    kept = substring_dedup.remove_repeats(few.withColumn("Kept", F.lit(1))).columns
+    assert [c.lower() for c in kept].count("kept") == 1
+    clash = few.withColumn("Shard", F.lit("mine"))
+    sharding.write_shards(clash, sharding.shard_rows(clash, 2), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {*clash.columns, "shard_"} and back.where("Shard = 'mine'").count() == few.count()
+    assert license_scan.scan(few.withColumn("Matches", F.lit(1))).columns == [*few.columns, "matches"]
+
+
 def test_every_template_is_found_whole():
     index = license_scan.Index(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
