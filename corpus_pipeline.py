@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    name = "score"
-    while name in docs.columns:
+    name, taken = "score", {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
     return toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
