@@ -109,6 +109,10 @@ def parent_window(unit: str, piece: str) -> str:
     return unit[start : start + UNIT_MOST]
 
 
+class NoRoom(ValueError):
+    """A label leaves too little of a chunk for text."""
+
+
 def chunks_of(doc: str, text: str) -> list[tuple]:
     found = sections(text)
     of_unit = units([body for _, body in found])
@@ -118,23 +122,43 @@ def chunks_of(doc: str, text: str) -> list[tuple]:
         prefix = label(doc, path)
         most = MOST - len(prefix)
         if most < 100:
-            raise ValueError(f"no room for text beside the label of {doc}")
+            raise NoRoom(f"no room for text beside the label of {doc}")
         for k, piece in enumerate(pack_paragraphs(body, min(TARGET, most), most)):
             out.append((f"{doc}#{s:02d}-{k:02d}", f"{doc}#u{unit:02d}", s, k, path, prefix + piece, parent_window(joined[unit], piece)))
     return out
 
 
+def _chunks_or_none(doc: str, text: str) -> list[tuple] | None:
+    try:
+        return chunks_of(doc, text)
+    except NoRoom:
+        return None
+
+
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """The chunks of documents (doc, text), in any order; a document is chunked on its own."""
+    """The chunks of documents (doc, text), in any order; a document is chunked on its own. Documents without room beside a label have none: see rejected_documents()."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [c for doc, text in zip(batch["doc"], batch["text"], strict=True) for c in chunks_of(doc, text or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+            rows = [c for doc, text in zip(batch["doc"], batch["text"], strict=True) for c in _chunks_or_none(doc, text or "") or ()]
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
     return docs.select("doc", "text").mapInPandas(cut, CHUNKS)
 
 
+def rejected_documents(docs: DataFrame) -> DataFrame:
+    """(doc, reason) of the documents that chunk_documents() leaves out."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gone = [doc for doc, text in zip(batch["doc"], batch["text"], strict=True) if _chunks_or_none(doc, text or "") is None]
+            if gone:
+                yield pd.DataFrame({"doc": gone, "reason": ["label too long"] * len(gone)})
+
+    return docs.select("doc", "text").mapInPandas(find, "doc string, reason string")
+
+
 def attach_parents(chunks: DataFrame, most: int = UNIT_MOST) -> DataFrame:
     """Chunks (doc, section, sub, text, parent_id) of a section of several without a parent get their joined text, if it fits."""
     whole = Window.partitionBy("doc", "section")

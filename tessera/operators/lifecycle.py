@@ -91,11 +91,21 @@ def evidence_diagnostics(items: DataFrame) -> DataFrame:
     return every.join(folded, "query_id", "left").join(seen, "query_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
 
+#: Labels before a rewritten query, talk about the task, and the most characters.
+LABEL = r"(?i)^\s*(?:改写后?|查询|检索查询|rewrite)\s*[:：]\s*"
+TALK = ("原样输出", "已自足", "无需改写", "不需要改写", "保持不变", "根据指令", "无法改写", "作为ai", "作为一个ai")
+MOST_REWRITTEN = 200
+
+
 def rewritten_query(query: Column, answer: Column) -> Column:
-    """The first line of an answer that has text, without quotes, if it is a plausible rewrite: not the query, no longer than 64 characters or four times the query; else the query."""
+    """The first line of an answer that has text, without a label in front and quotes, if it is a plausible rewrite; else the query.
+
+    Not plausible: the query itself, talk about the task (TALK), more than MOST_REWRITTEN characters, or more than both 64 and four times the query.
+    """
     line = F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?m)^\s*(\S.*?)\s*$", 1)
-    line = F.btrim(F.btrim(line, F.lit("`\"'“”‘’")))
-    good = (line != "") & (line != query) & (F.length(line) <= F.greatest(F.lit(64), 4 * F.length(query)))
+    line = F.btrim(F.btrim(F.btrim(F.regexp_replace(line, LABEL, "")), F.lit("`\"'“”‘’")))
+    talk = F.lower(line).rlike("|".join(TALK))
+    good = (line != "") & (line != query) & ~talk & (F.length(line) <= F.least(F.lit(MOST_REWRITTEN), F.greatest(F.lit(64), 4 * F.length(query))))
     return F.when(good, line).otherwise(query)
 
 

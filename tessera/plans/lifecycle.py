@@ -83,6 +83,7 @@ def evidence_diagnostics(spark, sf):
 def query_rewrite_guard(spark, sf):
     c = table(spark, sf, "conversations")
     answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\n \n  \""), F.col("text"), F.lit(" again\" \nmore"))).when(F.col("turn") % 3 == 1, F.col("text"))
+    answer = F.when(F.col("turn") == 2, F.concat(F.lit("Rewrite ： \""), F.left("text", F.lit(9)), F.lit("\""))).when(F.col("turn") == 5, F.concat(F.lit("作为AI，"), "role")).otherwise(answer)
     return c.select("conv_id", "turn", lc.rewritten_query(F.col("role"), answer).alias("query"))
 
 
@@ -184,8 +185,8 @@ ORACLE_SQL: dict[str, str] = {
         clean AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) AS nth FROM items WHERE NOT tainted), s AS (SELECT query_id, string_agg(source, ',' ORDER BY r) AS sources FROM (SELECT query_id, source, min(r) AS r FROM clean GROUP BY ALL) GROUP BY 1),
         f AS (SELECT query_id, count(*) AS n_items, max(score) FILTER (WHERE nth = 1) AS top1, round(max(score) FILTER (WHERE nth = 1) - max(score) FILTER (WHERE nth = 2), 6) AS gap FROM clean GROUP BY 1)
         SELECT i.query_id, coalesce(n_items, 0) AS n_items, i.tainted, top1, gap, sources FROM (SELECT query_id, count(*) FILTER (WHERE tainted) AS tainted FROM items GROUP BY 1) i LEFT JOIN f USING (query_id) LEFT JOIN s USING (query_id)""",
-    "query_rewrite_guard": """WITH a AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN trim(split_part(text || ' again', chr(10), 1)) WHEN turn % 3 = 1 THEN trim(split_part(text, chr(10), 1)) ELSE '' END AS line FROM conversations)
-        SELECT conv_id, turn, CASE WHEN line <> '' AND line <> role AND length(line) <= greatest(64, 4 * length(role)) THEN line ELSE role END AS query FROM a""",
+    "query_rewrite_guard": """WITH a AS (SELECT conv_id, turn, role, CASE WHEN turn = 2 THEN trim(split_part(left(text, 9), chr(10), 1)) WHEN turn = 5 THEN '' WHEN turn % 3 = 0 THEN trim(split_part(text || ' again', chr(10), 1)) WHEN turn % 3 = 1 THEN trim(split_part(text, chr(10), 1)) ELSE '' END AS line FROM conversations)
+        SELECT conv_id, turn, CASE WHEN line <> '' AND line <> role AND length(line) <= least(200, greatest(64, 4 * length(role))) THEN line ELSE role END AS query FROM a""",
     "rerank_response_parse": "SELECT event_id AS query_id, event_id::INT AS place, CASE event_id % 4 WHEN 0 THEN event_id % 7 + 0.5::DOUBLE WHEN 1 THEN (event_id % 7)::DOUBLE ELSE 1::DOUBLE END AS score FROM events WHERE event_id % 4 < 3",
     "final_multi_search": f"""WITH {_PLACED}, h AS (SELECT query_id % 3 AS question, query_id AS query, chunk_id, chunk_id % 40 AS g, r, score, query_id = 200 AS degraded FROM placed WHERE r <= 8), gated AS (SELECT * FROM h WHERE score >= 0.2),
         fused AS (SELECT question, g, chunk_id, round(sum(1 / (60.0::DOUBLE + r)), 12) AS fused FROM gated GROUP BY ALL), first AS (SELECT *, row_number() OVER (PARTITION BY question, g ORDER BY fused DESC, chunk_id) AS nth FROM fused),

@@ -52,6 +52,13 @@ def test_parents_join_sections(spark):
     assert {(r["doc"], r["section"], r["sub"]): r["parent_text"] for r in found.collect()} == {("d", 1, 0): "a\n\nb", ("d", 1, 1): "a\n\nb", ("d", 2, 0): "", ("e", 1, 0): "", ("e", 1, 1): ""}
 
 
+def test_a_document_without_room_is_rejected_alone(spark):
+    docs = spark.createDataFrame([("d" * 1150, "# A\ntext"), ("fine", "# A\ntext"), ("none", None)], "doc string, text string")
+    assert [(r["doc"], r["reason"]) for r in chunking.rejected_documents(docs).collect()] == [("d" * 1150, "label too long")]
+    found = [r["chunk_id"] for r in chunking.chunk_documents(docs).collect()]
+    assert "fine#00-00" in found and not any(i.startswith("dd") for i in found)
+
+
 def _zip(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

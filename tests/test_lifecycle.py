@@ -16,6 +16,8 @@ def test_rewrites_must_be_plausible(spark):
     rows = spark.createDataFrame([("q", None), ("q", ""), ("q", "\n  “better question” \nmore"), ("q", "q"), ("q", "x" * 65), ("y" * 20, "x" * 80)], "q string, a string")
     found = [r[0] for r in rows.select(lc.rewritten_query(F.col("q"), F.col("a"))).collect()]
     assert found == ["q", "q", "better question", "q", "q", "x" * 80]
+    rows = spark.createDataFrame([("q", "改写：‘退货 政策’"), ("q", "Rewrite : fine"), ("q", "根据指令，原样输出。q"), ("y" * 90, "x" * 200), ("y" * 90, "x" * 201)], "q string, a string")
+    assert [r[0] for r in rows.select(lc.rewritten_query(F.col("q"), F.col("a"))).collect()] == ["退货 政策", "fine", "q", "x" * 200, "y" * 90]
 
 
 def test_rerank_answers_of_all_shapes(spark):

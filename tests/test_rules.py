@@ -110,6 +110,10 @@ def test_versions_and_turns(spark, tmp_path):
     records.write_version(spark.range(3), table)
     records.write_version(spark.range(5), table)
     assert records.read_current(spark, table).count() == 5 and records.versions(spark, table).count() == 2
+    last = [records.write_version(spark.range(n), table) for n in (7, 9)]
+    assert sorted(r["number"] for r in records.versions(spark, table).collect()) == [1, 2, 3, 4]
+    assert len(records.drop_old_versions(spark, table)) == 2 and records.drop_old_versions(spark, table) == []
+    assert records.read_current(spark, table).count() == 9 and spark.read.parquet(f"{table}/{last[0]}").count() == 7
     day = tmp_path / "turns" / "20240101"
     day.mkdir(parents=True)
     (day / "a.json").write_text('{"turn_id": "1", "question": "q",\n "sources": [{"doc": "d", "score": 0.5}]}')
