@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: ASCII words, or runs of CJK ideographs; everything else, accented letters included, separates.
 TOKEN = r"[0-9A-Za-z]+|[\x{4e00}-\x{9fff}]+"
+IDEOGRAPH = r"[\x{4e00}-\x{9fff}]"
 
 
 def bigrams(text: Column) -> Column:
@@ -17,9 +18,11 @@ def bigrams(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens in order: ASCII words in lower case, CJK runs as bigrams (a single ideograph as itself)."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     one = lambda r: F.when(r.rlike(r"^[0-9A-Za-z]"), F.array(F.lower(r))).when(F.length(r) == 1, F.array(r)).otherwise(bigrams(r))
-    return F.flatten(F.transform(runs, one))
+    # Texts without ideographs, most of them, need no look at each run.
+    return F.when(text.rlike(IDEOGRAPH), F.flatten(F.transform(runs, one))).otherwise(F.transform(runs, F.lower))
 
 
 def coverage_grams(text: Column) -> Column:

@@ -43,39 +43,54 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     statistics and the document frequencies of those terms join them.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    split = corpus.select("chunk_id", "ord", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    totals = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = wanted.select("term").distinct()
-    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
-    terms = split.select("chunk_id", "ord", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
-    mine = terms.groupBy("chunk_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
-    frequency = mine.groupBy("term").agg(F.count("*").alias("df"))
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    # An empty term after the tokens stands for the chunk itself, so that one pass over the texts gives postings, document frequencies and corpus statistics.
+    asked = wanted.select("term").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    split = corpus.select("chunk_id", "ord", tokens(F.col("text")).alias("_tokens")).withColumn("dl", F.size("_tokens"))
+    terms = split.select("chunk_id", "ord", "dl", F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("term")).join(small(asked), "term", "left_semi")
+    counts = terms.groupBy("chunk_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
+    # No branch filters or prunes the counts in its own way: else Spark would tokenise the corpus once for each.
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("_n"), F.sum(F.col("dl") * F.col("tf")).alias("_length"))
+    whole = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    totals = frequency.agg(whole("_n").alias("n"), (whole("_length") / whole("_n")).alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = mine.join(frequency, "term").crossJoin(F.broadcast(totals)).select("term", "chunk_id", "ord", weight.alias("weight"))
+    # Few terms: frequencies and queries are broadcast, and postings of a term that most chunks have stay where they are.
+    scored = counts.join(small(frequency.select("term", "df")), "term").crossJoin(F.broadcast(totals)).select("term", "chunk_id", "ord", weight.alias("weight"))
     # Sums in any order differ in the last digits; the rank must not depend on them.
     score = F.round(F.sum("weight"), 9).alias("score")
-    found = scored.join(wanted, "term").groupBy("query_id", "chunk_id", "ord").agg(score).where("score > 0")
+    found = scored.join(small(wanted), "term").groupBy("query_id", "chunk_id", "ord").agg(score).where("score > 0")
     return top_k(found, k, [F.desc("score"), F.asc("ord")]).select("query_id", "chunk_id", "rank", "score", "ord")
 
 
-def containing(texts: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
-    """Rows of texts (text, ...) beside each passage (passage, ...) that they contain.
+def containing(texts: DataFrame, passages: DataFrame, key: str, words: int = 4) -> DataFrame:
+    """Rows of texts (key, text, ...) beside each passage (passage, ...) that they contain; null texts and passages match nothing.
 
-    A text that contains a passage has its words from the second on, up to the last but one, as whole words: the hash of the first ``words`` of these
-    joins the two, then the passage itself is looked for. Passages that are too short for that are compared with every text.
+    A text that contains a passage has its words from the second on, up to the last but one, as whole words: the hash of the first ``words`` of these, or of
+    all if they are fewer, joins the two. Only keys and hashes are exploded and shuffled; the texts of the hits are fetched by their key, and the passage itself is
+    looked for. A passage of one or two words, of which no word need be whole in a text, is compared with every text.
     """
     split = lambda c: F.split(F.col(c), r"[\x20\x09-\x0D]+")
-    hashed = lambda w, at: F.xxhash64(F.concat_ws(" ", F.slice(w, at, words)))
-    keyed = passages.withColumn("_words", split("passage"))
-    whole = F.size("_words") >= words + 2
-    keys = keyed.where(whole).withColumn("_key", hashed(F.col("_words"), F.lit(2))).drop("_words")
-    found = texts.withColumn("_words", split("text"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - (words - 1))), lambda i: hashed(F.col("_words"), i))
-    # Only hashes and the rows' own columns go through the join; which side is small is Spark's to see.
-    found = found.withColumn("_key", F.explode(F.array_distinct(grams))).drop("_words").join(keys, "_key").drop("_key")
-    short = keyed.where(~whole).drop("_words")
-    return found.where(F.contains("text", "passage")).unionByName(texts.join(short, F.contains(texts["text"], F.col("passage"))))
+    hashed = lambda w, at, n: F.xxhash64(n, F.concat_ws(" ", F.slice(w, at, n)))
+    keyed = passages.where(F.col("passage").isNotNull()).withColumn("_words", split("passage"))
+    keyed = keyed.withColumn("_size", F.least(F.lit(words), F.greatest(F.size("_words") - 2, F.lit(0))))
+    # At most words + 1 numbers: the lengths of grams that some passage needs.
+    sizes = sorted(r[0] for r in keyed.select("_size").distinct().collect())
+    asked = keyed.where("_size > 0").withColumn("_gram", hashed(F.col("_words"), F.lit(2), F.col("_size"))).drop("_words", "_size")
+    split_texts = texts.select(F.col(key).alias("_of"), split("text").alias("_words"))
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - (n - 1)))
+        return F.transform(starts, lambda i: hashed(F.col("_words"), i, F.lit(n)))
+
+    grams = [grams_of(n) for n in sizes if n]
+    out = texts.join(keyed.where("_size = 0").drop("_words", "_size"), F.contains(texts["text"], F.col("passage"))) if 0 in sizes or not sizes else None
+    if grams:
+        met = split_texts.select("_of", F.explode(F.concat(*grams)).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi").distinct()
+        found = texts.join(met, F.col(key).eqNullSafe(F.col("_of"))).drop("_of").join(asked, "_gram").drop("_gram").where(F.contains("text", "passage"))
+        out = found if out is None else found.unionByName(out)
+    return out
 
 
 def cosine_neighbours(corpus: DataFrame, queries: DataFrame, k: int, drop_self: bool = False) -> DataFrame:

@@ -106,7 +106,7 @@ def lexical_coverage_query(spark: SparkSession, sf: str) -> DataFrame:
 def _cases(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages as queries; relevant are the documents that hold the passage."""
     passages = benchmark_queries(spark, sf)
-    inside = rt.containing(table(spark, sf, "documents").select("doc_id", "text"), passages.withColumnRenamed("text", "passage"))
+    inside = rt.containing(table(spark, sf, "documents").select("doc_id", "text"), passages.withColumnRenamed("text", "passage"), "doc_id")
     expected = inside.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("expected"))
     return passages.select("query_id").join(expected, "query_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<bigint>")))
 

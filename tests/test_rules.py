@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,8 +250,31 @@ def test_negations_count_only_when_whole_and_near(spark):
 def test_texts_that_contain_passages(spark):
     from tessera.operators.retrieval import containing
 
-    passages = ["one two three four five six seven", "ne two three four five si", "short one", "", "a\tb c  d e f g"]
-    texts = ["x one two three four five six seven y", "one two three four five six", "a short one", "a\tb c  d e f g", "a b c d e f g", "", None]
-    found = containing(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(list(enumerate(passages)), "n int, passage string"))
-    expected = [(i, n) for i, t in enumerate(texts) for n, p in enumerate(passages) if t is not None and p in t]
+    passages = ["one two three four five six seven", "ne two three four five si", "short one", "", "a\tb c  d e f g", "e two thr", "o three f", None]
+    texts = ["x one two three four five six seven y", "one two three four five six", "a short one", "a\tb c  d e f g", "a b c d e f g", "", None, "one two three four five six"]
+    found = containing(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(list(enumerate(passages)), "n int, passage string"), "id")
+    expected = [(i, n) for i, t in enumerate(texts) for n, p in enumerate(passages) if t is not None and p is not None and p in t]
     assert sorted((r["id"], r["n"]) for r in found.select("id", "n").collect()) == expected
+    few = containing(spark.createDataFrame([(None, "one two three four"), (7, "one two")], "id int, text string"), spark.createDataFrame([("ne two thre",)], "passage string"), "id")
+    assert [r["id"] for r in few.collect()] == [None]
+
+
+def test_bm25_equals_plain_scores(spark):
+    import math
+
+    from tessera.operators.retrieval import bm25_search
+
+    texts = ["a b a", "b c", "", None, "中文 a 中文字 b", "c c c", "A, B; é"]
+    split = [t and [w for r in re.findall("[0-9A-Za-z]+|[一-\u9fff]+", t) for w in ([r.lower()] if r.isascii() else [r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)])] or [] for t in texts]
+    asked = {0: "a 中文", 1: "C c x", 2: "", 3: "b"}
+    frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "chunk_id int, ord int, text string")
+    found = bm25_search(frame, spark.createDataFrame(list(asked.items()), "query_id int, text string"), 9).collect()
+    n, mean = len(texts), sum(map(len, split)) / len(texts)
+    expected = {}
+    for q, terms in {0: ["a", "中文"], 1: ["c", "x"], 3: ["b"]}.items():
+        for i, words in enumerate(split):
+            for t in set(terms) & set(words):
+                df, tf = sum(t in w for w in split), words.count(t)
+                add = math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+                expected[q, i] = expected.get((q, i), 0) + add
+    assert {(r["query_id"], r["chunk_id"]): round(r["score"], 6) for r in found} == {k: round(v, 6) for k, v in expected.items()}
