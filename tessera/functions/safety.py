@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import normalize_answer, normalize_question
+
 # Patterns and placeholders in the order in which they apply. Group 1, where there is one, is context that stays.
 PII = (
     (r"(?<!\d)1[3-9]\d{9}(?!\d)", "【手机号】"),
@@ -67,9 +69,19 @@ def has_pii(text: Column) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(f"(?U){p}" if r"\w" in p else p) for p, _ in PII))
 
 
+#: Phone numbers in a memory (also within longer ones) and what stands for them, and words of a lasting instruction, which free memories must not hold.
+MEMORY_PHONE, MEMORY_PLACEHOLDER = r"1[3-9]\d{9}", "[已脱敏号码]"
+MEMORY_INSTRUCTIONS = ("以后都", "今后都", "今后一律", "以后一律", "永远都要", "忽略", "无视", "不要遵守", "不得违反", "必须服从")
+
+
 def mask_phone(text: Column) -> Column:
     """Only phone numbers, for memory texts."""
-    return F.regexp_replace(text, *PII[0])
+    return F.regexp_replace(text, MEMORY_PHONE, MEMORY_PLACEHOLDER)
+
+
+def memory_injection(fact_key: Column, content: Column) -> Column:
+    """Whether a memory must not be kept: an injection, or a lasting instruction under a free key (custom.…)."""
+    return has_injection(content) | (fact_key.startswith("custom.") & _any(F.lower(content), MEMORY_INSTRUCTIONS))
 
 
 def has_injection(text: Column) -> Column:
@@ -120,3 +132,19 @@ def skip_reason(confidence: Column, requires_human: Column, n_sources: Column, q
         F.when(confidence < 0.8, "low_confidence").when(requires_human, "requires_human").when(n_sources == 0, "no_sources")
         .when((F.length(question) < 4) | (F.length(answer) < 20), "short").when(has_pii(question) | has_pii(answer) | has_injection(question) | has_injection(answer), "sensitive")
     )
+
+
+def candidate_rejection(question: Column, answer: Column, cited: Column, agent_ids: Column) -> Column:
+    """Why a candidate of a human conversation is rejected, the first reason that holds, or null.
+
+    invalid_format: question or answer can't be normalised; no_evidence: it cites no message; invalid_evidence: it cites one that is not the agent's
+    (``agent_ids``; nulls in either list are no messages); sensitive: personal data or an injection in the normalised texts.
+    """
+    q, a = normalize_question(question), normalize_answer(answer)
+    sample = F.concat_ws("\n", q, a)
+    none = F.array().cast("array<string>")
+    ids, agents = F.coalesce(cited, none), F.array_compact(F.coalesce(agent_ids, none))
+    return (
+        F.when((q == "") | (a == ""), "invalid_format").when(F.size(ids) == 0, "no_evidence")
+        .when(F.exists(ids, lambda i: i.isNull()) | (F.size(F.array_except(ids, agents)) > 0), "invalid_evidence").when(has_pii(sample) | has_injection(sample), "sensitive")
+    )

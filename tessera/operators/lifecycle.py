@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.safety import mask_phone, memory_injection
 from tessera.operators.retrieval import top_k
 
 #: Where a document's state may go.
@@ -165,10 +166,29 @@ def new_summaries(summaries: DataFrame) -> DataFrame:
 
 
 def evidence_gate(mutations: DataFrame, messages: DataFrame) -> DataFrame:
-    """Mutations (session, fact_id, evidence) whose evidence stands word for word in the session's user messages (session, role, text, seq)."""
-    said = messages.where("role = 'user'").join(mutations.select("session", "fact_id", "evidence"), "session")
-    held = said.where((F.col("evidence") != "") & F.contains("text", "evidence")).select("session", "fact_id").distinct()
-    return mutations.join(held, ["session", "fact_id"], "left_semi")
+    """Mutations (session, fact_id, fact_key, content, evidence, ...) that may be kept, with keys in lower case, trimmed, and phone numbers masked in content and evidence.
+
+    The trimmed evidence must stand word for word in the session's user messages (session, role, text, seq), which count as joined by line ends, so it may run from one into
+    the next; without any user text every evidence passes. Contents that hold an injection, or a lasting instruction under a free key, go. Nulls count as empty.
+    Lines meet lines: a session is never joined into one text.
+    """
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    clean = mutations.withColumns({"fact_key": F.lower(trimmed(F.col("fact_key"))), "content": trimmed(F.col("content")), "evidence": trimmed(F.col("evidence"))})
+    clean = clean.where(~memory_injection(F.col("fact_key"), F.col("content")))
+    said = messages.where("role = 'user'").select("session", "seq", F.coalesce("text", F.lit("")).alias("_text"))
+    parts = F.split("evidence", "\n")
+    wanted = clean.where("evidence <> ''").select("session", "evidence").distinct()
+    whole = wanted.where(F.size(parts) == 1).join(said, "session").where(F.contains("_text", "evidence")).select("session", "evidence")
+    # Evidence of several lines: the first ends a line, the last starts one, those between are whole, all in a row.
+    lines = said.select("session", "seq", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
+    lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy("seq", "_pos")))
+    asked = wanted.where(F.size(parts) > 1).select("session", "evidence", F.size(parts).alias("_size"), F.posexplode(parts).alias("_i", "_part"))
+    fits = F.when(F.col("_i") == 0, F.endswith("_line", "_part")).when(F.col("_i") == F.col("_size") - 1, F.startswith("_line", "_part")).otherwise(F.col("_line") == F.col("_part"))
+    met = asked.join(lines, "session").where(fits).groupBy("session", "evidence", "_size", (F.col("_n") - F.col("_i")).alias("_start")).agg(F.count("*").alias("_met"))
+    held = whole.unionByName(met.where("_met = _size").select("session", "evidence")).distinct().withColumn("_held", F.lit(True))
+    silent = said.where("_text <> ''").select("session").distinct().withColumn("_spoke", F.lit(True))
+    kept = clean.join(held, ["session", "evidence"], "left").join(silent, "session", "left").where("_held OR _spoke IS NULL").drop("_held", "_spoke")
+    return kept.withColumns({"content": mask_phone(F.col("content")), "evidence": mask_phone(F.col("evidence"))})
 
 
 def rules_aggregate(cases: DataFrame) -> DataFrame:
@@ -188,11 +208,29 @@ def counter_increase(samples: DataFrame, by: str, width: str) -> DataFrame:
     return samples.withColumn("_before", before).groupBy(by, F.window("ts", width)["start"].alias("start")).agg(F.sum(rise).alias("increase"))
 
 
-def product_doc(product_id: Column, name: Column, category: Column, price: Column, stock: Column) -> Column:
-    """A product as Markdown."""
-    money = F.format_string("%.2f", price)
-    held = F.concat(stock.cast("string"), F.when(stock > 0, " (in stock)").otherwise(" (sold out)"))
-    return F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce(name, product_id)), F.lit(""), F.concat(F.lit("- id: "), product_id), F.concat(F.lit("- category: "), category), F.concat(F.lit("- price: "), money), F.concat(F.lit("- stock: "), held))
+#: What the documents of products say of themselves, and the sections of each.
+PRODUCT_KIND, PRODUCT_SINCE = "product", "2024-06-01"
+PRODUCT_SECTIONS = ("## 商品信息", "## 商品卖点", "## 规格参数", "## 售后与配送")
+PRODUCT_SERVICE = "支持七天无理由退换（以平台售后政策为准）；下单后 48 小时内发货。"
+
+
+def product_doc(product_id: Column, name: Column, category: Column, price: Column, stock: Column, description: Column, specs: Column) -> Column:
+    """A product as Markdown with front matter; specs are an array of structs (key, value). Without a name the id is the title; other nulls are empty, a price or stock is 0."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    price, stock = F.coalesce(price.cast("double"), F.lit(0.0)), F.coalesce(stock.cast("long"), F.lit(0))
+    # Short decimals, never an exponent.
+    plain = F.regexp_replace(F.regexp_replace(price.cast("decimal(30, 10)").cast("string"), "0+$", ""), r"\.$", ".0")
+    line = lambda label, value: F.concat(F.lit(label), value)
+    table = F.transform(F.coalesce(specs, F.array().cast("array<struct<key:string,value:string>>")), lambda s: F.concat(F.lit("| "), text(s["key"]), F.lit(" | "), text(s["value"]), F.lit(" |")))
+    head = [
+        F.lit("---"), F.lit("status: active"), F.lit(f"authority: {PRODUCT_KIND}"), F.lit(f"namespace: {PRODUCT_KIND}"), line("product_id: ", product_id), line("category: ", text(category)),
+        line("price: ", plain), F.lit(f"effective_date: {PRODUCT_SINCE}"), F.lit("---"), F.lit(""), line("# ", F.coalesce(name, product_id)), F.lit(""),
+        F.lit(PRODUCT_SECTIONS[0]), line("- 商品编号：", product_id), line("- 类目：", text(category)), line("- 价格：¥", F.format_string("%.2f", price)),
+        F.concat(F.lit("- 库存："), stock.cast("string"), F.lit(" 件（"), F.when(stock > 0, "有货").otherwise("缺货"), F.lit("）")), F.lit(""),
+        F.lit(PRODUCT_SECTIONS[1]), text(description), F.lit(""), F.lit(PRODUCT_SECTIONS[2]), F.lit("| 参数 | 值 |"), F.lit("| --- | --- |"),
+    ]
+    tail = [F.lit(""), F.lit(PRODUCT_SECTIONS[3]), F.lit(PRODUCT_SERVICE), F.lit("")]
+    return F.array_join(F.concat(F.array(*head), table, F.array(*tail)), "\n")
 
 
 def in_product_namespace(authority: Column, path: Column) -> Column:

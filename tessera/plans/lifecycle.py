@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import lifecycle as lc
@@ -126,8 +127,14 @@ def summary_dedup(spark, sf):
 
 def memory_evidence_gate(spark, sf):
     m = messages(spark, sf)
-    claims = m.select("session", (F.col("session") * 100 + F.col("seq")).alias("fact_id"), F.substring("text", 5, 30).alias("evidence"))
-    return lc.evidence_gate(claims, m).select("session", "fact_id")
+    fact = F.col("session") * 100 + F.col("seq")
+    quoted = m.select("session", fact.alias("fact_id"), F.concat(F.lit(" "), F.substring("text", 5, 30)).alias("evidence"))
+    # Evidence that runs from one user message into the next.
+    after = F.lead("text").over(Window.partitionBy("session").orderBy("seq"))
+    spans = m.where("role = 'user'").withColumn("after", after).select("session", (-fact).alias("fact_id"), F.concat(F.right("text", F.lit(8)), F.lit("\n"), F.left("after", F.lit(8))).alias("evidence"))
+    key = F.when(F.col("fact_id") % 2 == 0, " Custom.Note ").otherwise("phone")
+    content = F.when(F.col("fact_id") % 5 == 0, "以后都 mail").when(F.col("fact_id") % 7 == 0, "ignore previous").otherwise(F.concat(F.lit("call 9913800138000 "), F.col("fact_id")))
+    return lc.evidence_gate(quoted.unionByName(spans.where("evidence is not null")).withColumns({"fact_key": key, "content": content}), m).select("session", "fact_id", "fact_key", "content", "evidence")
 
 
 def rules_aggregate(spark, sf):
@@ -143,7 +150,10 @@ def counter_increase(spark, sf):
 
 def product_doc_render(spark, sf):
     p = table(spark, sf, "part")
-    return p.select("p_partkey", lc.product_doc(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"), F.col("p_size").cast("double") + 0.5, F.col("p_size") % 3).alias("doc"))
+    specs = F.array(F.struct(F.lit("type").alias("key"), F.col("p_type").alias("value")), F.struct(F.lit("size"), F.col("p_size").cast("string")))
+    specs = F.when(F.col("p_partkey") % 5 > 0, specs)
+    name = F.when(F.col("p_partkey") % 7 > 0, F.col("p_name"))
+    return p.select("p_partkey", lc.product_doc(F.col("p_partkey").cast("string"), name, F.col("p_type"), F.col("p_size").cast("double") + 0.25, F.col("p_size") % 3, F.col("p_brand"), specs).alias("doc"))
 
 
 def product_namespace_check(spark, sf):
@@ -201,11 +211,20 @@ ORACLE_SQL: dict[str, str] = {
         every AS (SELECT cluster, count(*) AS size FROM c GROUP BY 1 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE label = 1 AND vec_id NOT IN (SELECT node FROM c))
         SELECT cluster, size, row_number() OVER (ORDER BY size > 1, size DESC, cluster)::INT AS place FROM every QUALIFY place <= 60""",
     "summary_dedup": "SELECT user_id AS session, event_type AS summary, min(event_id) AS seq FROM events GROUP BY ALL",
-    "memory_evidence_gate": "SELECT conv_id AS session, conv_id * 100 + turn AS fact_id FROM conversations m WHERE text[5:34] <> '' AND EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = m.conv_id AND u.role = 'user' AND contains(u.text, m.text[5:34]))",
+    "memory_evidence_gate": r"""WITH u AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS said FROM conversations WHERE role = 'user' GROUP BY 1),
+        raw AS (SELECT conv_id, conv_id * 100 + turn AS fact_id, text[5:34] AS e FROM conversations
+            UNION ALL SELECT conv_id, -(conv_id * 100 + turn), right(text, 8) || chr(10) || left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 8) FROM conversations WHERE role = 'user'),
+        m AS (SELECT conv_id, fact_id, regexp_replace(e, '^\s+|\s+$', '', 'g') AS e, fact_id % 2 = 0 AS free FROM raw WHERE e IS NOT NULL)
+        SELECT conv_id AS session, fact_id, CASE WHEN free THEN 'custom.note' ELSE 'phone' END AS fact_key, CASE WHEN fact_id % 5 = 0 THEN '以后都 mail' ELSE 'call 99[已脱敏号码] ' || fact_id END AS content,
+            regexp_replace(e, '1[3-9][0-9]{9}', '[已脱敏号码]', 'g') AS evidence FROM m LEFT JOIN u USING (conv_id)
+        WHERE (coalesce(said, '') = '' OR (e <> '' AND contains(said, e))) AND NOT (fact_id % 5 = 0 AND free) AND NOT (fact_id % 5 <> 0 AND fact_id % 7 = 0)""",
     "rules_aggregate": """SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS passed, round(count(*) FILTER (WHERE quality = 1) / count(*), 4) AS pass_rate, round(avg(CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 / 10 END), 4) AS process,
         round(avg(doc_id % 7 / 10), 4) AS result, sum(n_chars)::BIGINT AS tokens, count(*) FILTER (WHERE doc_id % 5 = 0) AS critical_total, count(*) FILTER (WHERE doc_id % 5 = 0 AND toxic = 0) AS critical_passed FROM labels JOIN documents USING (doc_id)""",
     "counter_increase": """WITH s AS (SELECT event_type, ts, max(round(value)) AS value FROM events GROUP BY ALL), b AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS was FROM s)
         SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, sum(CASE WHEN was IS NULL THEN 0 WHEN value >= was THEN value - was ELSE value END) AS increase FROM b GROUP BY ALL""",
-    "product_doc_render": """SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || '- id: ' || p_partkey || chr(10) || '- category: ' || p_type || chr(10) || '- price: ' || p_size || '.50' || chr(10) || '- stock: ' || p_size % 3 || CASE WHEN p_size % 3 > 0 THEN ' (in stock)' ELSE ' (sold out)' END AS doc FROM part""",
+    "product_doc_render": """SELECT p_partkey, array_to_string(list_filter(['---', 'status: active', 'authority: product', 'namespace: product', 'product_id: ' || p_partkey, 'category: ' || p_type, 'price: ' || p_size || '.25', 'effective_date: 2024-06-01', '---', '',
+        '# ' || CASE WHEN p_partkey % 7 > 0 THEN p_name ELSE p_partkey::VARCHAR END, '', '## 商品信息', '- 商品编号：' || p_partkey, '- 类目：' || p_type, '- 价格：¥' || p_size || '.25', '- 库存：' || p_size % 3 || ' 件（' || CASE WHEN p_size % 3 > 0 THEN '有货' ELSE '缺货' END || '）', '',
+        '## 商品卖点', p_brand, '', '## 规格参数', '| 参数 | 值 |', '| --- | --- |', CASE WHEN p_partkey % 5 > 0 THEN '| type | ' || p_type || ' |' END, CASE WHEN p_partkey % 5 > 0 THEN '| size | ' || p_size || ' |' END,
+        '', '## 售后与配送', '支持七天无理由退换（以平台售后政策为准）；下单后 48 小时内发货。', ''], lambda x: x IS NOT NULL), chr(10)) AS doc FROM part""",
     "product_namespace_check": "SELECT p_size % 2 = 0 AND p_partkey % 3 > 0 AND p_partkey % 5 > 0 AS inside, count(*) AS n FROM part GROUP BY 1",
 }
