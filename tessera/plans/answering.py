@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import safety
 from tessera.functions.arguments import checked_arguments
+from tessera.operators import evaluation as ev
 from tessera.operators import retrieval as rt
 from tessera.operators.answering import search_knowledge as search
 from tessera.plans._tables import Query, messages, table, vectors
 from tessera.plans.lifecycle import _PLACED
 from tessera.plans.retrieval import TOKENS_SQL
 from tessera.plans.text import _MASKED, _TAINT
+from tessera.sources import knowledge
 
 
 def search_knowledge(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +73,29 @@ def memory_mask(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(safety.mask_phone(F.col("text"))).alias("masked"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (search_knowledge, arg_validate, human_build_candidate, memory_mask)}
+def react_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as traces: assistant messages are model calls, other messages tool calls, by their texts' lengths and roles."""
+    c = table(spark, sf, "conversations").withColumn("mine", F.col("role") == "assistant")
+    call = F.struct("turn", F.length("text").alias("total_tokens"), (F.length("text") % 7).alias("reasoning_tokens"))
+    used = F.struct("turn", F.concat(F.col("role"), F.col("turn").cast("string")).alias("name"))
+    runs = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("mine"), call))).alias("llm"), F.sort_array(F.collect_list(F.when(~F.col("mine"), used))).alias("tools"))
+    figures = ev.trace_figures(F.col("llm"), F.col("tools"))
+    return runs.select("conv_id", *[c.alias(n) for n, c in figures.items() if n != "tool_call_names"], F.array_join(figures["tool_call_names"], ",").alias("tools"))
+
+
+def react_protocol(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return ev.react_protocol(e.select((F.col("event_id") % 9).alias("react_steps"), (F.col("event_type") == "click").alias("steps_margin_hint"), F.when(F.col("user_id") % 3 > 0, F.col("event_id") % 8 == 0).alias("forced_finalize"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 3).alias("protocol_corrections")))
+
+
+def frontmatter_serialize(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 80 characters of each document among plain, blank and special values."""
+    values = {"status": F.lit("active"), "blank": F.lit("  "), "missing": F.lit(None).cast("string"), "lang": F.concat(F.lit(" "), F.col("lang")), "title": F.left("text", F.lit(80)), "doc": F.col("doc_id").cast("string")}
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
+    return table(spark, sf, "documents").select("doc_id", knowledge.front_matter(entries).alias("head"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (search_knowledge, arg_validate, human_build_candidate, memory_mask, react_stats, react_protocol, frontmatter_serialize)}
 
 _G = TOKENS_SQL
 _Q = r"trim(regexp_replace(trim(regexp_replace(u.text, '\s+', ' ', 'g')), '^#+', ''))"
@@ -103,4 +127,11 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, q || chr(10) || a AS text FROM p)
         SELECT conv_id, turn, CASE WHEN length(q) NOT BETWEEN 4 AND 120 OR length(a) NOT BETWEEN 20 AND 1200 THEN 'invalid_format' WHEN conv_id % 4 = 0 THEN 'no_evidence' WHEN conv_id % 4 = 1 OR NOT agent THEN 'invalid_evidence' WHEN {_MASKED} <> text OR {_TAINT} THEN 'sensitive' END AS reason FROM s""",
     "memory_mask": "SELECT doc_id, md5(regexp_replace(text, '1[3-9][0-9]{9}', '[已脱敏号码]', 'g')) AS masked FROM documents",
+    "react_stats": """SELECT conv_id, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS total_tokens, coalesce(sum(length(text) % 7) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS reasoning_tokens, count(*) FILTER (WHERE role = 'assistant') AS num_llm_calls,
+        count(*) FILTER (WHERE role <> 'assistant') AS num_tool_calls, coalesce(string_agg(role || turn, ',' ORDER BY turn) FILTER (WHERE role <> 'assistant'), '') AS tools FROM conversations GROUP BY conv_id""",
+    "react_protocol": """SELECT count(*) FILTER (WHERE event_type = 'click') / count(*) AS steps_margin_hint_rate, count(*) FILTER (WHERE user_id % 3 > 0 AND event_id % 8 = 0) / count(*) AS forced_finalize_rate, round(sum(event_id % 9) / count(*), 2) AS avg_react_steps,
+        sum(CASE WHEN event_id % 2 = 0 THEN event_id % 3 ELSE 0 END)::BIGINT AS protocol_corrections_total FROM events""",
+    "frontmatter_serialize": r"""WITH t AS (SELECT doc_id, lang, left(text, 80) AS v, regexp_replace(left(text, 80), '^\s+|\s+$', '', 'g') AS s FROM documents),
+        j AS (SELECT *, CASE WHEN s = v AND NOT regexp_matches(v, '[:"''#\n{}\[\]&*!|>%@`]') THEN v ELSE '"' || replace(replace(replace(replace(replace(s, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' END AS shown FROM t)
+        SELECT doc_id, '---' || chr(10) || 'status: active' || chr(10) || 'lang: "' || lang || '"' || chr(10) || CASE WHEN coalesce(s, '') <> '' THEN 'title: ' || shown || chr(10) ELSE '' END || 'doc: ' || doc_id || chr(10) || '---' || chr(10) AS head FROM j""",
 }

@@ -150,7 +150,7 @@ def counter_increase(spark, sf):
 
 def product_doc_render(spark, sf):
     p = table(spark, sf, "part")
-    specs = F.array(F.struct(F.lit("type").alias("key"), F.col("p_type").alias("value")), F.struct(F.lit("size"), F.col("p_size").cast("string")))
+    specs = F.array(F.struct(F.lit("type").alias("key"), F.col("p_type").alias("value")), F.struct(F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value")))
     specs = F.when(F.col("p_partkey") % 5 > 0, specs)
     name = F.when(F.col("p_partkey") % 7 > 0, F.col("p_name"))
     return p.select("p_partkey", lc.product_doc(F.col("p_partkey").cast("string"), name, F.col("p_type"), F.col("p_size").cast("double") + 0.25, F.col("p_size") % 3, F.col("p_brand"), specs).alias("doc"))

@@ -75,15 +75,20 @@ def exclude_cases(spark, sf):
     return kept.unionByName(drop.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("n")).withColumn("kind", F.lit("unknown")))
 
 
-def _rates(spark, sf, column, where="true"):
+def _cases(spark, sf, passed, where="true"):
+    """Labelled documents as cases: their languages are the categories, 'fr' under its other name."""
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where(where)
-    return rows.groupBy(F.col("lang").alias("category")).agg(F.avg(F.expr(column).cast("double")).alias("rate"))
+    category = F.when(F.col("lang") == "en", "injection").when(F.col("lang") == "fr", "abuse").when(F.col("lang") == "de", "complaint").otherwise(F.col("lang"))
+    critical = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 35 > 0)
+    return rows.select(category.alias("category"), F.expr(passed).alias("passed"), critical.alias("critical"), (F.col("doc_id") % 50 == 7).alias("error"))
 
 
 def ab_gates(spark, sf):
-    """A category passes if it is there in both runs, has the least rate and isn't worse than before."""
-    before, after = _rates(spark, sf, "quality").withColumnRenamed("rate", "was"), _rates(spark, sf, "1 - toxic", "lang <> 'es'").withColumnRenamed("rate", "now")
-    return before.join(after, "category", "full").select("category", F.coalesce((F.col("now") >= 0.5) & (F.col("now") >= F.col("was")), F.lit(False)).alias("passed"))
+    """Quality before, harmless after, and both in the judged round."""
+    found = evaluation.ab_gates(_cases(spark, sf, "quality = 1"), _cases(spark, sf, "toxic = 0"), _cases(spark, sf, "toxic = 0 OR quality = 1", "doc_id % 2 = 0"))
+    figures = ["passed", "overall_ok", "categories_ok", "critical_ok", "api_errors_ok", "overall", "full", "critical_total", "critical_passed", "critical_rate", "api_errors"]
+    rates = F.array_join(F.transform("rates", lambda r: F.concat_ws(":", r["category"], F.format_string("%.4f", r["was"]), F.format_string("%.4f", r["now"]))), ",")
+    return found.select(*figures, F.array_join("failed_categories", ",").alias("failed_categories"), rates.alias("rates"))
 
 
 def ab_relaxed_review(spark, sf):
@@ -228,7 +233,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 
 _NEAR = """near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM near)"""
-_RATES = "SELECT lang AS category, avg({0}) AS {1} FROM labels JOIN documents USING (doc_id) WHERE {2} GROUP BY lang"
 _GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: {0}[i:i + 1]))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -243,7 +247,14 @@ ORACLE_SQL: dict[str, str] = {
     "pre_dedup": f"WITH {_NEAR} SELECT query_id, chunk_id, score >= 0.4 - 1e-4 AS duplicate FROM placed WHERE r = 1",
     "index_verify": "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, count(*) FILTER (WHERE vec_id % 100 = 0) AS found, count(*) FILTER (WHERE vec_id % 100 = 0) AS probes FROM embeddings",
     "exclude_cases": "SELECT 'kept' AS kind, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'unknown', count(*) FROM benchmark",
-    "ab_gates": f"WITH b AS ({_RATES.format('quality', 'was', 'true')}), a AS ({_RATES.format('1 - toxic', 'now', chr(39).join(['lang <> ', 'es', '']))}) SELECT category, coalesce(now >= 0.5 AND now >= was, false) AS passed FROM b FULL JOIN a USING (category)",
+    "ab_gates": """WITH l AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'inject' WHEN 'fr' THEN 'abuse' WHEN 'de' THEN 'complaint' ELSE lang END AS c, quality = 1 AS was, toxic = 0 AS now, doc_id % 5 = 0 AS tested, doc_id % 35 > 0 AS held FROM labels JOIN documents USING (doc_id)),
+        g AS (SELECT k.c, k.o, avg(was::INT) AS was, avg(now::INT) AS now FROM (SELECT unnest(['inject', 'abuse', 'complaint']) AS c, unnest([1, 2, 3]) AS o) k LEFT JOIN l USING (c) GROUP BY ALL), f AS (SELECT *, coalesce(now >= 0.7 AND now >= coalesce(was, 0), false) AS good FROM g),
+        t AS (SELECT avg(now::INT) AS overall, avg((now OR was)::INT) FILTER (WHERE doc_id % 2 = 0) AS full_rate, count(*) FILTER (WHERE tested) AS critical_total, count(*) FILTER (WHERE tested AND held) AS critical_passed,
+            count(*) FILTER (WHERE doc_id % 2 = 0 AND doc_id % 50 = 7) AS api_errors FROM l),
+        o AS (SELECT overall >= 0.8 AND full_rate >= 0.8 AS overall_ok, (SELECT bool_and(good) FROM f) AS categories_ok, critical_total = critical_passed AS critical_ok, api_errors = 0 AS api_errors_ok, * FROM t)
+        SELECT overall_ok AND categories_ok AND critical_ok AND api_errors_ok AS passed, overall_ok, categories_ok, critical_ok, api_errors_ok, round(overall, 4) AS overall, round(full_rate, 4) AS "full", critical_total, critical_passed,
+            CASE WHEN critical_total > 0 THEN round(critical_passed / critical_total, 4) ELSE 1 END AS critical_rate, api_errors, (SELECT coalesce(string_agg(c, ',' ORDER BY o), '') FROM f WHERE NOT good) AS failed_categories,
+            (SELECT string_agg(c || ':' || CASE WHEN was IS NULL THEN 'null' ELSE printf('%.4f', was) END || ':' || CASE WHEN now IS NULL THEN 'null' ELSE printf('%.4f', now) END, ',' ORDER BY o) FROM f) AS rates FROM o""",
     "ab_relaxed_review": "SELECT CASE WHEN doc_id % 9 = 0 THEN 'excluded' WHEN quality <> 1 AND doc_id % 4 = 0 AND toxic <> 1 THEN 'flipped' ELSE 'as_is' END AS review, count(*) AS n FROM labels GROUP BY 1",
     "dataset_checks": "SELECT 'repeated_text' AS rule, (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)) AS n UNION ALL SELECT 'label_without_document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) UNION ALL SELECT 'short_text', (SELECT count(*) FROM documents WHERE length(text) < 100)",
     "holdout_assembly": "SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY doc_id)::INT AS place FROM (SELECT doc_id, CASE WHEN quality = 0 THEN 'hard' WHEN toxic = 0 THEN 'base' ELSE 'negative' END AS kind FROM labels)",

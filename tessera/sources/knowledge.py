@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tessera.operators.batches import json_text
 from pyspark.sql.types import StringType
 
 #: File types that are read, directories that are, and marks of files that aren't.
@@ -65,6 +67,19 @@ def parse_frontmatter(text: Column) -> Column:
     return parse_sidecar(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n|$)", 1))
 
 
+#: Characters that make a value of the front matter a JSON string.
+QUOTED = ":\"'#\n{}[]&*!|>%@`"
+
+
+def front_matter(entries: Column) -> Column:
+    """A '---' block of an array of structs (key, value), in order; blank and null values are left out, those with special characters or white space around them become JSON strings."""
+    trimmed = lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")
+    special = lambda v: (F.translate(v, QUOTED, "") != v) | (trimmed(v) != v)
+    line = lambda e: F.concat(e["key"], F.lit(": "), F.when(special(e["value"]), json_text(trimmed(e["value"]))).otherwise(e["value"]))
+    lines = F.transform(F.filter(entries, lambda e: trimmed(F.coalesce(e["value"], F.lit(""))) != ""), line)
+    return F.concat(F.array_join(F.concat(F.array(F.lit("---")), F.coalesce(lines, F.array().cast("array<string>")), F.array(F.lit("---"))), "\n"), F.lit("\n"))
+
+
 def governance_problems(status: Column, authority: Column, date: Column) -> Column:
     """What is wrong with a document's governance, as a list."""
     return F.array_compact(F.array(

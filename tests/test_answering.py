@@ -115,3 +115,50 @@ def test_product_documents(spark):
     assert first[16:26] == ["- 库存：2 件（有货）", "", "## 商品卖点", "Bright", "", "## 规格参数", "| 参数 | 值 |", "| --- | --- |", "| w | 5 |", "|  |  |"] and first[-1] == ""
     assert second[6] == "price: 0.0" and second[10] == "# p2" and "- 库存：0 件（缺货）" in second
     assert third[6] == "price: 12345678.0" and "- 价格：¥12345678.00" in third
+
+
+CASES = "category string, passed boolean, critical boolean, error boolean"
+
+
+def _gates(spark, before, after, judged):
+    from tessera.operators.evaluation import ab_gates
+
+    return ab_gates(*(spark.createDataFrame(rows, CASES) for rows in (before, after, judged))).first()
+
+
+def test_release_gates_of_two_runs(spark):
+    good = [(c, True, None, None) for c in ("inject", "injection", "abuse", "complaint", "other")]
+    assert _gates(spark, good, good, good)["passed"] and _gates(spark, [], good, good)["passed"]
+    # A category that is missing, worse than before, or below 70%.
+    assert _gates(spark, good, [r for r in good if r[0] != "abuse"], good)["failed_categories"] == ["abuse"]
+    worse = [*good * 3, ("complaint", False, None, None)]
+    assert _gates(spark, good, worse, good)["failed_categories"] == ["complaint"] and _gates(spark, worse, worse, good)["passed"]
+    # A critical case that failed, an error in the judged round, a judged round without cases, nothing at all.
+    failed = _gates(spark, good, [*good, ("other", True, False, None), ("other", True, True, None)], good)
+    assert (failed["critical_ok"], failed["critical_rate"], failed["passed"]) == (False, 0.5, False)
+    assert not _gates(spark, good, good, [*good, ("other", True, None, True)])["api_errors_ok"]
+    assert not _gates(spark, good, good, [])["overall_ok"]
+    none = _gates(spark, [], [], [])
+    assert (none["passed"], none["critical_rate"], none["overall"]) == (False, 1.0, 0.0)
+
+
+def test_traces(spark):
+    from tessera.operators.evaluation import react_protocol, trace_figures
+
+    rows = [([(5, 2), (None, None), (7, 1)], [("b",), ("a",), ("b",)]), (None, None), ([], [])]
+    frame = spark.createDataFrame(rows, "l array<struct<total_tokens:int,reasoning_tokens:int>>, t array<struct<name:string>>")
+    found = [tuple(r) for r in frame.select(*trace_figures(F.col("l"), F.col("t")).values()).collect()]
+    assert found == [(12, 3, 3, 3, ["b", "a", "b"]), (0, 0, 0, 0, []), (0, 0, 0, 0, [])]
+    traces = "react_steps int, steps_margin_hint boolean, forced_finalize boolean, protocol_corrections int"
+    assert tuple(react_protocol(spark.createDataFrame([(3, True, None, 2), (None, False, True, None), (4, None, True, 1)], traces)).first()) == (1 / 3, 2 / 3, 2.33, 3)
+    assert tuple(react_protocol(spark.createDataFrame([], traces)).first()) == (0.0, 0.0, 0.0, 0)
+
+
+def test_front_matter(spark):
+    from tessera.sources.knowledge import front_matter
+
+    entries = [("a", "plain"), ("b", " spaced "), ("c", None), ("d", " "), ("e", 'x: "y"\n\\z\x01'), ("f", "[1]"), ("g", "back\\slash"), ("h", "é")]
+    frame = spark.createDataFrame([(entries,), (None,), ([],)], "e array<struct<key:string,value:string>>")
+    found = [r[0] for r in frame.select(front_matter(F.col("e"))).collect()]
+    expected = ["a: plain", 'b: "spaced"', "e: " + json.dumps('x: "y"\n\\z\x01', ensure_ascii=False), 'f: "[1]"', "g: back\\slash", "h: é"]
+    assert found == ["\n".join(["---", *expected, "---"]) + "\n", "---\n---\n", "---\n---\n"]
