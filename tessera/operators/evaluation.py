@@ -204,6 +204,6 @@ def trace_figures(llm_calls: Column, tool_calls: Column) -> dict[str, Column]:
 def react_protocol(traces: DataFrame) -> DataFrame:
     """One row over traces (react_steps, steps_margin_hint, forced_finalize, protocol_corrections): rates, the mean number of steps (two places) and all corrections; 0 without traces."""
     total = F.count("*")
-    rate = lambda c: F.coalesce(F.count_if(c) / total, F.lit(0.0)).alias(f"{c}_rate")
-    steps = F.coalesce(F.round(F.sum("react_steps") / total, 2), F.lit(0.0))
+    rate = lambda c: F.coalesce(F.try_divide(F.count_if(c), total), F.lit(0.0)).alias(f"{c}_rate")
+    steps = F.coalesce(F.round(F.try_divide(F.sum("react_steps"), total), 2), F.lit(0.0))
     return traces.agg(rate("steps_margin_hint"), rate("forced_finalize"), steps.alias("avg_react_steps"), F.coalesce(F.sum("protocol_corrections"), F.lit(0)).alias("protocol_corrections_total"))

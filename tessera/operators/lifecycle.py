@@ -196,7 +196,7 @@ def rules_aggregate(cases: DataFrame) -> DataFrame:
     n = F.count("*")
     mean = lambda c: F.round(F.avg(c), 4)
     return cases.agg(
-        n.alias("total"), F.count_if("passed").alias("passed"), F.round(F.count_if("passed") / n, 4).alias("pass_rate"), mean("process").alias("process"), mean("result").alias("result"),
+        n.alias("total"), F.count_if("passed").alias("passed"), F.round(F.try_divide(F.count_if("passed"), n), 4).alias("pass_rate"), mean("process").alias("process"), mean("result").alias("result"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("critical").alias("critical_total"), F.count_if("critical").alias("critical_passed"),
     )
 

@@ -162,3 +162,10 @@ def test_front_matter(spark):
     found = [r[0] for r in frame.select(front_matter(F.col("e"))).collect()]
     expected = ["a: plain", 'b: "spaced"', "e: " + json.dumps('x: "y"\n\\z\x01', ensure_ascii=False), 'f: "[1]"', "g: back\\slash", "h: é"]
     assert found == ["\n".join(["---", *expected, "---"]) + "\n", "---\n---\n", "---\n---\n"]
+
+
+def test_totals_of_no_cases(spark):
+    from tessera.operators.lifecycle import rules_aggregate
+
+    row = rules_aggregate(spark.createDataFrame([], "passed boolean, process double, result double, tokens long, critical boolean")).first()
+    assert (row["total"], row["pass_rate"], row["tokens"]) == (0, None, 0)
