@@ -8,16 +8,20 @@ Events are (event_id, ts, user_id, day, action, reservation_id, tokens); ``day``
 * release: nothing is used; ignored as above.
 
 Negative and null tokens count as 0. Within a batch a user's events of a day are taken in order of ts and event_id; on a stream each micro-batch is, after those before it, so
-an event that comes late is decided by what has come until then: a settlement before its reservation is ignored. Each decision depends on all before it, so a user's day is one group.
+an event that comes late is decided by what has come until then: a settlement before its reservation is ignored. Each decision depends on all before it, so a user's day is taken in order:
+in a batch, partitions hold whole days, sorted, and are read through once with the day at hand alone in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TTL_SECONDS = 600
@@ -26,38 +30,94 @@ KEEP_SECONDS = 3 * 86_400
 RESULT = "event_id long, user_id long, day date, verdict string, used long, overrun long"
 
 
+#: The second of an event without a time: before all others, so that no reservation has expired then.
+_NO_TIME = -(1 << 63)
+
+
+class _Day:
+    """What a user's day has used, and its reservations (estimate, second, open) by id; sums of the open ones are carried on from event to event."""
+
+    def __init__(self, used: int, held: dict[str, tuple[int, int, bool]], limit: int, ttl: int):
+        self.used, self.held, self.limit, self.ttl = used, held, limit, ttl
+        self.open, self.live, self.now, self.all, self.sum, self.count = [], {}, _NO_TIME, 0, 0, 0
+        for name, (estimate, since, is_open) in held.items():
+            if is_open:
+                self._add(name, estimate, since)
+
+    def _add(self, name: str, estimate: int, since: int) -> None:
+        # Ids needn't be comparable: a running number tells entries of one second apart.
+        heappush(self.open, (since, self.count, name))
+        self.live[name], self.count = estimate, self.count + 1
+        self.all, self.sum = self.all + estimate, self.sum + estimate
+
+    def reserved(self, at: int) -> int:
+        """The open reservations of at most the time to live."""
+        if at == _NO_TIME:
+            return self.all
+        if at < self.now:
+            return sum(e for e, since, is_open in self.held.values() if is_open and at - since <= self.ttl)
+        self.now = at
+        while self.open and at - self.open[0][0] > self.ttl:
+            self.sum -= self.live.pop(heappop(self.open)[-1], 0)
+        return self.sum
+
+    def take(self, action: str, name: str, at: int, n: int) -> tuple[str, int]:
+        """Verdict and overrun of the next event."""
+        if action == "reserve":
+            if self.limit <= 0 or name in self.held:
+                return "accepted", 0
+            if self.used + self.reserved(at) + n >= self.limit:
+                return "rejected", 0
+            self.held[name] = (n, at, True)
+            self._add(name, n, at)
+            return "accepted", 0
+        if name not in self.held or not self.held[name][2]:
+            return "ignored", 0
+        estimate, since, _ = self.held[name]
+        self.held[name] = (estimate, since, False)
+        self.all, self.sum = self.all - estimate, self.sum - self.live.pop(name, 0)
+        if action != "settle":
+            return "released", 0
+        self.used += n
+        return "settled", max(0, n - estimate)
+
+
 def decide(rows: pd.DataFrame, used: int, held: dict[str, tuple[int, int, bool]], limit: int, ttl: int) -> tuple[pd.DataFrame, int]:
     """RESULT of the rows of a user's day and what it has used then; ``held`` (estimate, second, open) by id is carried on."""
     rows = rows.sort_values(["ts", "event_id"])
     seconds = rows["ts"].astype("datetime64[s]").astype("int64")
     tokens = pd.to_numeric(rows["tokens"]).fillna(0).clip(lower=0).astype("int64")
-    verdicts, sums, overruns = [], [], []
-    for action, name, at, n in zip(rows["action"], rows["reservation_id"], seconds, tokens, strict=True):
-        verdict, overrun = "ignored", 0
-        if action == "reserve" and limit <= 0:
-            verdict = "accepted"
-        elif action == "reserve" and name in held:
-            verdict = "accepted"
-        elif action == "reserve":
-            reserved = sum(e for e, since, is_open in held.values() if is_open and at - since <= ttl)
-            verdict = "rejected" if used + reserved + n >= limit else "accepted"
-            if verdict == "accepted":
-                held[name] = (int(n), int(at), True)
-        elif name in held and held[name][2]:
-            estimate, since, _ = held[name]
-            held[name] = (estimate, since, False)
-            verdict = "settled" if action == "settle" else "released"
-            if action == "settle":
-                used, overrun = used + int(n), max(0, int(n) - estimate)
+    day, verdicts, sums, overruns = _Day(used, held, limit, ttl), [], [], []
+    for event in zip(rows["action"], rows["reservation_id"], seconds, tokens, strict=True):
+        verdict, overrun = day.take(*event)
         verdicts.append(verdict)
-        sums.append(used)
+        sums.append(day.used)
         overruns.append(overrun)
-    return pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "day": rows["day"], "verdict": verdicts, "used": sums, "overrun": overruns}), used
+    return pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "day": rows["day"], "verdict": verdicts, "used": sums, "overrun": overruns}), day.used
 
 
 def daily_budget(events: DataFrame, limit: int, ttl: int = TTL_SECONDS) -> DataFrame:
     """RESULT of each event."""
-    return events.groupBy("user_id", "day").applyInPandas(lambda rows: decide(rows, 0, {}, limit, ttl)[0], RESULT)
+    at, tokens = F.coalesce(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(_NO_TIME)), F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0))
+    rows = events.repartition("user_id", "day").sortWithinPartitions("user_id", "day", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    rows = rows.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), F.col("day").cast("date"), "action", "reservation_id", at.alias("at"), tokens.alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, day = None, None
+        for batch in batches:
+            verdicts, sums, overruns = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("user_id", "action", "reservation_id", "at", "tokens")]
+            for user, date, *event in zip(columns[0], batch.column("day").cast(pa.int32()).to_pylist(), *columns[1:], strict=True):
+                if day is None or key != (user, date):
+                    key, day = (user, date), _Day(0, {}, limit, ttl)
+                verdict, overrun = day.take(*event)
+                verdicts.append(verdict)
+                sums.append(day.used)
+                overruns.append(overrun)
+            out = [*(batch.column(c) for c in ("event_id", "user_id", "day")), pa.array(verdicts, pa.string()), pa.array(sums, pa.int64()), pa.array(overruns, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, ["event_id", "user_id", "day", "verdict", "used", "overrun"])
+
+    return rows.mapInArrow(run, RESULT)
 
 
 class _Budget(StatefulProcessor):

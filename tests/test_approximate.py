@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -177,3 +178,45 @@ def test_decisions_carry_on():
     assert budget.decide(rows, 0, {}, 100, 600)[0]["verdict"].tolist() == ["accepted", "accepted"]
     assert budget.decide(rows, 0, {}, 100, 601)[0]["verdict"].tolist() == ["accepted", "rejected"]
     assert budget.decide(rows, 60, {}, 100, 601)[0]["verdict"].tolist() == ["rejected", "rejected"]
+
+
+def test_budgets_are_read_through_in_order(spark):
+    rng, rows = random.Random(9), []
+    for i in range(900):
+        at = f"2024-01-0{1 + i % 2} {rng.randrange(24):02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}"
+        rows.append((i, at if i % 50 else None, rng.choice([1, 2, 3, None]), at[:10], rng.choice(["reserve", "reserve", "settle", "release"]), rng.choice([f"r{rng.randrange(300)}", None]), rng.choice([None, -3, *range(30)])))
+    events = budget_events(spark, rows)
+    found = budget.daily_budget(events, 150, 3600)
+
+    def plain(rows, limit, ttl):
+        used, held, out = 0, {}, {}
+        for event, at, _, _, action, name, n in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0])):
+            at, n, overrun, verdict = -(1 << 63) if at is None else int(pd.Timestamp(at).timestamp()), max(0, n or 0), 0, "ignored"
+            if action == "reserve":
+                reserved = sum(e for e, since, is_open in held.values() if is_open and at - since <= ttl)
+                verdict = "accepted" if name in held or used + reserved + n < limit else "rejected"
+                if verdict == "accepted" and name not in held:
+                    held[name] = (n, at, True)
+            elif name in held and held[name][2]:
+                e, since, _ = held[name]
+                held[name], verdict = (e, since, False), "settled" if action == "settle" else "released"
+                if action == "settle":
+                    used, overrun = used + n, max(0, n - e)
+            out[event] = (verdict, used, overrun)
+        return out
+
+    expected = {}
+    for key in {(r[2], r[3]) for r in rows}:
+        expected |= plain([r for r in rows if (r[2], r[3]) == key], 150, 3600)
+    assert {r["event_id"]: (r["verdict"], r["used"], r["overrun"]) for r in found.collect()} == expected
+    # A group for each user's day is a call of Python for each.
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_a_day_of_many_open_reservations():
+    began = time.process_time()
+    day = budget._Day(0, {}, 1 << 40, 1 << 30)
+    assert all(day.take("reserve", str(i), i, 1) == ("accepted", 0) for i in range(50_000)) and day.reserved(50_000) == 50_000
+    assert day.take("settle", "7", 50_000, 3) == ("settled", 2) and day.reserved(50_000) == 49_999 and day.reserved(10) == day.reserved(-(1 << 63)) == 49_999
+    # Adding up all of them at each event is quadratic.
+    assert time.process_time() - began < 10
