@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import re
 
 import pytest
@@ -133,6 +134,27 @@ def test_memory(spark):
     assert {r["node"]: r["cluster"] for r in memory.duplicate_clusters(pairs).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
+def test_mutations_equal_a_plain_fold(spark):
+    rng = random.Random(4)
+    facts = [(u, 100 * u + i, k, rng.choice("xy"), rng.choice(["active", "active", "deleted"]), None) for u in range(6) for i, k in enumerate(["a", "b", None])]
+    changes = [(rng.choice([*range(1, 8), None]), i, rng.choice(["set", "add", "add", "delete", None]), rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None]), 1000 + i) for i in range(400)]
+    expected = []
+    for user in {r[0] for r in facts + changes}:
+        rows = [list(r[1:]) for r in facts if r[0] == user]
+        for _, _, operation, key, content, new in [c for c in changes if c[0] == user]:
+            live = [r for r in rows if r[3] == "active" and r[1] == key]
+            for r in live if operation in ("set", "delete") else ():
+                r[3] = "superseded" if operation == "set" else "deleted"
+            if operation != "delete" and not (operation == "add" and any(r[2] == content for r in live)):
+                rows.append([new, key, content, "active", live[-1][0] if live and operation == "set" else None])
+        expected += [(user, *r) for r in rows]
+    held = spark.createDataFrame(facts, "user_id long, fact_id long, fact_key string, content string, status string, supersedes_id long")
+    found = memory.apply_mutations(held, spark.createDataFrame(changes, "user_id long, seq long, operation string, fact_key string, content string, new_id long"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    # A group for each user is a call of Python for each.
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize(("qualities", "dropped"), [((0.6, 0.9), [0]), ((0.9, 0.6), [1]), ((0.5, 0.5), [1])])
 def test_drop_like(spark, qualities, dropped):
     pairs, ranks = spark.createDataFrame([(0, 1)], "a long, b long"), spark.createDataFrame(list(enumerate(qualities)), "ord long, quality double")
