@@ -1,7 +1,8 @@
 """Queries put into the lexicon's words: characters that sound alike, and initials that stand for characters.
 
 Spans of a query meet the lexicon by a join on their key, the initials of their characters, so the lexicon may have any size and only spans with a
-word of the same initials go on. Whether a span may stand for the word is a column expression over their characters. What remains for each query is a short list of
+word of the same initials go on. A query has seven spans for each character, so up to BROADCAST_WORDS words are broadcast and spans aren't shuffled. Whether a span
+may stand for the word is found once for each batch's pairs of both. What remains for each query is a short list of
 matches, through which a walk from the left picks the longest at each place.
 
 Initials and syllables are one character each in a text of the same length, by translation: ``syllables`` (char, syllable) has a row for a
@@ -11,6 +12,7 @@ character at most, and there are some thousand different ones, so the tables are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,10 @@ LEAST_LENGTH, MOST_LENGTH = 2, 8
 #: Syllables are told apart by so many private characters.
 _PRIVATE, _MOST_SYLLABLES, _MOST_CHARACTERS = 0xE000, 6400, 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HAN, _LETTER = r"^[\x{4e00}-\x{9fff}]$", "^[A-Za-z]$"
-#: What a character of a span is beside the word's: the same, its initial, a sound-alike, or none of these.
-_SAME, _INITIAL, _SOUND, _OTHER = range(4)
-
+_FOLD, _LETTERS = str.maketrans(_UPPER, _LOWER), frozenset(_UPPER + _LOWER)
+_HAN = r"^[\x{4e00}-\x{9fff}]$"
+#: More words than these are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 RESULT = "text string, rewrites array<struct<span:string,term:string,kind:string>>"
 
 
@@ -46,22 +48,19 @@ class Sounds:
         return F.translate(text, self.chars, self.codes)
 
 
-def _marks(sounds: Sounds, span: Column, term: Column) -> Column:
-    """What each character of a span is beside the word's, for a span and a word of equal length."""
-    got, want = F.split(span, ""), F.split(term, "")
-    sound_got, sound_want, first = F.split(sounds.syllables(span), ""), F.split(sounds.syllables(term), ""), F.split(sounds.initials(term), "")
-
-    def mark(i: Column) -> Column:
-        at = lambda parts: F.get(parts, i)
-        g, w = at(got), at(want)
-        has = at(sound_want) != w
-        return (
-            F.when(F.translate(g, _UPPER, _LOWER) == F.translate(w, _UPPER, _LOWER), _SAME)
-            .when(g.rlike(_LETTER) & has & (at(first) == F.translate(g, _UPPER, _LOWER)), _INITIAL)
-            .when((at(sound_got) != g) & has & (at(sound_got) == at(sound_want)), _SOUND).otherwise(_OTHER)
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.length(span) - 1), mark)
+def _counts(span: str, term: str, syllables: dict[str, str]) -> int:
+    """How many characters of the span are the initial of the word's, plus 16 for each that sounds like it; -1 if another one isn't the word's in either case. Initials of both are equal."""
+    count = 0
+    for got, want in zip(span, term, strict=True):
+        if got != want and got.translate(_FOLD) != want.translate(_FOLD):
+            has = want in syllables
+            if has and got in _LETTERS:
+                count += 1
+            elif has and syllables.get(got) == syllables[want]:
+                count += 16
+            else:
+                return -1
+    return count
 
 
 def lexicon_matches(queries: DataFrame, lexicon: DataFrame, sounds: Sounds) -> DataFrame:
@@ -69,26 +68,40 @@ def lexicon_matches(queries: DataFrame, lexicon: DataFrame, sounds: Sounds) -> D
 
     kind is 'known' for the former, whose term is null; ``changed`` counts the characters replaced, ``differs`` is the first place (from 0) at which span and word aren't the very same.
     """
-    n = F.length("query")
-    starts = queries.where(n >= LEAST_LENGTH).select("query_id", "query", F.explode(F.sequence(F.lit(0), n - LEAST_LENGTH)).alias("start"))
-    spans = starts.withColumn("size", F.explode(F.sequence(F.lit(LEAST_LENGTH), F.least(F.lit(MOST_LENGTH), n - F.col("start")))))
-    spans = spans.withColumn("span", F.substring("query", F.col("start") + 1, F.col("size")))
-    beside = lambda at: F.substring("query", at, F.lit(1)).rlike(_LETTER)
+    char = lambda text, i: F.substring(text, i + 1, F.lit(1) if isinstance(i, Column) else 1)
+    words = lexicon.where(F.length("term").between(LEAST_LENGTH, MOST_LENGTH)).groupBy("term").agg(F.max("freq").alias("freq"), F.min("guard").alias("guard"))
+    words = words.withColumn("key", sounds.initials(F.col("term"))).persist()
+    few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    # What is taken out of a long text by place costs its length: once for each place, the characters of all its spans and one more at either side.
+    whole = queries.where(F.length("query") >= LEAST_LENGTH).select("query_id", F.length("query").alias("_n"), F.concat(F.lit(" "), "query", F.lit(" ")).alias("_text"), sounds.initials(F.col("query")).alias("_initials"))
+    starts = whole.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("_n") - LEAST_LENGTH)))
+    starts = starts.select("query_id", "_n", "start", F.substring("_text", F.col("start") + 1, F.lit(MOST_LENGTH + 2)).alias("_near"), F.substring("_initials", F.col("start") + 1, F.lit(MOST_LENGTH)).alias("_keys"))
+    spans = starts.withColumn("size", F.explode(F.sequence(F.lit(LEAST_LENGTH), F.least(F.lit(MOST_LENGTH), F.col("_n") - F.col("start")))))
+    met = spans.select("query_id", "start", "size", "_near", F.substring("_keys", F.lit(1), F.col("size")).alias("key")).join(F.broadcast(words) if few else words, "key")
+    met = met.withColumn("span", F.substring("_near", F.lit(2), F.col("size")))
+    letter = lambda c: c.between("a", "z") | c.between("A", "Z")
     # Letters in a row are replaced together or not at all.
-    cuts = ((F.col("start") > 0) & beside(F.col("start")) & beside(F.col("start") + 1)) | (beside(F.col("start") + F.col("size")) & beside(F.col("start") + F.col("size") + 1))
-    spans = spans.select("query_id", "start", "size", "span", cuts.alias("cuts"), sounds.initials(F.col("span")).alias("key"))
-    words = lexicon.where(F.length("term").between(LEAST_LENGTH, MOST_LENGTH)).groupBy("term").agg(F.max("freq").alias("freq"), F.min("guard").alias("guard")).withColumn("key", sounds.initials(F.col("term")))
-    met = spans.join(words, "key")
-    same, marks = F.col("span") == F.col("term"), F.col("marks")
-    several = lambda k: F.size(F.filter(marks, lambda m: m == k))
-    met = met.where(same | (~F.col("guard") & ~F.col("cuts"))).withColumn("marks", F.when(~same, _marks(sounds, F.col("span"), F.col("term"))))
-    met = met.withColumn("sound", several(_SOUND)).withColumn("initial", several(_INITIAL))
-    allowed = ~F.exists(marks, lambda m: m == _OTHER) & (F.col("sound") + F.col("initial") > 0) & (F.col("sound") <= F.greatest(F.lit(1), F.floor(F.col("size") / 2)))
+    cuts = (letter(char("_near", 0)) & letter(char("_near", 1))) | (letter(char("_near", F.col("size"))) & letter(char("_near", F.col("size") + 1)))
+    same = F.col("span") == F.col("term")
+    syllables = dict(zip(sounds.chars, sounds.codes, strict=True))
+
+    @F.pandas_udf("int")
+    def counted(spans: pd.Series, terms: pd.Series) -> pd.Series:
+        # Far fewer different pairs than places.
+        pairs = list(zip(spans, terms, strict=True))
+        of = {pair: _counts(*pair, syllables) for pair in set(pairs)}
+        return pd.Series([of[p] for p in pairs], dtype="int32")
+
+    # Counted once: a filter on it must not repeat it.
+    met = met.where(same | (~F.col("guard") & ~cuts)).select("query_id", "start", "size", "span", "term", "freq", counted.asNondeterministic()("span", "term").alias("_counts"))
+    met = met.withColumn("initial", F.col("_counts") % 16).withColumn("sound", F.floor(F.col("_counts") / 16).cast("int"))
+    changed = F.col("sound") + F.col("initial")
+    allowed = (F.col("_counts") > 0) & (F.col("sound") <= F.greatest(F.lit(1), F.floor(F.col("size") / 2)))
     kind = F.when(same, "known").when((F.col("sound") > 0) & (F.col("initial") > 0), "mixed").when(F.col("initial") > 0, "abbr").otherwise("homophone")
-    places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.substring("span", i + 1, F.lit(1)) != F.substring("term", i + 1, F.lit(1)))
+    differs = reduce(lambda before, i: before.when(char("span", i) != char("term", i), i), range(1, MOST_LENGTH), F.when(char("span", 0) != char("term", 0), 0)).otherwise(F.col("size"))
     return met.where(same | allowed).select(
-        "query_id", "start", "size", F.when(~same, F.col("term")).alias("term"), kind.alias("kind"), F.when(same, 0).otherwise(F.col("sound") + F.col("initial")).alias("changed"),
-        F.coalesce(F.get(places, F.lit(0)), F.col("size")).alias("differs"), F.coalesce("freq", F.lit(0)).cast("long").alias("freq"),
+        "query_id", "start", "size", F.when(~same, F.col("term")).alias("term"), kind.alias("kind"), F.when(same, 0).otherwise(changed).alias("changed"),
+        differs.alias("differs"), F.coalesce("freq", F.lit(0)).cast("long").alias("freq"),
     )
 
 
@@ -119,7 +132,8 @@ def normalize_queries(queries: DataFrame, lexicon: DataFrame, syllables: DataFra
     words of one length the one with the fewest changes is taken, then the most frequent. Null queries stay null; equal ids with different texts are taken as one query each.
     """
     sounds = Sounds(syllables)
-    keyed = queries.select("query_id", "query").withColumn("_key", F.struct("query_id", "query"))
+    # Matches carry a digest of their query, not its text.
+    keyed = queries.select("query_id", "query").withColumn("_key", F.struct("query_id", F.sha2("query", 256).alias("digest")))
     found = lexicon_matches(keyed.select(F.col("_key").alias("query_id"), "query").distinct(), lexicon, sounds)
     # A query's own matches, as many as its spans have words.
     own = found.groupBy("query_id").agg(F.collect_list(F.struct("start", "size", "term", "kind", "changed", "differs", "freq")).alias("matches")).select(F.col("query_id").alias("_key"), "matches")

@@ -220,3 +220,12 @@ def test_a_day_of_many_open_reservations():
     assert day.take("settle", "7", 50_000, 3) == ("settled", 2) and day.reserved(50_000) == 49_999 and day.reserved(10) == day.reserved(-(1 << 63)) == 49_999
     # Adding up all of them at each event is quadratic.
     assert time.process_time() - began < 10
+
+
+def test_spans_are_not_shuffled(spark):
+    words = spark.createDataFrame([("退款", 9, False), ("物流", 5, False)], "term string, freq long, guard boolean")
+    sounds = spelling.Sounds(spark.createDataFrame([("退", "tui"), ("款", "kuan"), ("宽", "kuan"), ("物", "wu"), ("流", "liu")], "char string, syllable string"))
+    found = spelling.lexicon_matches(spark.createDataFrame([(1, "我要退宽 tk物L")], "query_id long, query string"), words, sounds)
+    assert sorted((r["start"], r["term"], r["kind"], r["changed"], r["differs"]) for r in found.collect()) == [(2, "退款", "homophone", 1, 1), (5, "退款", "abbr", 2, 0), (7, "物流", "abbr", 1, 1)]
+    # Seven spans a character, with their queries, were sorted by key.
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
