@@ -61,13 +61,20 @@ def collectable(uploads: DataFrame, now: Column, kept: dict[str, str], limit: in
     return uploads.where(past).orderBy("changed_at", "doc_id").limit(limit)
 
 
+#: Requests without a key are dealt into so many parts.
+NULL_PARTS = 4096
+
+
 def refund_lookup(asked: DataFrame, applications: DataFrame, orders: DataFrame) -> DataFrame:
     """asked (ask_id, user_id, application_id, order_id) with code and n: by an application or by an order, not both; both must belong to the user."""
     one = F.col("application_id").isNotNull() != F.col("order_id").isNotNull()
     apps = applications.select(F.col("application_id").alias("_app"), F.col("user_id").alias("_app_user"))
     owned = orders.select(F.col("order_id").alias("_order"), F.col("user_id").alias("_order_user"))
     per_order = applications.groupBy(F.col("order_id").alias("_of")).agg(F.count("*").alias("_n"))
-    joined = asked.join(apps, F.col("application_id") == F.col("_app"), "left").join(owned, F.col("order_id") == F.col("_order"), "left").join(per_order, F.col("order_id") == F.col("_of"), "left")
+    # Requests without a key find nothing: a number instead keeps a join from sending them all to one task.
+    spread = lambda key: F.coalesce(F.col(key), F.pmod(F.xxhash64("ask_id"), F.lit(NULL_PARTS)))
+    beside = lambda key, held: (spread(key) == F.col(held)) & F.col(key).isNotNull()
+    joined = asked.join(apps, beside("application_id", "_app"), "left").join(owned, beside("order_id", "_order"), "left").join(per_order, beside("order_id", "_of"), "left")
     mine = F.when(F.col("application_id").isNotNull(), F.col("_app_user") == F.col("user_id")).otherwise(F.col("_order_user") == F.col("user_id"))
     code = F.when(~one, "invalid").when(F.coalesce(mine, F.lit(False)), "ok").otherwise("not_found")
     n = F.when(code == "ok", F.when(F.col("application_id").isNotNull(), 1).otherwise(F.coalesce("_n", F.lit(0)))).otherwise(0)

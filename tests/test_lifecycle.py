@@ -46,3 +46,22 @@ def test_tainted_evidence_speaks_for_nothing(spark):
 def test_replacement_needs_the_questions_side(spark):
     rows = spark.createDataFrame([("question", "evolved/a.md", 0.9, 0.5), ("answer", "evolved/a.md", 0.9, 0.5), ("question", "uploads/a.md", 0.9, 0.5), ("question", "evolved/a.md", 0.4, 0.5), ("question", "evolved/b.md", 0.0, None)], "s string, p string, q double, o double")
     assert [r[0] for r in rows.select(lc.replaces(F.col("s"), F.col("p"), F.col("q"), F.col("o"))).collect()] == ["a.md", None, None, None, "b.md"]
+
+
+def test_requests_without_a_key_are_spread(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        applications = spark.range(4096).select(F.col("id").alias("application_id"), (F.col("id") + 1).alias("order_id"), F.lit(7).cast("long").alias("user_id"))
+        orders = spark.range(5000).select(F.col("id").alias("order_id"), F.lit(7).cast("long").alias("user_id"))
+        none = F.lit(None).cast("long")
+        asked = spark.range(2000).select(F.col("id").alias("ask_id"), F.lit(7).cast("long").alias("user_id"), none.alias("application_id"), none.alias("order_id"))
+        found = lc.refund_lookup(asked, applications, orders)
+        assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 1000
+        assert {(r["code"], r["n"]) for r in found.collect()} == {("invalid", 0)}
+        some = spark.createDataFrame([(1, 7, 3, None), (2, 8, 3, None), (3, 7, None, 3), (4, 7, None, 4500), (5, 7, None, 9000), (6, 7, 1, 1)], "ask_id long, user_id long, application_id long, order_id long")
+        assert {r["ask_id"]: (r["code"], r["n"]) for r in lc.refund_lookup(some, applications, orders).collect()} == {1: ("ok", 1), 2: ("not_found", 0), 3: ("ok", 1), 4: ("ok", 0), 5: ("not_found", 0), 6: ("invalid", 0)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
