@@ -116,7 +116,7 @@ def final_dedup(spark, sf):
 
 
 def candidate_clusters(spark, sf):
-    clusters = memory.duplicate_clusters(retrieval.cosine_pairs(vectors(spark, sf), 0.4))
+    clusters = memory.duplicate_clusters(retrieval.cosine_links(vectors(spark, sf), 0.4))
     legacy = vectors(spark, sf).where("label = 1").select(F.col("chunk_id").alias("node"))
     return lc.candidate_clusters(clusters, legacy, 60)
 

@@ -302,8 +302,8 @@ def embedding_backfill(spark, sf):
 
 
 def duplicate_clusters(spark, sf):
-    pairs = theta_self_join_pairs(spark, sf)
-    return memory.duplicate_clusters(pairs).groupBy("cluster").agg(F.count("*").alias("n"))
+    links = retrieval.cosine_links(vectors(spark, sf), 0.35)
+    return memory.duplicate_clusters(links).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def sliding_window_limit(spark, sf):

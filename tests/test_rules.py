@@ -6,6 +6,7 @@ import datetime
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,20 @@ def _like(ids, vectors, least):
     return {(min(a, b), max(a, b)) for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True)}
 
 
+def test_links_connect_what_pairs_connect(spark):
+    rng = np.random.default_rng(5)
+    rows = np.repeat(rng.normal(size=(60, 6)), 5, axis=0) + rng.normal(scale=0.02, size=(300, 6))
+    frame = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(rng.permutation(300), rows, strict=True)], "chunk_id long, vector array<double>")
+    for block in (40, 2048):
+        links = retrieval.cosine_links(frame, 0.9, block=block)
+        pairs = retrieval.cosine_pairs(frame, 0.9, block=block)
+        assert sorted(map(tuple, memory.duplicate_clusters(links).collect())) == sorted(map(tuple, memory.duplicate_clusters(pairs).collect()))
+    # Fewer than vectors, though each group of copies has all its pairs.
+    assert links.count() < 300 < pairs.count()
+    first = retrieval.joined_places(np.arange(6), np.array([4, 1]), np.array([2, 4]))
+    assert retrieval.joined_places(first, np.array([5]), np.array([1])).tolist() == [0, 1, 1, 3, 1, 1]
+
+
 def test_cosine_pairs_are_whole(spark):
     import numpy as np
 
