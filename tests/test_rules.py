@@ -227,6 +227,22 @@ def _like(ids, vectors, least):
     return {(min(a, b), max(a, b)) for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True)}
 
 
+def test_drop_like_reads_sorted_pairs(spark):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(c * 40, c * 40 + 40), 2))) for c in range(4) for _ in range(150)})
+    quality = {i: rng.choice([0.1, 0.5, 0.9, None, float("nan")]) for i in range(160)}
+    lost = set()
+    for a, b in pairs:
+        if a not in lost and b not in lost:
+            known = quality[a] is not None and quality[b] is not None
+            lost.add(a if known and quality[a] < quality[b] else b)
+    rng.shuffle(pairs)
+    found = mining.drop_like(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(quality.items()), "ord long, quality double"), spark.createDataFrame([(i, i // 40) for i in range(160)], "node long, cluster long"))
+    assert sorted(r["dropped"] for r in found.collect()) == sorted(lost)
+    # A group would hold all pairs of a cluster at once.
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
 def test_links_connect_what_pairs_connect(spark):
     rng = np.random.default_rng(5)
     rows = np.repeat(rng.normal(size=(60, 6)), 5, axis=0) + rng.normal(scale=0.02, size=(300, 6))
