@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking
@@ -79,3 +80,9 @@ def test_office_files(spark):
     row = spark.createDataFrame([(bytearray(docx), bytearray(xlsx))], "d binary, x binary").select(office.parse_docx(F.col("d")).alias("d"), office.parse_xlsx(F.col("x")).alias("x")).first()
     assert row["d"] == "# Title\n\ntext\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 |"
     assert row["x"] == "# workbook\n\n## One\n\n| name |  | 3 |\n| --- | --- | --- |\n|  | x |  |"
+
+
+def test_chunks_are_handed_on_in_parts():
+    docs = pd.DataFrame({"doc": [f"d{i}" for i in range(3000)], "text": ["one paragraph\n\nanother"] * 3000})
+    parts = list(chunking._cut(iter([docs])))
+    assert max(map(len, parts)) <= chunking.CHUNKS_AT_ONCE + 2 and len({d for p in parts for d in p.iloc[:, 0]}) == sum(map(len, parts)) >= 3000
