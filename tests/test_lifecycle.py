@@ -55,7 +55,7 @@ def test_requests_without_a_key_are_spread(spark):
     try:
         applications = spark.range(4096).select(F.col("id").alias("application_id"), (F.col("id") + 1).alias("order_id"), F.lit(7).cast("long").alias("user_id"))
         orders = spark.range(5000).select(F.col("id").alias("order_id"), F.lit(7).cast("long").alias("user_id"))
-        none = F.lit(None).cast("long")
+        none = F.when(F.col("id") < 0, F.col("id"))
         asked = spark.range(2000).select(F.col("id").alias("ask_id"), F.lit(7).cast("long").alias("user_id"), none.alias("application_id"), none.alias("order_id"))
         found = lc.refund_lookup(asked, applications, orders)
         assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 1000
