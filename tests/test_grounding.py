@@ -90,6 +90,14 @@ def test_hot_grams_are_joined_in_parts(spark, monkeypatch):
     assert found == set(brute_pairs(rows)) and len(found) == 190
 
 
+def test_differences_all_over_are_found(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice(MANY) for _ in range(600))
+    rows = [(1, base), (2, "".join(c + "#" * (i % 9 == 8) for i, c in enumerate(base))), (3, base[::-1])]
+    found = {(r["a"], r["b"]): r["ratio"] for r in similar_texts.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == pytest.approx(brute_pairs(rows)) and (1, 2) in found
+
+
 def test_no_similar_texts(spark):
     assert similar_texts.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
