@@ -331,3 +331,19 @@ def test_bm25_equals_plain_scores(spark):
                 add = math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
                 expected[q, i] = expected.get((q, i), 0) + add
     assert {(r["query_id"], r["chunk_id"]): round(r["score"], 6) for r in found} == {k: round(v, 6) for k, v in expected.items()}
+
+
+def test_bm25_shuffles_only_the_best_of_each_task(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, -i if i % 7 else None, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9))) or None) for i in range(500)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, ord int, text string").repartition(3)
+    queries = spark.createDataFrame([("x", "a b"), ("y", "c c zz"), ("x", "a d"), ("z", ""), (None, "h")], "query_id string, text string")
+    monkeypatch.setattr(retrieval, "SCORES", 60)
+    searched = retrieval.bm25_search(corpus, queries, 4)
+    rank = ["query_id", "rank", "score"]
+    found = {(r["query_id"], r["rank"]): r["score"] for r in searched.select(*rank).collect()}
+    assert "Aggregate" not in searched._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 2)
+    joined = retrieval.bm25_search(corpus, queries, 4)
+    assert found == pytest.approx({(r["query_id"], r["rank"]): r["score"] for r in joined.select(*rank).collect()}) and len(found) == 12
+    assert retrieval.bm25_search(corpus.where("false"), queries, 4).count() == 0
