@@ -347,3 +347,10 @@ def test_bm25_shuffles_only_the_best_of_each_task(spark, monkeypatch):
     joined = retrieval.bm25_search(corpus, queries, 4)
     assert found == pytest.approx({(r["query_id"], r["rank"]): r["score"] for r in joined.select(*rank).collect()}) and len(found) == 12
     assert retrieval.bm25_search(corpus.where("false"), queries, 4).count() == 0
+
+
+def test_ngrams_of_all_lengths_are_counted_without_joins(spark):
+    rows = [(1, ["a", "b", "a", "b", "c"]), (2, ["a", "b"]), (3, []), (4, None), (5, ["b", "c"])]
+    found = mining.frequent_ngrams(spark.createDataFrame(rows, "id int, words array<string>"), 3, 2)
+    assert sorted((r["n"], r["gram"], r["freq"]) for r in found.collect()) == [(1, "a", 3), (1, "b", 4), (1, "c", 2), (2, "a b", 3), (2, "b c", 2)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
