@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.claims import CLAIM, FALLBACK_REPLY, claims, grounded, joined_thousands
@@ -30,9 +30,14 @@ def anchor(clause: Column) -> Column:
     """
     plain = F.regexp_replace(F.regexp_replace(clause, CLAIM, " "), _NUMBER, " ")
     clean = F.regexp_replace(F.trim(F.translate(plain, _FULL_WIDTH, _ASCII)), f"^(?:{'|'.join(MODIFIERS)})+", "")
-    pick = lambda pattern: F.nullif(F.regexp_extract(clean, pattern, 0), F.lit(""))
-    topic = F.coalesce(*(F.when(F.contains(clean, F.lit(t)), t) for t in TOPICS))
-    return F.coalesce(topic, pick(r"[\x{4e00}-\x{9fff}]{2}"), F.lower(pick("[A-Za-z0-9]{2,}")), F.lit(""))
+
+    def first_of(clean: Column) -> Column:
+        pick = lambda pattern: F.nullif(F.regexp_extract(clean, pattern, 0), F.lit(""))
+        topic = F.coalesce(*(F.when(F.contains(clean, F.lit(t)), t) for t in TOPICS))
+        return F.coalesce(topic, pick(r"[\x{4e00}-\x{9fff}]{2}"), F.lower(pick("[A-Za-z0-9]{2,}")), F.lit(""))
+
+    # As an element of an array the clean clause is made once, not for each topic.
+    return F.transform(F.array(clean), first_of)[0]
 
 
 def topic_claims(text: Column) -> Column:
@@ -48,9 +53,9 @@ def topic_claims(text: Column) -> Column:
 def evidence_claims(evidence: DataFrame) -> DataFrame:
     """The distinct (case_id, anchor, unit, value) of evidence (case_id, text), and whether its key has several values in its case."""
     found = evidence.select("case_id", F.explode(topic_claims(F.col("text"))).alias("c")).select("case_id", "c.*").distinct()
-    key = ["case_id", "anchor", "unit"]
-    several = found.groupBy(*key).agg((F.min("value") < F.max("value")).alias("several"))
-    return found.join(several, key)
+    # A window, and no join with a group's own aggregate: else the texts would be gone through twice.
+    values = Window.partitionBy("case_id", "anchor", "unit")
+    return found.where("case_id IS NOT NULL").withColumn("several", F.min("value").over(values) < F.max("value").over(values))
 
 
 def fact_conflicts(replies: DataFrame, evidence: DataFrame) -> DataFrame:

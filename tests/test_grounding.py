@@ -22,6 +22,18 @@ def test_anchors(spark):
     assert found == ["退款", "到账", "配送", "颜色", "套餐", "total", "", ""]
 
 
+def test_a_clause_is_cleaned_once(spark):
+    plan = spark.createDataFrame([("退款7天",)], "c string").select(grounding.anchor(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2
+
+
+def test_claims_are_taken_once_from_a_text(spark):
+    evidence = spark.createDataFrame([(1, "退款7天，退货8天"), (1, "退款9天"), (2, "退款7天"), (None, "退款7天")], "case_id long, text string")
+    found = grounding.evidence_claims(evidence)
+    assert sorted(map(tuple, found.select("case_id", "anchor", "unit", "value", "several").collect())) == [(1, "退款", "天", "7", True), (1, "退款", "天", "9", True), (1, "退货", "天", "8", False), (2, "退款", "天", "7", False)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_conflicts_need_topic_unit_and_a_picked_value(spark):
     evidence = spark.createDataFrame(
         [(1, 0, "退款将在7天内到账，退货需要15天"), (1, 1, "退款周期为10天；金额1,000元"), (2, 0, "退款7天"), (3, 0, "退款7天"), (3, 1, "退款 9 天"), (4, 0, None), (5, 0, " ")], "case_id long, ord int, text string"
