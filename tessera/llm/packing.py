@@ -36,6 +36,10 @@ SEGMENT_BYTES, REMEMBERED = 1 << 22, 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
+#: The characters that a byte-level vocabulary writes for bytes that don't show.
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+SHOWN = {byte: 0x100 + i for i, byte in enumerate(_HIDDEN)}
+
 
 class WordIds(dict):
     """Ids of words, as little-endian 32-bit bytes; remembers a bounded number of them.
@@ -56,11 +60,21 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.merges = self.tokenizer.model
 
+    def merged(self, shown: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(shown)])
+
+    @staticmethod
+    def latin(word: str) -> bool:
+        """Whether a word is of small Latin letters alone, which the vocabulary's rules leave as they are, accents included."""
+        return word.isalpha() and max(word) <= "\u024f" and word == word.lower()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
         if word.isalpha() and word.islower():
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(word.decode())])
+            ids = self.merged(word.decode())
+        elif not word.isascii() and self.latin(word.decode()):
+            ids = self.merged(word.decode("latin-1").translate(SHOWN))
         else:
             parts = []
             if b"'" not in word and b"<|" not in word and word == word.lower():

@@ -665,3 +665,14 @@ def test_long_words_that_differ_have_different_hashes():
         assert len(set(_words.Words(data, np.array([0, len(data)])).hash.tolist())) == 3
         folded = _words.Words(data, np.array([0, len(data)]), fold=True).hash
         assert folded[0] == folded[2] != folded[1]
+
+
+def test_small_accented_words_need_merges_alone():
+    words = packing.WordIds(None)
+    plain = words.tokenizer.encode
+    latin = ["über", "straße", "ciónque", "ñ", "àéîõü", "ªº", "ÿ" * 40]
+    wanted = {w: np.asarray(plain(w, add_special_tokens=False).ids, "<u4").tobytes() for w in [*latin, "Über", "ẞ", "é1", "e\u0301"]}
+    words.tokenizer = None
+    assert {w: words[w.encode()] for w in latin} == {w: wanted[w] for w in latin}
+    words = packing.WordIds(None)
+    assert {w: words[w.encode()] for w in wanted} == wanted
