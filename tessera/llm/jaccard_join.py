@@ -11,8 +11,11 @@ open ones are compared, never as whole groups of pairs:
 3. Classes that share one of their other first shingles meet in tiles. A tile is in order of size: a set is compared with those in the
    band of sizes that can link with it. Hashed bitmap signatures bound the overlap from above: half of what two sizes add up to,
    less the bits in which two signatures differ. Pairs of one component are skipped, and of a large tile only the pairs outside its main component are
-   tried, in blocks. What passes is held against whole signatures, then intersected exactly as sorted arrays.
-4. Of two components the nearest pair is tried first, then all others if they are still apart. In one large tile a class meets
+   tried, in blocks. What passes is held against whole signatures, then intersected exactly as sorted arrays. A pair is judged at its first shared shingle only,
+   as far as that shows: each row of a tile has with it the BEFORE shared shingles before its own, and two rows that have one of these in common have met there.
+4. Tiles are gone through twice. At first each row of a tile is tried with its nearest partner alone, which joins up nearly all that links, with no more pairs than rows.
+   After that, all pairs of different components are tried: near copies are one component by then, so that their pairs, which grow with the square of their number, are not made.
+5. Of two components the nearest pair is tried first, then all others if they are still apart. In one large tile a class meets
    at most NEAREST sets of another component; if there were more and the two are still apart, step 3 is repeated for these components with more, in the end with all.
 
 Components then hold every link: a pair left out is either proven too unlike or
@@ -43,11 +46,11 @@ WORDS, PERCENT = 5, 75
 COMMON_SHARE, COMMON_LEAST, MOST_COMMON, COUNTED_AT_ONCE = 256, 16, 1 << 16, 1 << 20
 #: Rows compared at once in step 2; rows of a block of a large tile, and up to which a tile is small; how many sets of another component are tried first.
 RUN, BLOCK, SMALL, NEAREST = 1024, 4096, 64, 16
-#: 64-bit words of the signatures in tiles.
-SIGNATURE = 8
+#: 64-bit words of the signatures in tiles; how many of the shared shingles before its own a row of a tile has with it.
+SIGNATURE, BEFORE = 8, 4
 
 PROFILE = "node long, doc_id long, n_shingles long, key_a long, key_b long, bitmap binary, tokens binary, places binary, members binary"
-POSTED = "token long, node long, component long, n_shingles int, place int, signature binary"
+POSTED = "token long, node long, component long, n_shingles int, place int, signature binary, before binary"
 FOUND = "a long, b long, of_a long, of_b long, differ int, more boolean"
 
 
@@ -282,7 +285,7 @@ def _forest(tokens: list[bytes], sizes: list[int], bitmaps: list[bytes], members
 
 
 def _postings(rows: DataFrame, signed: bool) -> DataFrame:
-    """POSTED: the shared first shingles of each row (node, component, ...); the signatures are left out unless signed."""
+    """POSTED: the shared first shingles of each row (node, component, ...); the signatures and the shingles before are left out unless signed."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,13 +294,21 @@ def _postings(rows: DataFrame, signed: bool) -> DataFrame:
             node, component, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("node", "component", "n_shingles"))
             signs = np.repeat(_signatures(batch.column("bitmap").to_pylist()), counts, axis=0) if signed else np.zeros((len(tokens), 0), np.uint64)
             columns = [pa.array(x) for x in (tokens, node, component, size.astype(np.int32), places)]
-            columns.append(as_binaries(signs.ravel(), np.full(len(tokens), signs.shape[1])))
-            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "n_shingles", "place", "signature"])
+            before = _those_before(tokens, counts) if signed else np.zeros((len(tokens), 0), np.int64)
+            columns += [as_binaries(x.ravel(), np.full(len(tokens), x.shape[1])) for x in (signs, before)]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "n_shingles", "place", "signature", "before"])
         give_back()
 
     return rows.select("node", "component", "n_shingles", "bitmap", "tokens", "places").mapInArrow(unpack, POSTED)
 
 
+def _those_before(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The BEFORE tokens before each in its own set (a row each; 0: none), of sets of these lengths, one after the other."""
+    at = np.arange(len(tokens))
+    place = at - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.stack([np.where(place >= k, tokens[np.maximum(at - k, 0)], 0) for k in range(1, BEFORE + 1)], axis=1)
+
+
 def size_band(n: Column) -> Column:
     """Bands of sizes whose ends differ by a third: sets that link lie in one band or in neighbours."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
@@ -309,7 +320,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
     Where they are more than BLOCK, each is at home in one block of its size band. Of these only rows outside the shingle's main
     component also visit the blocks of their band and of its neighbours, so that a large group of near copies is not multiplied.
     """
-    posted, columns = _postings(rows, True), ["home", "node", "component", "n_shingles", "place", "signature"]
+    posted, columns = _postings(rows, True), ["home", "node", "component", "n_shingles", "place", "signature", "before"]
     counts = _postings(rows, False)
     large = durable(counts.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("token"))
     if not large.limit(1).count():
@@ -332,7 +343,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 
 def _tile_candidates(rows: DataFrame, nearest: int) -> DataFrame:
-    """FOUND: pairs of classes of different components that meet in a tile and that no bound rules out."""
+    """FOUND: pairs of classes of different components that meet in a tile and that no bound rules out; if nearest is 0, each row's nearest in a tile alone."""
     tiles = _tiles(rows).repartition("tile").sortWithinPartitions("tile", "n_shingles")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +369,7 @@ def _compared(table: pa.Table, nearest: int) -> pa.RecordBatch:
     col = {c: table.column(c).to_numpy() for c in ("tile", "home", "node", "component", "place")}
     n = table.column("n_shingles").to_numpy().astype(np.int64)
     signs = joined(table.column("signature")).reshape(-1, SIGNATURE)
+    col["before"] = joined(table.column("before"), np.int64).reshape(-1, BEFORE)
     first = np.flatnonzero(np.concatenate([[True], col["tile"][1:] != col["tile"][:-1]]))
     lengths = np.diff(np.append(first, len(n)))
     pairs = [_pairs_of_small(first[lengths <= SMALL], lengths[lengths <= SMALL], col, n, signs)]
@@ -367,22 +379,41 @@ def _compared(table: pa.Table, nearest: int) -> pa.RecordBatch:
         pairs.append(found)
         more.append(left)
     i, j = np.concatenate(pairs).T
+    more = np.concatenate(more)
+    if not nearest:
+        kept = _nearest_of_each(i, j, n, signs)
+        i, j, more = i[kept], j[kept], more[kept]
     swap = col["node"][i] > col["node"][j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     differ = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int32)
-    columns = [col["node"][i], col["node"][j], col["component"][i], col["component"][j], differ, np.concatenate(more)]
+    columns = [col["node"][i], col["node"][j], col["component"][i], col["component"][j], differ, more]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "of_a", "of_b", "differ", "more"])
 
 
+def _nearest_of_each(i: np.ndarray, j: np.ndarray, n: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Which of these pairs of rows are some row's nearest, by the share of bits that differ."""
+    share = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64) / (n[i] + n[j])
+    sides, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, share[pair], sides))
+    new = np.ones(len(order), bool)
+    new[1:] = sides[order][1:] != sides[order][:-1]
+    return np.unique(pair[order[new]])
+
+
 def _like(i: np.ndarray, j: np.ndarray, col: dict, n: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the pairs of rows may link, and in how many bits their signatures differ."""
+    """Which of the pairs of rows may link and have not met at a shingle before, and in how many bits their signatures differ."""
     need = least_overlap(n[i], n[j])
     # Nothing before this shingle is shared, or the pair meets there too.
     fits = need <= np.minimum(n[i] - col["place"][i], n[j] - col["place"][j])
     fits &= (col["component"][i] != col["component"][j]) & (col["home"][i] | col["home"][j])
     differ = np.zeros(len(i), np.int64)
     differ[fits] = np.bitwise_count(signs[i[fits]] ^ signs[j[fits]]).sum(axis=1, dtype=np.int64)
-    return fits & (n[i] + n[j] - differ >= 2 * need), differ
+    fits &= n[i] + n[j] - differ >= 2 * need
+    at = np.flatnonzero(fits)
+    x, y = col["before"][i[at]], col["before"][j[at]]
+    for k in range(BEFORE):
+        fits[at] &= ~((x == y[:, k : k + 1]) & (x != 0)).any(axis=1)
+    return fits, differ
 
 
 def _pairs_of_small(first: np.ndarray, lengths: np.ndarray, col: dict, n: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -413,7 +444,10 @@ def _pairs_of_large(lo: int, hi: int, col: dict, n: np.ndarray, signs: np.ndarra
         j = j[(col["component"][j] != col["component"][i]) & ~(minor[j - lo] & (j < i))]
         ok, differ = _like(np.full(len(j), i), j, col, n, signs)
         j, differ = j[ok], differ[ok]
-        if len(j) > nearest:
+        if not nearest:
+            j = j[np.lexsort((j, differ / (n[i] + n[j])))[:1]]
+            more.append(np.zeros(len(j), bool))
+        elif len(j) > nearest:
             order = np.lexsort((j, differ, col["component"][j]))
             j = j[order]
             new = np.concatenate([[True], col["component"][j][1:] != col["component"][j][:-1]])
@@ -472,7 +506,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     open_ = bounded_join(open_, stands, F.col("node") == F.col("_stands"), "left_semi")
 
     alone = stands.select(F.col("_stands").alias("node"), F.col("_stands").alias("component"))
-    named, nearest, within = _joined_up(alone, durable(_first_links(open_))), NEAREST, None
+    named = _joined_up(alone, durable(_first_links(open_)))
+    rows = bounded_join(open_, named.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"))
+    named = _joined_up(named, _linking(durable(_tile_candidates(rows, 0)), open_))
+    release(docs.sparkSession)
+    nearest, within = NEAREST, None
     while nearest:
         part = named if within is None else named.join(within, "component", "left_semi")
         rows = bounded_join(open_, part.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"))

@@ -480,6 +480,32 @@ def test_small_sets_link(spark):
     assert {r["n_shingles"] for r in found} == {3, 4}
 
 
+def test_near_copies_meet_once():
+    import pyarrow as pa
+
+    def tiles(copies: int) -> pa.Table:
+        """Near copies that share 30 shingles, each of which is a tile, and are in components of their own."""
+        rng, out = np.random.default_rng(6), []
+        shared = np.sort(rng.integers(1, 2**62, 30))
+        signs = rng.integers(0, 2**63, jaccard_join.SIGNATURE).astype(np.uint64)
+        for k, token in enumerate(shared.tolist()):
+            before = [*shared[:k][::-1].tolist(), 0, 0, 0, 0][:4]
+            for node in range(copies):
+                own = signs ^ np.uint64(1 << node % 60)
+                out.append((token, True, node, node, 300 + node % 3, k, own.tobytes(), np.array(before, np.int64).tobytes()))
+        out.sort(key=lambda r: (r[0], r[4]))
+        names = ["tile", "home", "node", "component", "n_shingles", "place", "signature", "before"]
+        return pa.table(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
+
+    for copies in (10, 50, 200):
+        every = jaccard_join._compared(tiles(copies), copies)
+        pairs = set(zip(every.column("a").to_pylist(), every.column("b").to_pylist(), strict=True))
+        assert every.num_rows == len(pairs) == copies * (copies - 1) // 2
+        nearest = jaccard_join._compared(tiles(copies), 0)
+        assert nearest.num_rows <= copies
+        assert set(nearest.column("a").to_pylist()) | set(nearest.column("b").to_pylist()) == set(range(copies))
+
+
 # ---- 9 toxicity
 
 
