@@ -229,3 +229,21 @@ def test_spans_are_not_shuffled(spark):
     assert sorted((r["start"], r["term"], r["kind"], r["changed"], r["differs"]) for r in found.collect()) == [(2, "退款", "homophone", 1, 1), (5, "退款", "abbr", 2, 0), (7, "物流", "abbr", 1, 1)]
     # Seven spans a character, with their queries, were sorted by key.
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_counted_where_chunks_are_read(spark, tmp_path):
+    from collections import Counter
+
+    from tessera.plans.retrieval import tokenize
+
+    texts = ["Beta alpha beta", "alpha 7", None, "", "BETA -- gamma", "beta beta", "alpha alpha delta"]
+    for name, ids in {"unique": [0, 1, 2, 3, 4, 5, 6], "repeated": [0, 1, 2, 3, 4, 0, None], "nulls": [0, 1, 2, 3, None, None, 6]}.items():
+        rows = list(zip(ids, texts, strict=True))
+        spark.createDataFrame([(i, t, "s", "en", 0) for i, t in rows], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        words = [(i, w) for i, t in rows for w in (t or "").lower().replace("--", " ").split()]
+        n, docs = Counter(w for _, w in words), Counter(w for i, w in set(words) if i is not None)
+        found = tokenize(spark, f"{tmp_path}/{name}")
+        assert sorted(map(tuple, found.collect())) == sorted((w, n[w], docs[w]) for w in n)
+        # Only ids in several rows need rows for each token of each chunk.
+        shuffled = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(token" in line]
+        assert shuffled and (name == "repeated" or not any("chunk_id" in line for line in shuffled))
