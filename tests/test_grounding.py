@@ -110,6 +110,24 @@ def test_differences_all_over_are_found(spark):
     assert found == pytest.approx(brute_pairs(rows)) and (1, 2) in found
 
 
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "PART", 5)
+    monkeypatch.setattr(similar_texts, "ROUND_CHARS", 0, raising=False)
+    rng = random.Random(12)
+    bases = ["".join(rng.choice(MANY) for _ in range(600)) for _ in range(10)]
+    rows = [(k, bases[k % 10][:k] + "#" + bases[k % 10][k:]) for k in range(60)]
+    group = "blocks meet in rounds"
+    spark.sparkContext.setJobGroup(group, group)
+    found = {(r["a"], r["b"]): r["ratio"] for r in similar_texts.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == pytest.approx(brute_pairs(rows)) and len(found) == 150
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Twelve blocks: no step sends a text to all of them.
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(i)}
+    sent = [store.lastStageAttempt(i).shuffleWriteRecords() for i in stages]
+    assert 60 <= max(sent) <= 2 * 60
+
+
 def test_no_similar_texts(spark):
     assert similar_texts.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
