@@ -285,6 +285,36 @@ def test_in_run_pairwise_tries_all_pairs(spark):
     assert sorted(r["dropped"] for r in rules.in_run_pairwise(spark, folder).collect()) == sorted(lost)
 
 
+def test_in_run_pairwise_makes_no_pairs_of_what_is_dropped(spark, monkeypatch):
+    for name, value in (("FIRST_TURNS", 8), ("MOST_TURNS", 16), ("MOST_PAIRS", 60), ("MOST_HELD", 100)):
+        monkeypatch.setattr(mining, name, value, raising=False)
+    rng, lost = np.random.default_rng(3), set()
+    vectors = np.concatenate([np.repeat(rng.normal(size=(4, 16)), 60, axis=0), rng.normal(size=(80, 16))])[rng.permutation(320)]
+    ids, quality = np.arange(320) * 3, rng.integers(0, 3, 320).astype(float)
+    quality[5] = np.nan
+    for a, b in sorted(_like(ids, vectors, 0.5)):
+        if a not in lost and b not in lost:
+            lost.add(a if quality[a // 3] < quality[b // 3] else b)
+    rows = [(int(i), v.tolist(), float(q)) for i, v, q in zip(ids, vectors, quality, strict=True)] + [(None, vectors[0].tolist(), 1.0), (7, None, 1.0)]
+    found = mining.drop_like_vectors(spark.createDataFrame(rows, "ord long, vector array<double>, quality double").repartition(5), 0.5)
+    assert sorted(r["dropped"] for r in found.collect()) == sorted(lost) and len(lost) > 200
+    none = mining.drop_like_vectors(spark.createDataFrame([], "ord long, vector array<double>, quality double"), 0.5)
+    assert none.schema == found.schema and none.count() == 0
+
+
+def test_in_run_pairwise_shuffles_little(spark):
+    from tessera.plans import rules
+
+    folder, group = "/root/testdata/sf0.1", "in_run_pairwise"
+    spark.sparkContext.setJobGroup(group, group)
+    assert rules.in_run_pairwise(spark, folder).count() > 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(i)}
+    # 2,000 vectors have some thousands of pairs, which were shuffled several times.
+    assert sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages) < 5 * 2000
+
+
 def test_pages_keep_nested_and_unclosed_cells():
     from tessera.sources.html import page_text
 
