@@ -1,9 +1,11 @@
 """Queries put into the lexicon's words: characters that sound alike, and initials that stand for characters.
 
-Spans of a query meet the lexicon by a join on their key, the initials of their characters, so the lexicon may have any size and only spans with a
-word of the same initials go on. A query has seven spans for each character, so up to BROADCAST_WORDS words are broadcast and spans aren't shuffled. Whether a span
-may stand for the word is found once for each batch's pairs of both. What remains for each query is a short list of
-matches, through which a walk from the left picks the longest at each place.
+A walk from the left picks the longest match at each place. Up to BROADCAST_WORDS words are sent to all tasks, by the initials of their characters; the walk looks up the spans of
+the places it comes to, longest first, and what a span may stand for, or what becomes of a short part of a query, is found once while it is remembered, so no span leaves a task.
+
+More words are joined: spans of all queries, seven for each character, meet the lexicon by their key, the initials, so the lexicon may have any size and only spans with a
+word of the same initials go on. Whether a span may stand for the word is found once for each batch's pairs of both. What remains for each query is a short list of
+matches, through which the walk goes.
 
 Initials and syllables are one character each in a text of the same length, by translation: ``syllables`` (char, syllable) has a row for a
 character at most, and there are some thousand different ones, so the tables are part of the expression.
@@ -11,7 +13,8 @@ character at most, and there are some thousand different ones, so the tables are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -24,8 +27,8 @@ _PRIVATE, _MOST_SYLLABLES, _MOST_CHARACTERS = 0xE000, 6400, 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD, _LETTERS = str.maketrans(_UPPER, _LOWER), frozenset(_UPPER + _LOWER)
 _HAN = r"^[\x{4e00}-\x{9fff}]$"
-#: More words than these are joined by a shuffle.
-BROADCAST_WORDS = 1_000_000
+#: More words than these are joined by a shuffle. A task remembers so many spans, and so many runs of at most so many characters.
+BROADCAST_WORDS, REMEMBERED, SHORT_RUN = 1_000_000, 200_000, 24
 RESULT = "text string, rewrites array<struct<span:string,term:string,kind:string>>"
 
 
@@ -41,6 +44,10 @@ class Sounds:
         self.firsts = "".join(r["syllable"][0].lower() for r in rows)
         self.codes = "".join(kinds[r["syllable"]] for r in rows)
 
+    def tables(self) -> tuple[dict[int, str], dict[str, str]]:
+        """Initials for str.translate(), and the syllable of each character."""
+        return str.maketrans(dict(zip(self.chars + _UPPER, self.firsts + _LOWER, strict=False))), dict(zip(self.chars, self.codes, strict=True))
+
     def initials(self, text: Column) -> Column:
         return F.translate(text, self.chars + _UPPER, self.firsts + _LOWER)
 
@@ -63,14 +70,19 @@ def _counts(span: str, term: str, syllables: dict[str, str]) -> int:
     return count
 
 
+def _words(lexicon: DataFrame, sounds: Sounds) -> DataFrame:
+    """Each word (term, freq, guard) of a lexicon once, with its key."""
+    words = lexicon.where(F.length("term").between(LEAST_LENGTH, MOST_LENGTH)).groupBy("term").agg(F.max("freq").alias("freq"), F.min("guard").alias("guard"))
+    return words.withColumn("key", sounds.initials(F.col("term")))
+
+
 def lexicon_matches(queries: DataFrame, lexicon: DataFrame, sounds: Sounds) -> DataFrame:
     """(query_id, start, size, term, kind, changed, differs, freq) of spans of queries (query_id, query) that are words or guards of a lexicon (term, freq, guard), or may stand for a word.
 
     kind is 'known' for the former, whose term is null; ``changed`` counts the characters replaced, ``differs`` is the first place (from 0) at which span and word aren't the very same.
     """
     char = lambda text, i: F.substring(text, i + 1, F.lit(1) if isinstance(i, Column) else 1)
-    words = lexicon.where(F.length("term").between(LEAST_LENGTH, MOST_LENGTH)).groupBy("term").agg(F.max("freq").alias("freq"), F.min("guard").alias("guard"))
-    words = words.withColumn("key", sounds.initials(F.col("term"))).persist()
+    words = _words(lexicon, sounds).persist()
     few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     # What is taken out of a long text by place costs its length: once for each place, the characters of all its spans and one more at either side.
     whole = queries.where(F.length("query") >= LEAST_LENGTH).select("query_id", F.length("query").alias("_n"), F.concat(F.lit(" "), "query", F.lit(" ")).alias("_text"), sounds.initials(F.col("query")).alias("_initials"))
@@ -124,6 +136,83 @@ def _walk(query: str, matches: list[dict]) -> tuple[str, list[dict]]:
     return "".join(out), rewrites
 
 
+def _look_up(span: str, terms: str, guards: frozenset[str], syllables: dict[str, str]) -> list[tuple[str | None, str, int]]:
+    """(term, kind, first difference) of the words, one after the other in terms, for which a span may stand, in the order in which a walk picks them; the span itself is 'known' and has no term."""
+    size, found = len(span), []
+    for order, at in enumerate(range(0, len(terms), size)):
+        term = terms[at : at + size]
+        if term == span:
+            found.append((False, 0, order, None, "known", size))
+        elif term not in guards:
+            count = _counts(span, term, syllables)
+            sound, initial = divmod(count, 16)
+            if count > 0 and sound <= max(1, size // 2):
+                differs = next(i for i, (got, want) in enumerate(zip(span, term, strict=True)) if got != want)
+                found.append((True, sound + initial, order, term, "mixed" if sound and initial else "abbr" if initial else "homophone", differs))
+    return [(term, kind, differs) for *_, term, kind, differs in sorted(found, key=lambda f: f[:3])]
+
+
+def _walk_run(query: str, initials: str, start: int, end: int, words: dict[str, str], guards: frozenset[str], syllables: dict[str, str], spans: dict[str, list]) -> tuple[str, list[dict]]:
+    """What _walk() makes of a part of a query beyond which no match reaches; only matches of the places it comes to are looked up."""
+    out, rewrites, at, safe = [], [], start, start
+    while at < end:
+        pick, longest = None, 0
+        for size in range(min(MOST_LENGTH, end - at), max(LEAST_LENGTH, safe - at + 1) - 1, -1):
+            terms = words.get(initials[at : at + size])
+            if terms is None:
+                continue
+            span = query[at : at + size]
+            found = spans.get(span)
+            if found is None:
+                if len(spans) >= REMEMBERED:
+                    spans.clear()
+                found = spans[span] = _look_up(span, terms, guards, syllables)
+            if not found:
+                continue
+            # Letters in a row are replaced together or not at all.
+            cuts = at and query[at - 1] in _LETTERS and span[0] in _LETTERS or at + size < len(query) and span[-1] in _LETTERS and query[at + size] in _LETTERS
+            pick = next((f for f in found if f[0] is None or not cuts and f[2] >= min(safe - at, size)), None)
+            if pick:
+                longest = size
+                break
+        if pick is None or pick[0] is None:
+            safe = max(safe, at + longest)
+            out.append(query[at])
+            at += 1
+        else:
+            out.append(pick[0])
+            rewrites.append({"span": query[at : at + longest], "term": pick[0], "kind": pick[1]})
+            at += longest
+    return "".join(out), rewrites
+
+
+def _walks(words: dict[str, str], guards: frozenset[str], runs: str, firsts: dict[int, str], syllables: dict[str, str]) -> Callable[[str], tuple[str, list[dict]]]:
+    """_walk() of a query with all its matches. No match reaches beyond a run of characters of the words' keys, a pattern, so a query is cut into these; short ones are remembered with what decides them, the letters beside them."""
+    spans: dict[str, list] = {}
+    known: dict[tuple, tuple[str, list[dict]]] = {}
+    parts = re.compile(runs)
+
+    def walk(query: str) -> tuple[str, list[dict]]:
+        initials, out, rewrites, done = query.translate(firsts), [], [], 0
+        for part in parts.finditer(initials):
+            start, end = part.span()
+            beside = start > 0 and query[start - 1] in _LETTERS, end < len(query) and query[end] in _LETTERS
+            key = (query[start:end], *beside)
+            found = known.get(key)
+            if found is None:
+                found = _walk_run(query, initials, start, end, words, guards, syllables, spans)
+                if end - start <= SHORT_RUN:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = found
+            out += query[done:start], found[0]
+            rewrites += found[1]
+            done = end
+        return "".join((*out, query[done:])), rewrites
+
+    return walk
+
+
 def normalize_queries(queries: DataFrame, lexicon: DataFrame, syllables: DataFrame) -> DataFrame:
     """query_id, query and RESULT of queries (query_id, query), by a lexicon (term, freq, guard: not to be changed, but no word to change to) and (char, syllable).
 
@@ -132,6 +221,28 @@ def normalize_queries(queries: DataFrame, lexicon: DataFrame, syllables: DataFra
     words of one length the one with the fewest changes is taken, then the most frequent. Null queries stay null; equal ids with different texts are taken as one query each.
     """
     sounds = Sounds(syllables)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, query string, {RESULT}"
+    every = _words(lexicon, sounds).persist()
+    if every.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        # The words of a key one after the other, the most frequent first.
+        rows = every.select("key", "term", (F.col("guard") | F.col("guard").isNull()).alias("guard"), F.coalesce("freq", F.lit(0)).alias("freq")).toArrow().sort_by([("key", "ascending"), ("freq", "descending"), ("term", "ascending")])
+        words: dict[str, str] = {}
+        for key, term in zip(rows.column("key").to_pylist(), rows.column("term").to_pylist(), strict=True):
+            words[key] = words.get(key, "") + term
+        guards = frozenset(rows.filter(rows.column("guard")).column("term").to_pylist())
+        every.unpersist()
+        # Without words there is no run.
+        runs = "[" + re.escape("".join(sorted({c for key in words for c in key}))) + "]{2,}" if words else "(?!)"
+        sent = queries.sparkSession.sparkContext.broadcast((words, guards, runs, *sounds.tables()))
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            walk = _walks(*sent.value)
+            for batch in batches:
+                walked = [(None, []) if q is None else walk(q) for q in batch["query"]]
+                yield pd.DataFrame({"query_id": batch["query_id"], "query": batch["query"], "text": [t for t, _ in walked], "rewrites": [r for _, r in walked]})
+
+        return queries.select("query_id", "query").mapInPandas(look, schema)
+    every.unpersist()
     # Matches carry a digest of their query, not its text.
     keyed = queries.select("query_id", "query").withColumn("_key", F.struct("query_id", F.sha2("query", 256).alias("digest")))
     found = lexicon_matches(keyed.select(F.col("_key").alias("query_id"), "query").distinct(), lexicon, sounds)
@@ -144,4 +255,4 @@ def normalize_queries(queries: DataFrame, lexicon: DataFrame, syllables: DataFra
             walked = [(q, []) if q is None or m is None else _walk(q, list(m)) for q, m in zip(batch["query"], batch["matches"], strict=True)]
             yield pd.DataFrame({"query_id": batch["query_id"], "query": batch["query"], "text": [t for t, _ in walked], "rewrites": [r for _, r in walked]})
 
-    return rows.mapInPandas(walk, f"query_id {queries.schema['query_id'].dataType.simpleString()}, query string, {RESULT}")
+    return rows.mapInPandas(walk, schema)

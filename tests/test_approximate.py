@@ -231,6 +231,26 @@ def test_spans_are_not_shuffled(spark):
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spans_are_looked_up_where_queries_are_read(spark, monkeypatch):
+    rng = random.Random(21)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    terms = [(pick(HAN, rng.randrange(2, 9)), rng.choice([None, *range(5)]), rng.choice([False, False, False, True, None])) for _ in range(200)] + [("退款", 50, False), ("款TK", 3, False)]
+    lexicon = spark.createDataFrame(terms + terms[:20], "term string, freq long, guard boolean")
+    queries = [pick([*(t for t, *_ in terms), *HAN, *"tkyfxwdpqTK 1"], rng.randrange(6)) for _ in range(400)]
+    queries = ["".join(rng.choice("tkyfxjwdpqTK -") if rng.random() < 0.1 else rng.choice(HAN) if rng.random() < 0.15 else c for c in q) for q in queries]
+    rows = spark.createDataFrame([(i // 2, q) for i, q in enumerate([*queries, None, "", "退", "tk", "a退宽"])], "query_id long, query string").repartition(3)
+    syllables = spark.createDataFrame([*SYLLABLES.items()], "char string, syllable string")
+    monkeypatch.setattr(spelling, "REMEMBERED", 50, raising=False)
+    found = spelling.normalize_queries(rows, lexicon, syllables)
+    # Queries met their matches by a shuffle.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(spelling, "BROADCAST_WORDS", 0)
+    joined = spelling.normalize_queries(rows, lexicon, syllables)
+    one, other = (sorted(map(repr, f.collect())) for f in (found, joined))
+    assert one == other and sum("kind=" in r for r in one) > 60
+
+
 def test_tokens_are_counted_where_chunks_are_read(spark, tmp_path):
     from collections import Counter
 
